@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalfold.llm import pii
+from signalfold.llm import bpe, pii, rans
 from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
 from signalfold.llm.store import scratch_path, table
@@ -23,6 +23,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def vocabulary() -> str:
+    """The tokenizer file; its library ships it to every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,7 +52,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text("pii", pii.BASE), 256).alias("base_sha256"), pii.span_text("pii").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op5_decontamination, op6_exact_dedup, op7_pii)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "token-ids")
+    rans.write_ids(table(spark, sf_dir, "documents"), vocabulary(), out)
+    return rans.read_ids(spark, out)
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op9_token_files)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
