@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from signalfold.llm.store import ship
+
 END = "</w>"
 #: Entries of the table of known runs, and the longest run that enters it.
 TABLE_ROWS, TABLE_CHARS = 400_000, 48
@@ -270,6 +272,7 @@ def _digests(path: str, text: str | None) -> tuple[np.ndarray, str, str]:
 
 def tokenize(docs: DataFrame, path: str, keep: Iterable[str] = ("doc_id",), with_ids: bool = True, text: str = "text") -> DataFrame:
     """The columns `keep` of docs, with n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids."""
+    ship(docs.sparkSession)
     keep = list(keep)
     kept = docs.select(*keep).schema
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalfold.llm.bpe import RunTable, runs
+from signalfold.llm.store import ship
 
 MAGIC, VERSION = b"RANS", 1
 SCALE, LANES, BLOCK_IDS, SHARD_IDS, CHECKPOINT = 20, 1024, 1 << 20, 1 << 22, 512
@@ -184,6 +185,7 @@ def _library(path: str) -> LibraryEncoder:
 
 def write_ids(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> None:
     """Encode docs (doc_id, text), add end_id to each and write shards in order of doc_id under `out`."""
+    ship(docs.sparkSession)
     parts = max(1, docs.rdd.getNumPartitions())
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
 
@@ -218,6 +220,7 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> No
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document from the shards at `path`: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
+    ship(spark)
     shards = spark.read.schema(SHARD).parquet(path)
     # Offsets: one row for each task that wrote, summed in order of the tasks.
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
