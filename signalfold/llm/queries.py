@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalfold.llm import bpe, pii, rans
+from signalfold.llm import bpe, langid, pii, quality, rans, toxicity
 from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
 from signalfold.llm.store import scratch_path, table
 from signalfold.llm.winnow import contamination
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with the expected severity, the grade, P(grade > 0) and the decision."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in four batches, each is appended and the store compacted; then all rows are read back."""
     docs = table(spark, sf_dir, "documents")
@@ -52,13 +59,34 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.span_text("pii", pii.BASE), 256).alias("base_sha256"), pii.span_text("pii").alias("spans"))
 
 
+def _crc(mod: int):
+    return F.crc32(F.col("doc_id").cast("string")) % mod
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").where(_crc(3) != 1))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(_crc(3), F.lit(0)) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "token-ids")
     rans.write_ids(table(spark, sf_dir, "documents"), vocabulary(), out)
     return rans.read_ids(spark, out)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op9_token_files)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where((_crc(4) != 2) & F.col("lang").isNotNull()))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (F.coalesce(_crc(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_sharding, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language)
+}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
