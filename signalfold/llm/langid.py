@@ -130,8 +130,9 @@ def train(docs: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of these names are replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("lang_pred string, score double").fields])

@@ -141,8 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `score`, 0 to 1."""
+    """docs with `score`, 0 to 1; a column of this name is replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])

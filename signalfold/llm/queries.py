@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalfold.llm import bpe, langid, pii, quality, rans, toxicity
+from signalfold.llm import bpe, langid, minhash, pii, quality, rans, toxicity
 from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
 from signalfold.llm.store import scratch_path, table
@@ -30,6 +30,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def vocabulary() -> str:
     """The tokenizer file; its library ships it to every machine."""
     import public_tokenizers
@@ -85,13 +89,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sharding, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language)
+    for f in (op1_toxicity, op2_sharding, op3_near_dedup, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language)
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
     "op2_sharding": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256 from documents",
+    "op3_near_dedup": rf"""
+        with recursive t as (select doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') as w from documents),
+        s as (select distinct doc_id, list_slice(w, i, i + 2) as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from t where len(w) > 0) as x),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        both as (select a.doc_id as x, b.doc_id as y, count(*) as c from s as a join s as b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        link as (select x, y from both join n as p on p.doc_id = x join n as q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+        edge as (select x, y from link union all select y, x from link),
+        reach as (select doc_id as a, doc_id as b from t union select reach.a, edge.y from reach join edge on edge.x = reach.b),
+        comp as (select a, min(b) as component_id from reach group by a)
+        select t.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id, t.doc_id = component_id as kept
+        from t left join n on n.doc_id = t.doc_id join comp on comp.a = t.doc_id""",
     "op5_decontamination": rf"""
         with d as (select doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         i as (select cast(item_id as varchar) as item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),

@@ -48,6 +48,24 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, bound: int = BROA
     return F.broadcast(df) if n <= bound else df
 
 
+#: Groups of so many rows are heavy; the second figure bounds how many heavy groups there can be.
+HEAVY_ROWS, HEAVY_GROUPS = 1024, 20_000
+
+
+def heavy_light_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with their group (one row a group, `size` its rows): hot groups never meet in one task.
+
+    Groups over a share of 1 / HEAVY_GROUPS of the rows, of which there are few by construction, are broadcast; the
+    rest shuffle.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(HEAVY_ROWS, total // HEAVY_GROUPS)
+    heavy, light = groups.where(F.col(size) >= least), groups.where(F.col(size) < least)
+    marks = F.broadcast(heavy.select(*keys, F.lit(True).alias("__heavy")))
+    rest = rows.join(marks, keys, "left").where(F.col("__heavy").isNull()).drop("__heavy")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+
+
 def fold_ascii(col):
     """Small letters for A-Z alone: other scripts keep their case."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalfold.llm.linear import Ftrl, labelled_sample, places, sigmoid, vocabulary_of
@@ -153,8 +154,9 @@ SCORES = "severity double, grade int, p_toxic double, toxic boolean"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with severity (expected grade), grade (likeliest by thresholds), p_toxic and toxic."""
+    """docs with severity (expected grade), grade (likeliest by thresholds), p_toxic and toxic; columns of these names are replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop(*T._parse_datatype_string(SCORES).names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     place = names.index(text)
@@ -168,3 +170,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
 
     return docs.mapInArrow(batches, schema)
+
+
+def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that are not toxic, with all their columns."""
+    packed = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
+    return score(packed, model, "__text").where(~F.col("toxic")).select("__row.*")
