@@ -100,8 +100,8 @@ ORACLES = {
         with recursive t as (select doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') as w from documents),
         s as (select distinct doc_id, list_slice(w, i, i + 2) as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from t where len(w) > 0) as x),
         n as (select doc_id, count(*) as n from s group by doc_id),
-        both as (select a.doc_id as x, b.doc_id as y, count(*) as c from s as a join s as b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
-        link as (select x, y from both join n as p on p.doc_id = x join n as q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+        common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s as a join s as b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        link as (select x, y from common join n as p on p.doc_id = x join n as q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
         edge as (select x, y from link union all select y, x from link),
         reach as (select doc_id as a, doc_id as b from t union select reach.a, edge.y from reach join edge on edge.x = reach.b),
         comp as (select a, min(b) as component_id from reach group by a)
