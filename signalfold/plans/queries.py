@@ -71,10 +71,10 @@ def search_events_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.search_events(view(spark, sf_dir, "events"), start=datetime(2024, 1, 10), end=datetime(2024, 1, 10, 23, 59, 59), limit=5000)
 
 
-@_query("""select time, metric_name, metric_type, value_double, value_int, service_name, tenant_id, point_id from metrics_v
+@_query("""select time, metric_name, metric_type, value_double, cast(value_int as varchar) as value_int, service_name, tenant_id, point_id from metrics_v
     where metric_name = 'app.view.value' and service_name = 'svc-2' order by time desc, point_id limit 100""", "metrics")
 def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.search_metrics(view(spark, sf_dir, "metrics"), name="app.view.value", service="svc-2")
+    return reads.search_metrics(view(spark, sf_dir, "metrics"), name="app.view.value", service="svc-2").withColumn("value_int", F.col("value_int").cast("string"))
 
 
 _JOURNEYS = """, paths as (select session_id, list(event_name order by timestamp_client, event_id) as p from events_v {where} group by session_id)
