@@ -6,10 +6,10 @@
    coordinates (the probability of fewer, at the threshold itself, is below MISS), so with its pairs ordered from rare to
    frequent each text posts under the first COORDINATES - T + 1 alone: two texts that agree T times share one
    of these. Texts with fewer than T pairs that anyone shares post nothing (prefix merging).
-3. Linking goes in rounds. In each, a posting list names one leader, every text picks the leader it meets most often
-   and is not yet connected with, and the two are compared; so a list costs its length, not its square. What the
-   rounds connected is skipped (skip merging): the last step pairs only texts of one list that lie in
-   different components, counts their agreeing coordinates, and compares those with T or more.
+3. A short posting list (SHORT texts at most) gives its pairs; those that agree on T coordinates and whose sizes allow it
+   are compared. A longer list never becomes pairs: it is dealt into chunks of bounded size, each pair of chunks is one
+   group, and a group counts all its common shingles as a matrix product and returns a spanning forest of its links
+   (merging by count, skipping pairs that share no shingle), at most one row for each text.
 4. Comparisons are exact on the full shingle sets; components come from contraction (see components.py).
 
 Defined cases: texts without words (or null) have no set and link with nothing; texts with fewer words than a shingle
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ from signalfold.llm.components import components
 from signalfold.llm.shingles import mix, sets_of, shingle_sets
 from signalfold.llm.store import broadcast_if_small, heavy_light_join, materialize, ship
 
-COORDINATES, MISS, ROUNDS = 24, 2e-7, 8
+COORDINATES, MISS, SHORT = 24, 2e-7, 32
+#: Texts and shingles of a chunk of a long list, and columns of a block of the matrix product.
+CHUNK_TEXTS, CHUNK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -72,6 +75,44 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, n long, fp1 long, fp2 long, sig array<long>")
 
 
+def linked_pairs(sets: list[np.ndarray], right: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the linked texts of two chunks, or (`same`) of one; `right` marks the second chunk."""
+    size = np.array([len(s) for s in sets])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, int)
+    times = np.bincount(column)
+    shared = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = times[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    left = np.arange(len(sets)) if same else np.flatnonzero(~right)
+    other = left if same else np.flatnonzero(right)
+    common = np.zeros((len(left), len(other)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[lo:hi], column[lo:hi] - start] = 1
+        common += m[left] @ m[other].T
+    a, b = np.nonzero(100 * common >= percent * (size[left][:, None] + size[other][None, :] - common))
+    a, b = left[a], other[b]
+    return (a[a < b], b[a < b]) if same else (a, b)
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that the pairs connect it with."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 class Linker:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.docs, self.k, self.percent, self.t = docs, k, percent, least_matches(percent)
@@ -125,16 +166,21 @@ class Linker:
 
         return materialize(full.select("a", "b", "t_a", "t_b").mapInArrow(batches, "a long, b long").distinct(), "links")
 
-    def _leaders(self, lists: DataFrame, labels: DataFrame | None, round_no: int) -> DataFrame:
-        """(a, b): each text b with the leader a it meets most often among those of other components."""
-        comp = "node" if labels is None else "comp"
-        key = F.col("node") if round_no == 0 else F.xxhash64(F.lit(round_no), "node")
-        rank = F.struct(key.alias("key"), "node", F.col(comp).alias("comp"))
-        first = lists.groupBy("tok").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        first = materialize(first.select("tok", F.col("first.node").alias("a"), F.col("first.comp").alias("comp_a")), "leaders")
-        met = lists.join(broadcast_if_small(first), "tok").where(F.col("comp_a") != F.col(comp))
-        count = met.groupBy("node", "a").agg(F.count(F.lit(1)).alias("met"))
-        return count.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
+    def _long_lists(self, lists: DataFrame, long: DataFrame) -> DataFrame:
+        """Links (a spanning forest for each group) within the long lists; long: tok, chunks."""
+        held = lists.join(broadcast_if_small(long), "tok").withColumn("own", F.pmod(F.xxhash64("node", "tok"), F.col("chunks")))
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other")
+        dealt = held.select("tok", "node", "own", other).select("tok", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
+        k, percent = self.k, self.percent
+
+        def links(rows: pd.DataFrame) -> pd.DataFrame:
+            nodes, right = rows["node"].to_numpy(), rows["right"].to_numpy()
+            pairs = linked_pairs(sets_of(rows["text"].tolist(), k), right, bool(rows["i"].iloc[0] == rows["j"].iloc[0]), percent)
+            root = forest(len(nodes), *pairs)
+            moved = np.flatnonzero(root != np.arange(len(nodes)))
+            return pd.DataFrame({"a": nodes[root[moved]], "b": nodes[moved]})
+
+        return materialize(dealt.join(self.texts, "node").groupBy("tok", "i", "j").applyInPandas(links, "a long, b long").distinct(), "long-links")
 
     def link(self) -> tuple[DataFrame, DataFrame]:
         """(classes, components of those linked with others)."""
@@ -144,25 +190,18 @@ class Linker:
         ids = posted.select(F.col("node").alias("doc_id")).distinct()
         self.texts = materialize(self.docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("node"), "text"), "texts")
         plain = materialize(posted.select("node", F.explode("toks").alias("tok")), "lists")
-        n_plain = plain.count()
-        links, labels, lists = None, None, plain
-        for r in range(ROUNDS):
-            found = self._compare(self._leaders(lists, labels, r))
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-            joined = plain.join(labels, "node", "left").select("node", "tok", F.coalesce("comp", "node").alias("comp"))
-            # Lists whose texts are all connected are done.
-            lists = materialize(joined, "lists")
-            per = lists.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("tok").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count(F.lit(1)).alias("comps"))
-            open_ = materialize(per.where("comps > 1"), "open")
-            lists = materialize(lists.join(broadcast_if_small(open_.select("tok")), "tok", "left_semi"), "lists")
-            left = open_.agg(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2)).first()[0] or 0
-            if left <= 2 * n_plain:
-                break
-        x, y = lists.alias("x"), lists.alias("y")
-        rest = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
-        found = self._compare(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-        return classes, components(links.unionByName(found))
+        sized = plain.join(self.signed.select("node", "n"), "node").groupBy("tok").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")
+        sized = materialize(sized, "sizes")
+        short = broadcast_if_small(sized.where(F.col("texts") <= SHORT).select("tok"))
+        few = plain.join(short, "tok", "left_semi")
+        x, y = few.alias("x"), few.alias("y")
+        pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.node") < F.col("y.node")))
+        links = self._compare(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        chunks = F.greatest(F.ceil(F.col("texts") / CHUNK_TEXTS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("bigint")
+        long = sized.where(F.col("texts") > SHORT).select("tok", chunks.alias("chunks"))
+        if not long.isEmpty():
+            links = links.unionByName(self._long_lists(plain, long))
+        return classes, components(links)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalfold.session import ship as ship_package
+
 #: ASCII white space, and the letters A-Z with their small forms (fixed values).
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -75,20 +74,8 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_SHIPPED: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package: the driver serves it to them, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.join(tempfile.mkdtemp(), os.path.basename(top) + ".zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in files:
-                if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
-    spark.sparkContext.addPyFile(name)
+    """Let executors import this package, in Arrow batches that bound what texts a worker holds."""
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
