@@ -14,6 +14,9 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from signalfold.session import ship
 
 #: Rates a second and bursts, sessions of an address and their window, bad requests and bans (fixed values).
 SESSION_RATE, SESSION_BURST, GLOBAL_RATE, GLOBAL_BURST = 100.0, 1_000.0, 50_000.0, 100_000.0
@@ -78,8 +81,10 @@ class BadRequests:
 
 
 def _stateful(df: DataFrame, key: str, make, step, ttl_ms: int) -> DataFrame:
-    """Adds `allowed` to the rows, run in order of `at` through the key's object, which idle keys lose after the ttl."""
-    schema = df.schema.add("allowed", "boolean")
+    """Adds `allowed` to the rows, run in order of `at` through the key's object, which keys lose when event time is past the ttl."""
+    schema = StructType([*df.schema.fields, StructField("allowed", BooleanType())])
+
+    ship(df.sparkSession)
 
     def run(_: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -89,10 +94,11 @@ def _stateful(df: DataFrame, key: str, make, step, ttl_ms: int) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("at", kind="stable")
         rows["allowed"] = [step(obj, r, r.at.timestamp()) for r in rows.itertuples()]
         state.update((json.dumps(vars(obj)),))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(int(rows["at"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + ttl_ms)
         yield rows
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = df.withWatermark("at", f"{ttl_ms} milliseconds")
+    return timed.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def session_limit(df: DataFrame, rate: float = SESSION_RATE, burst: float = SESSION_BURST) -> DataFrame:
