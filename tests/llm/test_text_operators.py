@@ -1,0 +1,279 @@
+"""Exact operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from signalfold.llm import bpe, minhash, pii, rans, winnow
+from signalfold.llm.bloom_dedup import BloomDedup
+from signalfold.llm.compaction import ShardStore
+from signalfold.llm.queries import ORACLES, QUERIES, vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "red green blue Éa éa one two three four five six seven eight nine ten IBAN card +1 x@y 日本 a.b".split()
+
+
+def table(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    base = [" ".join(rng.choices(WORDS, k=rng.randint(0, 60))) for _ in range(60)]
+    near = ["\n".join([*base[5].split(" ")[:40], str(i)]) for i in range(8)]
+    return [None, "", " \t\n", "word", "two words", *base, *near, base[3] + "  ", base[3].replace(" ", "\n"), base[3], "long " * 30_000, "z" * 50_000, base[7].upper()]
+
+
+# -- exact dedup ---------------------------------------------------------------------------------------
+def test_exact_dedup(spark, texts):
+    got = {r.doc_id: r for r in BloomDedup(table(spark, texts)).classify().collect()}
+    groups = defaultdict(list)
+    for i, t in enumerate(texts):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append(i)
+    for norm, ids in groups.items():
+        keep = min(ids, key=lambda i: (-len(texts[i] or ""), i))
+        for i in ids:
+            r = got[i]
+            assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (keep, len(ids), i == keep, hashlib.sha256(norm.encode()).hexdigest())
+    kept = BloomDedup(table(spark, texts).withColumn("sha", F.lit(1)).withColumn("group_size", F.lit("x"))).deduplicate()
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept) and "group_size" in kept.columns
+
+
+def test_exact_dedup_of_odd_tables(spark):
+    assert BloomDedup(table(spark, [])).classify().count() == 0 and BloomDedup(table(spark, [])).deduplicate().count() == 0
+    rows = table(spark, ["a", "a", "a", "b"], [7, 7, None, None])
+    got = sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in BloomDedup(rows).classify().collect())
+    assert got == ["(7, 7, 3, True)", "(7, 7, 3, True)", "(None, 7, 3, False)", "(None, None, 1, True)"]
+    assert BloomDedup(rows).deduplicate().count() == 2
+
+
+# -- near dedup ----------------------------------------------------------------------------------------
+def brute_components(texts, k, percent):
+    sets = {}
+    for i, t in enumerate(texts):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets[i] = {tuple(w[j:j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
+def test_near_dedup(spark, texts):
+    for k, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, texts), k, percent).collect()}
+        assert got == brute_components(texts, k, percent)
+
+
+def test_long_posting_lists_lose_no_link(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 10_000)}" for _ in range(120)]
+    many = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 6, 10])):
+            w[rng.randrange(len(w))] = f"n{i}-{rng.randint(0, 9)}"
+        many.append(" ".join(w))
+    monkeypatch.setattr(minhash, "CHUNK_TEXTS", 40)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, many), 3, 85).collect()}
+    assert got == brute_components(many, 3, 85)
+
+
+def test_near_dedup_of_odd_tables(spark):
+    assert minhash.near_duplicates(table(spark, [])).count() == 0
+    rows = table(spark, ["a b c", "a b c", "a b c", None, ""], [3, 3, None, 5, 6]).withColumn("kept", F.lit(0))
+    got = sorted(((r.doc_id or -1), r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect())
+    assert got == [(-1, None, True), (3, 3, True), (3, 3, True), (5, 5, True), (6, 6, True)]
+    assert minhash.deduplicate(rows).columns == rows.columns
+
+
+def test_links_are_not_missed_by_signatures():
+    assert [minhash.least_matches(p) for p in (80, 85)] == [8, 10]
+
+
+# -- decontamination -----------------------------------------------------------------------------------
+def brute_windows(docs, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = {}
+    for i, t in enumerate(docs):
+        w, hit, found = words(t), set(), set()
+        for name, item in items:
+            x = words(item)
+            n = min(len(x), 10)
+            windows = {tuple(x[j:j + n]) for j in range(len(x) - n + 1)} if x else set()
+            for s in range(len(w) - n + 1 if n else 0):
+                if tuple(w[s:s + n]) in windows:
+                    hit |= set(range(s, s + n))
+                    found.add(str(name))
+        out[i] = (len(w), len(hit), sorted(found))
+    return out
+
+
+def test_decontamination(spark, texts):
+    rng = random.Random(9)
+    item = " ".join(rng.choices(WORDS[:12], k=40))
+    items = [(1, item), (2, "eight-nine TEN, short"), (3, None), (4, "..."), (10, " ".join(["ha"] * 15)), (2, "eight-nine TEN, short"), (11, item)]
+    docs = [*texts[:-3], "start " + item.upper() + " end", " ".join(item.split()[4:16]), " ".join(item.split()[:9]), "ha " * 300, "x eight nine ten short y", "x eight nine ten y", "éa " + item.replace("Éa", "éa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in winnow.contamination(table(spark, docs), bench).collect()}
+    want = brute_windows(docs, items)
+    assert got == want and sum(v[1] > 0 for v in want.values()) >= 5
+    clean = winnow.decontaminate(table(spark, docs).withColumn("th", F.lit("x")), bench)
+    assert sorted(r.doc_id for r in clean.collect()) == [i for i, v in want.items() if v[1] == 0]
+    assert winnow.contamination(table(spark, []), bench).count() == 0
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert winnow.contamination(table(spark, docs[:3]), none).where("n_hit > 0").count() == 0
+
+
+# -- personal data -------------------------------------------------------------------------------------
+def luhn(d):
+    return sum((x * 2 - 9 if x > 4 else x * 2) if i % 2 else x for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute_pii(t):
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(d := re.sub("[ -]", "", m)) <= 19 and luhn(d)), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    found = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if ok(m[0])]
+    return ",".join(x[2] for x in sorted(found))
+
+
+def test_pii(spark):
+    rng = random.Random(11)
+    parts = ["a.b@c.de", "x@y", "me@@d.ex", "1.2.3.4", "300.1.2.3.4", "1.2.3.4.5.6.7.8.9", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", "5", "12 34", "+1 (555) 555-0123",
+             "+12", "+44.20.7946.0958-", " ", "\n", "é", "日本", ".", "-", "@", "a@b.c@d.e", "+", "1", "%", "x_y@z.co.uk", "99999999999.1.1.1", "378282246310005", "6011 0009-9013 9424"]
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)), "1." * 20_000, "a" * 50_000, "+" * 5000, "1 " * 20_000, "a.b@c.de " * 300]
+    base = pii.span_text("pii", pii.BASE).alias("base")
+    got = {r.doc_id: r for r in pii.find_pii(table(spark, texts)).select("doc_id", base, pii.span_text("pii").alias("all")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base == brute_pii(t), repr(t)[:200]
+
+
+def test_pii_further_kinds_and_redaction(spark):
+    rows = table(spark, ["Pay to IBAN DE89 3704 0044 0532 0130 00 now", "code DE00 3704 0044 0532 0130 00", "SSN: 123-45-6789", "part 123-45-6789", "mail a@b.co!"])
+    got = [r.s for r in pii.find_pii(rows).orderBy("doc_id").select(pii.span_text("pii").alias("s")).collect()]
+    assert "iban:12:39" in got[0] and "iban" not in got[1] and got[2] == "ssn:5:16" and got[3] == "" and got[4] == "email:5:11"
+    assert [r.text for r in pii.redact(rows).orderBy("doc_id").collect()][4] == "mail <email>!"
+
+
+# -- tokens --------------------------------------------------------------------------------------------
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary())
+
+
+def test_bpe_equals_the_library(library):
+    rng = random.Random(1)
+    letters = "abcdefgh ABC',.'s<|>!éÉ́ΣσςİıßﬁKÅ\x1c\x85\xa0 ​　😀한日本१½'re\n\tเ\U0001d400"
+    some = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(1500)]
+    some += ["".join(rng.choices("abcdeth'", k=5000)), "a" * 3000, "<|endoftext|>x <|startoftext|>", "<|ENDOFTEXT|>", "İ<", "á" * 50]
+    encoder, decoder = bpe.Encoder(vocabulary()), bpe.Decoder(vocabulary())
+    for t in some:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert encoder.encode(t).tolist() == ids, repr(t)[:100]
+        assert "".join(bpe.decode(decoder, np.array(ids, "<u2"))) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_windows_do_not_change_the_merges():
+    m = bpe.merge_list(vocabulary())
+    rng = random.Random(2)
+    for _ in range(10):
+        run = bytes(rng.choices(b"abcdehinorst", k=4000))
+        whole = m.merge([*(m.byte_id[b] for b in run[:-1]), m.last_id[run[-1]]])
+        assert list(m.transduce(run)) == whole and len(run) > m.window + m.lookahead
+
+
+def test_decoder_waits_for_whole_characters():
+    d = bpe.Decoder(vocabulary(), pieces=False)
+    ids = bpe.Encoder(vocabulary()).encode("Ünï 日本 😀!")
+    parts = [d.feed(ids[i:i + 1]) for i in range(len(ids))] + [d.finish()]
+    assert "".join(parts).split() == ["ünï", "日本", "😀", "!"] and "�" not in "".join(parts)
+
+
+def test_tokenize_rows(spark, texts, library):
+    got = {r.doc_id: r for r in bpe.tokenize(table(spark, texts), vocabulary()).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_token_files_round_trip(spark, texts, library, tmp_path):
+    ids = [3, *range(100, 100 + len(texts) - 1)]
+    docs = table(spark, texts, ids).repartition(5)
+    rans.write_ids(docs, vocabulary(), f"{tmp_path}/ids")
+    got, at = {r.doc_id: r for r in rans.read_ids(spark, f"{tmp_path}/ids", with_ids=True).collect()}, 0
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        want = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids, got[i].ids_crc32) == (at, len(want), want, zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
+    rans.write_ids(table(spark, []), vocabulary(), f"{tmp_path}/none")
+    assert rans.read_ids(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_range_coder_blocks_checkpoints_and_checksums(monkeypatch):
+    monkeypatch.setattr(rans, "BLOCK_IDS", 1 << 15)
+    monkeypatch.setattr(rans, "CHECKPOINT", 8)
+    ids = (np.random.default_rng(0).zipf(1.3, 100_000) % 49_408).astype("<u2")
+    data = rans.encode_shard(ids)
+    reader = rans.ShardReader(data)
+    assert len(data) < 2 * len(ids) and (reader.ids() == ids).all() and len(reader.blocks) == 4
+    assert (reader.part(1, 2) == ids[(1 << 15) + 16 * rans.LANES:(1 << 15) + 24 * rans.LANES]).all()
+    for n in (1, 1023, 1025):
+        assert (rans.ShardReader(rans.encode_shard(ids[:n])).ids() == ids[:n]).all()
+    broken = bytearray(data)
+    broken[-5] ^= 1
+    with pytest.raises(ValueError):
+        rans.ShardReader(bytes(broken)).ids()
+
+
+# -- shards --------------------------------------------------------------------------------------------
+def test_compaction(spark, texts, tmp_path):
+    store = ShardStore(spark, f"{tmp_path}/store", target_bytes=1 << 20)
+    docs = table(spark, texts).withColumn("tier", F.lit("x"))
+    for _ in range(5):
+        store.append(docs.repartition(2))
+    before = store.manifest().count()
+    assert store.version() == 5 and before == 10
+    v = store.compact()
+    assert v == 6 and store.manifest().count() < before and store.manifest(5).count() == before
+    assert store.read().drop("__shard").exceptAll(docs.unionByName(docs).unionByName(docs).unionByName(docs).unionByName(docs)).count() == 0 and store.read().count() == 5 * len(texts)
+    assert store.manifest().agg(F.sum("rows")).first()[0] == 5 * len(texts)
+    with pytest.raises(Exception):  # a version is committed once
+        store._commit(5, store.manifest(5))
+    assert store.version() == 6 and store.vacuum() >= before and store.read().count() == 5 * len(texts)
+    assert store.append(docs.limit(0)) == 7 and store.read().count() == 5 * len(texts)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.execute(ORACLES[name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
