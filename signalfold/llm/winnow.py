@@ -21,6 +21,8 @@ from signalfold.llm.store import broadcast_if_small, fold_ascii, materialize
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
+#: Contaminated documents, whose rows hold their spans, up to which these are broadcast.
+SPAN_ROWS = 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -99,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     per = per.select("doc_id", "th", F.expr(covered).alias("n_hit"), "spans", "items")
     per = materialize(per, "hits")
     same = (F.col("b.doc_id").eqNullSafe(F.col("p.doc_id"))) & (F.col("b.th") == F.col("p.th"))
-    return base.drop("fps").alias("b").join(broadcast_if_small(per).alias("p"), same, "left").select(
+    return base.drop("fps").alias("b").join(broadcast_if_small(per, bound=SPAN_ROWS).alias("p"), same, "left").select(
         "b.doc_id", "b.th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
