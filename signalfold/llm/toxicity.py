@@ -1,11 +1,11 @@
 """Toxicity: cumulative-link ordinal regression over sparse word features.
 
-P(grade > k) = sigmoid(w.x - theta_k): the thresholds of all grades share the weights w, which FTRL-proximal
-keeps sparse. Features are a text's words and the first letters (PREFIXES) of its longer words, with log1p of
+P(grade > k) = sigmoid(w.x - theta_k): the thresholds of all grades share the weights w, which only the features
+that tell most about toxicity have. Features are a text's words and the first letters (PREFIXES) of its longer words, with log1p of
 their counts. The expected severity is the sum of P(grade > k); a document is toxic when
 P(grade > 0) reaches a cut chosen on the training rows.
 
-The labels say only toxic or not. Grades of toxic training rows come from their share of marker words,
+The labels say only toxic or not. Grades of toxic training rows come from how many marker words they hold,
 words that toxic rows hold far more often than clean rows: mild below the first of CUTS, then severe
 and extreme. The model is fitted on a hash sample of at most SAMPLE_ROWS labelled documents.
 
@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalfold.llm.linear import Ftrl, labelled_sample, places, sigmoid, vocabulary_of
+from signalfold.llm.linear import labelled_sample, places, sigmoid, vocabulary_of
 from signalfold.llm.store import ship
 
-SAMPLE_ROWS, PREFIXES, MIN_ROWS, EPOCHS, CHI2 = 16_000, (4, 6), 3, 8, 10.83
-#: Share of marker words from which a toxic row is severe, and extreme.
-CUTS = (0.01, 0.03)
+SAMPLE_ROWS, PREFIXES, MIN_ROWS, CHI2, TELLING = 16_000, (4, 6), 3, 15.0, 512
+#: Steps of the optimiser, their rate, and the weights' quadratic penalty.
+STEPS, RATE, PENALTY = 600, 0.05, 3e-6
+#: Marker words from which a toxic row is severe, and extreme.
+CUTS = (4, 10)
 GRADES = len(CUTS) + 2
 
 #: Least P(grade > 0) of a toxic document: the one of these with the best F1 on the training rows.
@@ -81,51 +83,55 @@ def _grades(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -
     odds = ((n_bad + 0.5) / (toxic.sum() + 1)) / ((clean + 0.5) / ((~toxic).sum() + 1))
     markers = bad[odds >= 20]
     out = np.zeros(len(rows), int)
-    for i, (ids, counts, n) in enumerate(rows):
+    for i, (ids, counts, _) in enumerate(rows):
         if toxic[i]:
             hit, _ = places(markers, ids)
-            out[i] = 1 + int(np.searchsorted(CUTS, counts[hit].sum() / max(1, n), side="right"))
+            out[i] = 1 + int(np.searchsorted(CUTS, counts[hit].sum(), side="right"))
     return out
 
 
 def _telling(ids: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Features whose rows are toxic more or less often than chance would have it (chi-squared over CHI2)."""
+    """The TELLING features whose rows are toxic most unlike chance (by chi-squared, over CHI2), ascending."""
     seen, n = vocabulary_of(ids, MIN_ROWS)
     bad, n_bad = vocabulary_of([x for x, t in zip(ids, toxic, strict=True) if t], 1)
     hit, at = places(seen, bad)
     a, rows, share = np.zeros(len(seen)), len(ids), toxic.mean()
     a[at] = n_bad[hit]
-    return seen[(a - n * share) ** 2 / (n * share * (1 - share) * (1 - n / (rows + 1))) > CHI2]
+    chi2 = (a - n * share) ** 2 / (n * share * (1 - share) * (1 - n / (rows + 1)))
+    best = np.argsort(-chi2, kind="stable")[:TELLING]
+    return np.sort(seen[best[chi2[best] > CHI2]])
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, seed: int = 7) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> Model:
+    """Penalised likelihood by full-batch Adam; thresholds are a first one and positive steps, so they stay in order."""
     if not toxic.any() or toxic.all():
         return Model()
     grade = _grades(rows, toxic)
     ids = _telling([r[0] for r in rows], toxic)
-    ftrl = Ftrl(len(ids), 1, alpha=2.0, l1=0.5, l2=0.002)
-    share = [max(float((grade > k).mean()), 1e-4) for k in range(GRADES - 1)]
-    theta, drift = -np.log(share) + np.log1p(-np.array(share)), np.ones(GRADES - 1)
-    sparse = [(p[1], np.log1p(c[p[0]])) for i, c, _ in rows for p in [places(ids, i)]]
-    order, rng = np.arange(len(rows)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        rng.shuffle(order)
-        for i in order:
-            at, x = sparse[i]
-            w = ftrl.weights(at)
-            s = float(x @ w[:, 0]) if len(at) else 0.0
-            # P(y) is a difference of neighbouring sigmoids; its log's gradients:
-            y, p = grade[i], np.concatenate([[1.0], sigmoid(s - theta), [0.0]])
-            d = p * (1 - p)
-            like = max(p[y] - p[y + 1], 1e-9)
-            ftrl.update(at, w, (-(d[y] - d[y + 1]) / like * x)[:, None])
-            g = np.zeros(GRADES + 1)
-            g[y] += d[y] / like
-            g[y + 1] -= d[y + 1] / like
-            g = np.clip(g[1:-1], -5, 5)
-            drift += g * g
-            theta = np.maximum.accumulate(theta + 0.3 / np.sqrt(drift) * -g)
-    w = ftrl.weights()[:, 0]
+    x = np.zeros((len(rows), len(ids)), np.float32)
+    for r, (own, counts, _) in enumerate(rows):
+        hit, at = places(ids, own)
+        x[r, at] = np.log1p(counts[hit])
+    share = np.array([max(float((grade > k).mean()), 1e-4) for k in range(GRADES - 1)])
+    first = np.log1p(-share) - np.log(share)
+    params = np.concatenate([np.zeros(len(ids)), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
+    m, v, n, at = np.zeros_like(params), np.zeros_like(params), len(ids), np.arange(len(rows))
+    for t in range(1, STEPS + 1):
+        w, theta = params[:n], params[n] + np.concatenate([[0.0], np.cumsum(np.exp(params[n + 1:]))])
+        # P(y) is a difference of neighbouring sigmoids; its log's gradients by the score and by each threshold:
+        p = np.hstack([np.ones((len(rows), 1)), sigmoid((x @ w.astype(np.float32))[:, None] - theta), np.zeros((len(rows), 1))])
+        d = p * (1 - p)
+        like = np.maximum(p[at, grade] - p[at, grade + 1], 1e-9)
+        up, down = d[at, grade] / like, d[at, grade + 1] / like
+        by_theta = np.zeros(GRADES + 1)
+        np.add.at(by_theta, grade, up)
+        np.add.at(by_theta, grade + 1, -down)
+        by_theta = by_theta[1:-1]
+        steps = np.exp(params[n + 1:]) * np.cumsum(by_theta[::-1])[::-1][1:]
+        g = np.concatenate([-(x.T @ (up - down).astype(np.float32)) / len(rows) + PENALTY * w, [by_theta.sum() / len(rows)], steps / len(rows)])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        params = params - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    w, theta = params[:n], params[n] + np.concatenate([[0.0], np.cumsum(np.exp(params[n + 1:]))])
     model = Model(ids[w != 0], w[w != 0], theta)
     p = np.array([model.above(i, c)[0] for i, c, _ in rows])
     f1 = {c: 2 * (toxic & (p >= c)).sum() / (toxic.sum() + (p >= c).sum()) for c in CHOICES}
