@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalfold.llm.linear import labelled_sample, places, sigmoid, vocabulary_of
-from signalfold.llm.store import ship
+from signalfold.llm.store import materialize, ship
 
 SAMPLE_ROWS, PREFIXES, MIN_ROWS, CHI2, TELLING = 16_000, (4, 6), 3, 15.0, 512
 #: Steps of the optimiser, their rate, and the weights' quadratic penalty.
@@ -151,11 +151,37 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
                 [b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int64())],
                 names=["doc_id", "y", "ids", "counts", "n"])
 
-    t = sample.select("doc_id", "text", "y").mapInArrow(batches, "doc_id long, y int, ids array<long>, counts array<int>, n long").toArrow().sort_by("doc_id")
+    schema = "doc_id long, y int, ids array<long>, counts array<int>, n long"
+    found = materialize(sample.select("doc_id", "text", "y").mapInArrow(batches, schema), "toxicity-features")
+    telling = _telling_of(found)
+
+    def reduced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for i, c in zip(b.column(2), b.column(3), strict=True):
+                own = np.array(i.values)
+                hit, _ = places(telling, own)
+                rows.append((own[hit], np.array(c.values)[hit]))
+            cols = [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), b.column(4)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    t = found.mapInArrow(reduced, schema).toArrow().sort_by("doc_id")
     rows = [(np.array(i.values), np.array(c.values), n) for i, c, n in zip(t["ids"], t["counts"], t["n"].to_pylist(), strict=True)]
     return fit(rows, np.array(t["y"].to_pylist(), int) > 0) if rows else Model()
 
 
+def _telling_of(found: DataFrame) -> np.ndarray:
+    """As _telling, of rows (y, ids) that stay on the executors: only the chosen features reach the driver."""
+    all_ = found.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("y") > 0).cast("int")).alias("share")).first()
+    if not all_.rows or all_.share in (0.0, 1.0):
+        return np.empty(0, np.int64)
+    per = found.select(F.explode("ids").alias("id"), (F.col("y") > 0).cast("int").alias("bad")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    n, share = F.col("n"), F.lit(float(all_.share))
+    chi2 = F.pow(F.col("bad") - n * share, F.lit(2)) / (n * share * (1 - share) * (1 - n / F.lit(float(all_.rows + 1))))
+    best = per.where(n >= MIN_ROWS).withColumn("chi2", chi2).where(F.col("chi2") > CHI2).orderBy(F.desc("chi2"), "id").limit(TELLING)
+    return np.array(sorted(r.id for r in best.select("id").collect()), np.int64)
+
+
 SCORES = "severity double, grade int, p_toxic double, toxic boolean"
 
 
