@@ -13,6 +13,8 @@ from signalfold.operators import correlate, evaluate, liveness, merge, reads
 from signalfold.operators.rules import Rule
 from signalfold.plans import gate
 from signalfold.plans.fixtures import raw, view, views, with_views
+from signalfold.sources import events as event_source
+from signalfold.sources import otlp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -372,3 +374,59 @@ def companion_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = raw(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), "ts", (F.col("event_type") != "error").alias("ok"))
     return liveness.failure_runs(probes)
+
+
+# -- flattening of wire documents built from the events table -------------------------------------------
+_NS = "cast(unix_micros(cast(ts as timestamp)) * 1000 as string)"
+_SERVICE = """'"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-', cast(user_id % 5 as string), '"}}]}'"""
+_OWN = """'"attributes":[{"key":"user.id","value":{"stringValue":"user-', cast(user_id as string), '"}},{"key":"n","value":{"intValue":"', cast(event_id as string), '"}}]'"""
+
+
+def _documents(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """One request for each event; it arrives ten seconds after the event."""
+    return raw(spark, sf_dir, "events").selectExpr(f"concat({', '.join(parts)}) as value", "cast(ts as timestamp) + interval 10 seconds as received_at")
+
+
+def _micros(c: str, name: str):
+    return F.unix_micros(c).alias(name)
+
+
+@_query("""select epoch_us(ts) as at, concat('svc-', cast(user_id % 5 as varchar)) as service_name, concat('user-', cast(user_id as varchar)) as actor_id,
+    case when event_type = 'error' then 24 else 9 end as severity, event_type as body, concat('{"n":', cast(event_id as varchar), ',"user.id":"user-', cast(user_id as varchar), '"}') as log_attributes from events""")
+def flatten_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(
+        spark, sf_dir, "'{\"resourceLogs\":[{'", _SERVICE, "',\"scopeLogs\":[{\"logRecords\":[{\"timeUnixNano\":\"'", _NS, "'\",\"severityNumber\":'", "if(event_type = 'error', '99', '9')",
+        "',\"body\":{\"stringValue\":\"'", "event_type", "'\"},'", _OWN, "'}]}]}]}'")
+    rows, _ = otlp.accept(otlp.flatten_logs(docs), "logs")
+    return rows.select(_micros("log_time", "at"), "service_name", "actor_id", F.col("severity_number").cast("int").alias("severity"), "body", "log_attributes")
+
+
+@_query("""select epoch_us(ts) as at, 2.5e0 as duration_ms, cast(user_id as varchar) as trace_id, cast(event_id as varchar) as span_id, event_type as name, case when event_type = 'error' then 2 else 1 end as status,
+    concat('user-', cast(user_id as varchar)) as actor_id from events where event_type <> 'view'""")
+def flatten_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views have no span id and are left out."""
+    docs = _documents(
+        spark, sf_dir, "'{\"resourceSpans\":[{'", _SERVICE, "',\"scopeSpans\":[{\"spans\":[{\"traceId\":\"'", "cast(user_id as string)", "'\",\"spanId\":\"'", "if(event_type = 'view', '', cast(event_id as string))",
+        "'\",\"name\":\"'", "event_type", "'\",\"startTimeUnixNano\":\"'", _NS, "'\",\"endTimeUnixNano\":'", "cast(unix_micros(cast(ts as timestamp)) * 1000 + 2500000 as string)",
+        "',\"status\":{\"code\":'", "if(event_type = 'error', '7', '1')", "'},'", _OWN, "'}]}]}]}'")
+    rows = otlp.flatten_spans(docs)
+    return rows.select(_micros("start_time", "at"), "duration_ms", "trace_id", "span_id", "name", F.col("status_code").cast("int").alias("status"), "actor_id")
+
+
+@_query("""select epoch_us(ts) as at, concat('app.', event_type) as metric_name, 'gauge' as metric_type, value as value_double, concat('svc-', cast(user_id % 5 as varchar)) as service_name from events""")
+def flatten_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(
+        spark, sf_dir, "'{\"resourceMetrics\":[{'", _SERVICE, "',\"scopeMetrics\":[{\"metrics\":[{\"name\":\"app.'", "event_type", "'\",\"gauge\":{\"dataPoints\":[{\"timeUnixNano\":\"'", _NS,
+        "'\",\"asDouble\":'", "cast(value as string)", "'}]}}]}]}]}'")
+    return otlp.flatten_metrics(docs).select(_micros("time", "at"), "metric_name", "metric_type", "value_double", "service_name")
+
+
+@_query("""select case when user_id % 7 = 0 then 'invalid' else 'ok' end as outcome, count(*) as batches from events group by 1""")
+def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch for each event; those of every seventh user have a blank actor and are refused."""
+    at = "date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
+    docs = _documents(
+        spark, sf_dir, "'{\"events\":[{\"event_id\":\"00000000-0000-0000-0000-'", "lpad(cast(event_id as string), 12, '0')", "'\",\"event_name\":\"'", "event_type", "'\",\"session_id\":\"s\",\"actor_id\":\"'",
+        "if(user_id % 7 = 0, ' ', cast(user_id as string))", "'\",\"timestamp_client\":\"'", at, "'\",\"properties\":'", "props", "'}]}'")
+    _, verdicts = event_source.read_batches(docs)
+    return verdicts.groupBy("outcome").agg(F.count(F.lit(1)).alias("batches"))

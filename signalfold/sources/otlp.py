@@ -175,6 +175,8 @@ def over_limit(requests: DataFrame, table: str, most: int = MAX_RECORDS) -> Data
     ddl, lists = {
         "logs": (S.OTLP_LOGS, "flatten(transform(flatten(transform(r.resourceLogs, a -> coalesce(a.scopeLogs, array()))), b -> coalesce(b.logRecords, array())))"),
         "spans": (S.OTLP_TRACES, "flatten(transform(flatten(transform(r.resourceSpans, a -> coalesce(a.scopeSpans, array()))), b -> coalesce(b.spans, array())))"),
+        "metric_points": (S.OTLP_METRICS, "flatten(transform(flatten(transform(flatten(transform(r.resourceMetrics, a -> coalesce(a.scopeMetrics, array()))), b -> coalesce(b.metrics, array()))), "
+                          "m -> concat(transform(coalesce(m.gauge.dataPoints, array()), p -> 1), transform(coalesce(m.sum.dataPoints, array()), p -> 1), transform(coalesce(m.histogram.dataPoints, array()), p -> 1))))"),
     }[table]
-    n = F.coalesce(F.size(F.expr(lists.replace("r.", "__r."))), F.lit(0))
+    n = F.coalesce(F.size(F.expr(lists.replace("(r.", "(__r."))), F.lit(0))
     return requests.withColumn("__r", F.from_json("value", StructType.fromDDL(ddl))).withColumn("n_records", F.greatest(n, F.lit(0))).drop("__r").withColumn("too_many", F.col("n_records") > most)

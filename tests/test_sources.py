@@ -97,6 +97,13 @@ def test_metrics(spark):
     assert rows["cpu", "gauge"].point_id.replace("-", "") == hashlib.sha256(raw).hexdigest()[:32]
 
 
+def test_requests_over_the_limit(spark):
+    point = {"timeUnixNano": str(NANOS), "asDouble": 1}
+    doc = {"resourceMetrics": [{"scopeMetrics": [{"metrics": [{"name": "m", "gauge": {"dataPoints": [point] * 3}}]}, {}]}, {}]}
+    assert [(r.n_records, r.too_many) for r in otlp.over_limit(requests(spark, doc), "metric_points", 2).collect()] == [(3, True)]
+    assert [(r.n_records, r.too_many) for r in otlp.over_limit(requests(spark, log_request(RECORD, RECORD), "broken"), "logs", 2).collect()] == [(2, False), (0, False)]
+
+
 def event(i=0, **more):
     return {"event_id": f"00000000-0000-0000-0000-{i:012}", "event_name": "open", "actor_id": "u", "session_id": "s", "timestamp_client": "2024-06-20T10:15:30.123Z", "properties": {"k": "v"}} | more
 
