@@ -2,7 +2,9 @@
 
 All of it is row-local SQL: one scan, no shuffle, no Python. A pattern P is applied as \\G.*?(P), which
 cuts a text into pieces that each end with a match, so the pieces' lengths give the matches' places.
-Quantifiers are possessive where giving back can't help, which keeps long runs linear.
+Quantifiers are possessive where giving back can't help, which keeps long runs linear. An `iban` is only found
+by its head; its end is the one at its country's length, or for other countries the last one at a word boundary,
+where mod 97 holds, so what follows it (a capitalised word, a number, another IBAN) does not hide it.
 
 The four base kinds are reported whenever their pattern and check hold. Two further kinds, `iban` (mod 97)
 and `ssn` (no checksum, so it needs a context word), are reported when their score reaches THRESHOLD.
@@ -22,11 +24,19 @@ KINDS = {
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"{t} rlike '[0-9]\\.[0-9]'", "ip|host|server|address|adresse"),
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", r"{t} rlike '[0-9][\\x20-]?[0-9][\\x20-]?[0-9]'", "card|visa|credit|payment|carte|karte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "instr({t}, '+') > 0", "phone|call|tel|fax|mobile|telefon|llamar"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"{t} rlike '[A-Z][A-Z][0-9][0-9]'", "iban|account|bank|konto|compte|cuenta"),
+    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", r"{t} rlike '[A-Z][A-Z][0-9][0-9]'", "iban|account|bank|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"{t} rlike '[0-9]-[0-9][0-9]-[0-9]'", "ssn|social security"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: Score of a match before and after its check, of a context word within CONTEXT characters, and what reports a span.
+#: Characters of an IBAN, blanks aside (ISO 13616), and its bounds in any country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LEAST, IBAN_MOST = 15, 34
+
 PROPOSED, CHECKED, NEARBY, CONTEXT, THRESHOLD = 0.3, 0.4, 0.3, 40, 0.6
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -64,6 +74,21 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\") + "'"
 
 
+def _ibans(cut: str, t: str) -> str:
+    """SQL: m and upto of the IBANs in text t whose four-character heads end the pieces in `cut`; of overlapping ones the first counts."""
+    most = 4 + 2 * (IBAN_MOST - 4)
+    body = rf"^.{{4}}(?:\x20?[A-Z0-9]){{{IBAN_LEAST - 4},{IBAN_MOST - 4}}}+"
+    lengths = "map(" + ", ".join(f"'{c}', {n}" for n, codes in IBAN_LENGTHS.items() for c in codes.split()) + ")"
+    heads = f"transform({cut}, x -> named_struct('at', x.upto - 4, 'w', substr({t}, x.upto - 3, {most + 1})))"
+    # (e: where it may end; n: its characters without blanks)
+    ends = f"""transform(filter(sequence({IBAN_LEAST}, length(regexp_extract(x.w, {_quoted(body)}, 0))), e -> substr(x.w, e, 1) <> ' ' and not substr(x.w, e + 1, 1) rlike '[A-Za-z0-9]'),
+        e -> named_struct('e', e, 'n', length(replace(substr(x.w, 1, e), ' ', ''))))"""
+    holds = f"y.n >= {IBAN_LEAST} and y.n = coalesce(try_element_at({lengths}, substr(x.w, 1, 2)), y.n) and {_mod97('substr(x.w, 1, y.e)')}"
+    best = f"transform({heads}, x -> named_struct('at', x.at, 'm', substr(x.w, 1, coalesce(array_max(filter({ends}, y -> {holds})).e, 0))))"
+    return f"""aggregate({best}, named_struct('upto', 0, 'out', cast(array() as array<struct<m:string,upto:int>>)),
+        (s, x) -> if(x.m = '' or x.at < s.upto, s, named_struct('upto', x.at + length(x.m), 'out', array_append(s.out, named_struct('m', x.m, 'upto', x.at + length(x.m))))), s -> s.out)"""
+
+
 def _spans(kind: str, no: int, t: str) -> str:
     """SQL: the spans of one kind in text t."""
     pattern, guard, words = KINDS[kind]
@@ -72,7 +97,7 @@ def _spans(kind: str, no: int, t: str) -> str:
     # The piece is matched again behind a character that keeps \G out of the way of the pattern's own anchors.
     cut = f"""aggregate({pieces}, named_struct('upto', 0, 'out', cast(array() as array<struct<piece:string,upto:int>>)),
         (s, p) -> named_struct('upto', s.upto + length(p), 'out', array_append(s.out, named_struct('piece', p, 'upto', s.upto + length(p)))), s -> s.out)"""
-    found = f"transform({cut}, x -> named_struct('m', regexp_extract(x.piece, {_quoted(whole)}, 1), 'upto', x.upto))"
+    found = _ibans(cut, t) if kind == "iban" else f"transform({cut}, x -> named_struct('m', regexp_extract(x.piece, {_quoted(whole)}, 1), 'upto', x.upto))"
     near = f"lower(substr({t}, greatest(x.upto - length(x.m) - {CONTEXT} + 1, 1), least({CONTEXT}, x.upto - length(x.m)))) rlike '(?:{words})'"
     score = f"{PROPOSED}D + if({'false' if kind == 'ssn' else 'true'}, {CHECKED}D, 0D) + if({near}, {NEARBY}D, 0D)"
     return f"""transform(filter({found}, x -> {CHECKS[kind]('x.m')}),

@@ -175,6 +175,20 @@ def test_pii_further_kinds_and_redaction(spark):
     assert [r.text for r in pii.redact(rows).orderBy("doc_id").collect()][4] == "mail <email>!"
 
 
+def test_iban_before_other_words(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    first = lambda m: f"iban:0:{len(m)}"
+    cases = {
+        f"{spaced} BIC COBADEFFXXX": first(spaced), f"{de} Bitte": first(de), f"{de} 2024": first(de), f"{gb} I paid": first(gb), f"{de} 1 A 2 B 3 C 4 D 5 E 6 F": first(de),
+        f"{spaced} {gb}": "iban:0:27,iban:28:50", f"AB12 {spaced} X": "iban:5:32", f"NO93 8601 1117 947 {de}": "iban:0:18,iban:19:41", f"é😀 {spaced} 日": "iban:3:30", f"{de}X": "", f"DE88{de[4:]} BIC": "", f"X{de} A": "",
+        "MT84MALT011000012345MTLCAST001S A1": "iban:0:31", "ZZ74500105175407324931 Konto": "iban:0:22", "AB12 " * 5000: "", de + " 2024" * 3: first(de),
+    }
+    got = [r.s for r in pii.find_pii(table(spark, list(cases))).orderBy("doc_id").select(pii.span_text("pii", ("iban",)).alias("s")).collect()]
+    assert dict(zip(cases, got, strict=True)) == cases
+    left = pii.redact(table(spark, [f"{spaced} BIC COBADEFFXXX", f"{gb} I paid"])).orderBy("doc_id").collect()
+    assert [r.text for r in left] == ["<iban> BIC COBADEFFXXX", "<iban> I paid"]
+
+
 # -- tokens --------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
