@@ -2,9 +2,10 @@
 
 Arrivals are appended as small immutable shards. A compaction groups the live shards into tiers by size
 (each tier spans a factor of FAN), and merges each tier that holds at least FAN shards into files of about
-the target size: the tier's files are read together and coalesced to bytes / target tasks, a narrow job
-with no shuffle. Each merged file then belongs to a higher tier, so a row is rewritten a logarithmic
-number of times. A version is a Parquet table of its shards (path, rows, bytes) and a small pointer file
+the target size: the tier's files, each under half the target, are packed into read splits of at most the
+target, and each split is written as one file, a narrow job with no shuffle. All files but the last are over
+half the target or belong to a higher tier, so a row is rewritten a logarithmic number of times. Arrivals are
+read in splits of a FAN-th of the target, so their shards are small whatever the cluster's own split is. A version is a Parquet table of its shards (path, rows, bytes) and a small pointer file
 that is renamed into place without overwriting: readers see the old or the new version, a second writer of
 the same version fails, and a lost job leaves only files that no manifest names.
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,19 @@ TARGET_BYTES = 128 << 20
 MANIFEST = "path string, rows long, bytes long, tier int"
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: int) -> Iterator[None]:
+    """spark.sql.files.<name> for the jobs inside; the old values come back after."""
+    old = {f"spark.sql.files.{k}": spark.conf.get(f"spark.sql.files.{k}", None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(f"spark.sql.files.{k}", str(v))
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fan: int = FAN):
         self.spark, self.root, self.target, self.fan = spark, root.rstrip("/"), target_bytes, fan
@@ -95,7 +111,9 @@ class ShardStore:
         """Store arrivals as new shards, one for each of their partitions; returns the version."""
         base = self.version()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        arrivals.write.option("compression", "zstd").parquet(folder)
+        split = self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+        with _settings(self.spark, maxPartitionBytes=min(split, max(1, self.target // self.fan))):
+            arrivals.write.option("compression", "zstd").parquet(folder)
         return self._commit(base, self.manifest(base).unionByName(self._described(folder, arrivals.schema)))
 
     def compact(self) -> int:
@@ -112,7 +130,8 @@ class ShardStore:
             schema = schema or self.spark.read.parquet(paths[0]).schema
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             rows = self.spark.read.schema(schema).parquet(*paths)
-            rows.coalesce(max(1, round(t.bytes / self.target))).write.option("compression", "zstd").parquet(folder)
+            with _settings(self.spark, maxPartitionBytes=self.target, openCostInBytes=0, minPartitionNum=1):
+                rows.write.option("compression", "zstd").parquet(folder)
             made.append(self._described(folder, schema))
         merged = self.spark.createDataFrame([(t.tier,) for t in tiers], "tier int")
         keep = live.join(F.broadcast(merged.withColumn("merged", F.lit(True))), "tier", "left").where(F.col("merged").isNull() | (F.col("bytes") >= self.target / 2))

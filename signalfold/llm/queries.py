@@ -22,7 +22,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in four batches, each is appended and the store compacted; then all rows are read back."""
     docs = table(spark, sf_dir, "documents")
-    store = ShardStore(spark, scratch_path(spark, "shards"), target_bytes=16 << 20)
+    store = ShardStore(spark, scratch_path(spark, "shards"))
     for batch in range(4):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == batch))
         store.compact()

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalfold.llm import bpe, minhash, pii, rans, winnow
+from signalfold.llm import bpe, compaction, minhash, pii, queries, rans, winnow
 from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
 from signalfold.llm.queries import ORACLES, QUERIES, vocabulary
@@ -279,6 +279,39 @@ def test_compaction(spark, texts, tmp_path):
     assert store.append(docs.limit(0)) == 7 and store.read().count() == 5 * len(texts)
 
 
+def test_merged_shards_meet_the_target(spark, tmp_path):
+    target = 256 << 10
+    store = ShardStore(spark, f"{tmp_path}/store", target_bytes=target)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    store.append(docs.repartition(48))
+    before = [r.bytes for r in store.manifest().collect()]
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    store.compact()
+    after = sorted(r.bytes for r in store.manifest().collect())
+    assert max(before) < target / 2 and sum(before) > 8 * target
+    assert len(after) < len(before) / 2 and after[-1] <= 1.1 * target and after[1] > 0.4 * target
+    assert store.read().count() == 40_000 and spark.conf.get("spark.sql.files.maxPartitionBytes") == split
+
+
+def test_scanned_arrivals_are_small_shards(spark, tmp_path):
+    path, target = f"{tmp_path}/in", 1 << 20
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    docs.repartition(24).write.parquet(path)
+    store = ShardStore(spark, f"{tmp_path}/store", target_bytes=target)
+    store.append(spark.read.parquet(path))
+    shards = store.manifest().collect()
+    assert sum(r.bytes for r in shards) > 2 * target and max(r.bytes for r in shards) < target / 2
+    store.compact()
+    assert store.manifest().count() < len(shards) and store.read().count() == 60_000
+
+
+def test_sharding_query_uses_the_store_as_it_is(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(queries, "ShardStore", lambda *a, **b: made.append(ShardStore(*a, **b)) or made[-1])
+    n = queries.op2_sharding(spark, "/root/testdata/sf0.001").count()
+    assert [s.target for s in made] == [compaction.TARGET_BYTES] and made[0].read().count() == n
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_their_sql(spark, name):
     import duckdb
