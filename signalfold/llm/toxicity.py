@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression over sparse word features.
 
-P(grade > k) = sigmoid(w.x - theta_k): the thresholds of all grades share the weights w, which only the features
-that tell most about toxicity have. Features are a text's words and the first letters (PREFIXES) of its longer words, with log1p of
+P(grade > k) = sigmoid(w.x - theta_k): the thresholds of all grades share the weights w, which all features
+that tell about toxicity (chi-squared over CHI2) have. Features are a text's words and the first letters (PREFIXES) of its longer words, with log1p of
 their counts. The expected severity is the sum of P(grade > k); a document is toxic when
 P(grade > 0) reaches a cut chosen on the training rows.
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from signalfold.llm.linear import labelled_sample, places, sigmoid, vocabulary_of
 from signalfold.llm.store import materialize, ship
 
-SAMPLE_ROWS, PREFIXES, MIN_ROWS, CHI2, TELLING = 16_000, (4, 6), 3, 15.0, 512
+SAMPLE_ROWS, PREFIXES, MIN_ROWS, CHI2 = 16_000, (4, 6), 3, 15.0
 #: Steps of the optimiser, their rate, and the weights' quadratic penalty.
 STEPS, RATE, PENALTY = 600, 0.05, 3e-6
 #: Marker words from which a toxic row is severe, and extreme.
@@ -91,15 +91,14 @@ def _grades(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -
 
 
 def _telling(ids: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The TELLING features whose rows are toxic most unlike chance (by chi-squared, over CHI2), ascending."""
+    """The features whose rows are toxic unlike chance (chi-squared over CHI2), ascending."""
     seen, n = vocabulary_of(ids, MIN_ROWS)
     bad, n_bad = vocabulary_of([x for x, t in zip(ids, toxic, strict=True) if t], 1)
     hit, at = places(seen, bad)
     a, rows, share = np.zeros(len(seen)), len(ids), toxic.mean()
     a[at] = n_bad[hit]
     chi2 = (a - n * share) ** 2 / (n * share * (1 - share) * (1 - n / (rows + 1)))
-    best = np.argsort(-chi2, kind="stable")[:TELLING]
-    return np.sort(seen[best[chi2[best] > CHI2]])
+    return seen[chi2 > CHI2]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> Model:
@@ -108,10 +107,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> Mo
         return Model()
     grade = _grades(rows, toxic)
     ids = _telling([r[0] for r in rows], toxic)
-    x = np.zeros((len(rows), len(ids)), np.float32)
-    for r, (own, counts, _) in enumerate(rows):
-        hit, at = places(ids, own)
-        x[r, at] = np.log1p(counts[hit])
+    found = [places(ids, own) for own, _, _ in rows]
+    # The matrix is sparse: entry i holds value[i] in row[i], col[i].
+    row, col = np.repeat(np.arange(len(rows)), [len(c) for _, c in found]), np.concatenate([c for _, c in found])
+    value = np.log1p(np.concatenate([c[hit] for (_, c, _), (hit, _) in zip(rows, found, strict=True)]).astype(float))
     share = np.array([max(float((grade > k).mean()), 1e-4) for k in range(GRADES - 1)])
     first = np.log1p(-share) - np.log(share)
     params = np.concatenate([np.zeros(len(ids)), [first[0]], np.log(np.maximum(np.diff(first), 1e-2))])
@@ -119,7 +118,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> Mo
     for t in range(1, STEPS + 1):
         w, theta = params[:n], params[n] + np.concatenate([[0.0], np.cumsum(np.exp(params[n + 1:]))])
         # P(y) is a difference of neighbouring sigmoids; its log's gradients by the score and by each threshold:
-        p = np.hstack([np.ones((len(rows), 1)), sigmoid((x @ w.astype(np.float32))[:, None] - theta), np.zeros((len(rows), 1))])
+        p = np.hstack([np.ones((len(rows), 1)), sigmoid(np.bincount(row, value * w[col], len(rows))[:, None] - theta), np.zeros((len(rows), 1))])
         d = p * (1 - p)
         like = np.maximum(p[at, grade] - p[at, grade + 1], 1e-9)
         up, down = d[at, grade] / like, d[at, grade + 1] / like
@@ -128,7 +127,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -> Mo
         np.add.at(by_theta, grade + 1, -down)
         by_theta = by_theta[1:-1]
         steps = np.exp(params[n + 1:]) * np.cumsum(by_theta[::-1])[::-1][1:]
-        g = np.concatenate([-(x.T @ (up - down).astype(np.float32)) / len(rows) + PENALTY * w, [by_theta.sum() / len(rows)], steps / len(rows)])
+        g = np.concatenate([-np.bincount(col, value * (up - down)[row], n) / len(rows) + PENALTY * w, [by_theta.sum() / len(rows)], steps / len(rows)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params = params - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     w, theta = params[:n], params[n] + np.concatenate([[0.0], np.cumsum(np.exp(params[n + 1:]))])
@@ -178,8 +177,8 @@ def _telling_of(found: DataFrame) -> np.ndarray:
     per = found.select(F.explode("ids").alias("id"), (F.col("y") > 0).cast("int").alias("bad")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     n, share = F.col("n"), F.lit(float(all_.share))
     chi2 = F.pow(F.col("bad") - n * share, F.lit(2)) / (n * share * (1 - share) * (1 - n / F.lit(float(all_.rows + 1))))
-    best = per.where(n >= MIN_ROWS).withColumn("chi2", chi2).where(F.col("chi2") > CHI2).orderBy(F.desc("chi2"), "id").limit(TELLING)
-    return np.array(sorted(r.id for r in best.select("id").collect()), np.int64)
+    found = per.where(n >= MIN_ROWS).where(chi2 > CHI2).select("id").toArrow()
+    return np.sort(found["id"].to_numpy()).astype(np.int64)
 
 
 SCORES = "severity double, grade int, p_toxic double, toxic boolean"

@@ -62,6 +62,19 @@ def test_ordinal_thresholds_share_weights():
     assert (np.diff(few) <= 1e-12).all() and many.sum() > few.sum() and m.above(*toxicity.features("w1 w2")[:2])[0] < m.cut
 
 
+def test_every_telling_word_counts(spark):
+    # 676 tell-tale words, each in at least four rows, all of them toxic.
+    texts = [" ".join(f"vzz{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(8 * (k % 100), 8 * (k % 100) + 8)) for k in range(400)]
+    toxic = [(k, t, 1) for k, t in enumerate(texts)]
+    rows = toxic + [(1000 + k, f"clean words here and there {k}", 0) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    words = {w for t in texts for w in t.split()}
+    ids = {int(toxicity.features(w)[0][0]) for w in words}
+    assert len(words) > 600 and ids <= set(m.ids.tolist())
+    assert all(m.above(*toxicity.features(t)[:2])[0] >= m.cut for t in texts[:100])
+
+
 def test_isotonic_is_ascending():
     x = np.array([0.0, 1, 2, 3, 4, 5])
     at, value = quality.isotonic(x, np.array([0.0, 1, 0, 1, 1, 0]))
