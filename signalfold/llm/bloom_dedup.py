@@ -97,7 +97,7 @@ class BloomDedup:
             F.lower(F.hex("sha")).alias("text_sha256"))
 
     def deduplicate(self) -> DataFrame:
-        """The input rows that stay, with all their columns; unrepeated rows never shuffle."""
+        """The input rows that stay, with all their columns; unrepeated rows shuffle only where the bit table is too large to broadcast."""
         whole = self.docs.select(F.struct("*").alias("__row"), _digest(F.col(self.text)).alias("sha"))
         probed = _probe(whole, self.words, self.n_words, self.m)
         alone = probed.where(~F.col("__maybe")).select("__row")
