@@ -1,6 +1,10 @@
 """The pipeline's stages: each acts on its own input and keeps clean documents."""
 
+import re
+
 import corpus_pipeline as P
+from signalfold.llm import toxicity
+from tests.llm.test_text_operators import brute_components, brute_windows
 
 DIR = "/root/testdata/sf0.001"
 
@@ -20,3 +24,38 @@ def test_stages(spark):
     last = P.STAGES[-1][1](spark, docs, DIR)
     assert last.count() == sizes[-1] and last.where("size(ids) <> n_tokens").isEmpty()
     assert P.run(spark, DIR).select("doc_id").exceptAll(last.select("doc_id")).isEmpty()
+
+
+def test_stages_keep_what_brute_force_keeps(spark):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    leak = next(t for _, t in bench if len(t.split()) > 12)
+    own = [f"w{i} " * 3 + " ".join(f"x{i}y{j}" for j in range(60)) for i in range(4)]
+    planted = [own[0], own[0].replace(" ", "\n"), own[0] + "  ", own[1], own[1].replace("x1y30", "other"), own[2] + " end", own[2], "so " + leak + " it is", own[3], None, ""]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    extra = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    docs = docs.unionByName(extra, allowMissingColumns=True).localCheckpoint()
+    stages = dict(P.STAGES)
+
+    def held(name):
+        return sorted(r.doc_id for r in stages[name](spark, docs, DIR).select("doc_id").collect())
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+
+    model = toxicity.train(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    clean = [i for i in ids if model.above(*toxicity.features(texts[i])[:2])[0] < model.cut]
+    assert held("toxicity") == clean and len(clean) < len(ids)
+
+    best = {}
+    for i in ids:
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", texts[i] or ""), []).append(i)
+    single = sorted(min(g, key=lambda i: (-len(texts[i] or ""), i)) for g in best.values())
+    assert held("exact dedup") == single and len(single) < len(ids)
+
+    place = brute_components([texts[i] for i in ids], 5, 80)
+    apart = [i for k, i in enumerate(ids) if place[k][2]]
+    assert held("near dedup") == apart and len(apart) < len(single)
+
+    found = brute_windows([texts[i] for i in ids], bench)
+    unseen = [i for k, i in enumerate(ids) if not found[k][1]]
+    assert held("decontamination") == unseen and len(unseen) < len(ids)
