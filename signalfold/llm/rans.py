@@ -2,15 +2,15 @@
 
 A file row is one shard: whole documents in doc_id order, up to about SHARD_IDS ids. Its payload holds one
 frequency table, shared by the shard's blocks, and independent blocks of up to BLOCK_IDS ids. A block is
-LANES interleaved coders with 64-bit states and 32-bit words; id number i belongs to lane i mod LANES, so
-numpy advances all lanes at once. A block's header has its id count, the CRC-32 of its ids and
+LANES interleaved coders with 64-bit states and 32-bit words; id number i belongs to lane i mod LANES (a block of fewer
+ids has a lane for each STEPS of them), so numpy advances all lanes at once. A block's header has its id count, the CRC-32 of its ids and
 checkpoints: every CHECKPOINT steps the word offset and the lane states, from each of which decoding can
 start, so parts of a block can be decoded in parallel too. Spark writes and reads the rows as Parquet: lost tasks
 are repeated and commit once, and any store that Spark reads will do.
 
 Layout, little-endian: b"RANS", u32 version, u32 bytes of the packed table, u32 blocks; the table (zlib: ids as
 u32, then frequencies as u32, which sum to 2^SCALE); for each block u32 ids, u32 CRC-32, u32 checkpoints,
-u32 words, then the checkpoints (u32 step, u32 word, LANES u64 states), then the words.
+u32 words, u32 lanes, then the checkpoints (u32 step, u32 word, a u64 state for each lane), then the words.
 
 Defined cases: a null text is empty and holds the end id alone; null doc_ids come first, equal doc_ids in order
 of their text; an empty table makes no shard and an empty result; a document longer than a shard has one of its own.
@@ -18,6 +18,8 @@ of their text; an empty table makes no shard and an empty result; a document lon
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from array import array
@@ -30,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalfold.llm.bpe import RunTable, runs
-from signalfold.llm.store import ship
+from signalfold.llm.bpe import RunTable, byte_alphabet, encoded
+from signalfold.llm.store import ship, slices
 
-MAGIC, VERSION = b"RANS", 1
-SCALE, LANES, BLOCK_IDS, SHARD_IDS, CHECKPOINT = 20, 1024, 1 << 20, 1 << 22, 512
+MAGIC, VERSION = b"RANS", 2
+SCALE, LANES, STEPS, BLOCK_IDS, SHARD_IDS, CHECKPOINT = 20, 4096, 32, 1 << 20, 1 << 22, 128
 LOW = np.uint64(1 << 31)
 SHARD = "part int, seq int, n_ids long, doc_ids array<long>, counts array<int>, payload binary"
 
@@ -51,13 +53,14 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray, limit: np.ndarray) -> bytes:
-    steps = -(-len(ids) // LANES)
-    x = np.full(LANES, LOW, np.uint64)
+    lanes = min(LANES, -(-len(ids) // STEPS))
+    steps = -(-len(ids) // lanes)
+    x = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = []
     marks: list[tuple[int, int, np.ndarray]] = []
     written = 0
     for s in range(steps - 1, -1, -1):
-        row = ids[s * LANES:(s + 1) * LANES]
+        row = ids[s * lanes:(s + 1) * lanes]
         y, f = x[:len(row)], freq[row]
         full = y >= limit[row]
         if full.any():
@@ -70,7 +73,7 @@ def _encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray, limit: np.
         if s % CHECKPOINT == 0:
             marks.append((s, written, x.copy()))
     stream = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
-    head = struct.pack("<4I", len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(marks), len(stream))
+    head = struct.pack("<5I", len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(marks), len(stream), lanes)
     rows = b"".join(struct.pack("<2I", s, written - w) + st.astype("<u8").tobytes() for s, w, st in reversed(marks))
     return head + rows + stream.astype("<u4").tobytes()
 
@@ -110,25 +113,25 @@ class ShardReader:
         self.table = Table(both[:len(both) // 2], both[len(both) // 2:])
         self.slots, self.payload, self.blocks, at = self.table.slots(), payload, [], 16 + packed
         for _ in range(n):
-            ids, crc, marks, words = struct.unpack_from("<4I", payload, at)
-            self.blocks.append((at + 16, ids, crc, marks, words))
-            at += 16 + marks * (8 + 8 * LANES) + 4 * words
+            ids, crc, marks, words, lanes = struct.unpack_from("<5I", payload, at)
+            self.blocks.append((at + 20, ids, crc, marks, words, lanes))
+            at += 20 + marks * (8 + 8 * lanes) + 4 * words
 
     def part(self, block: int, mark: int) -> np.ndarray:
         """The ids from one checkpoint to the next."""
-        at, n, _, marks, words = self.blocks[block]
-        each = 8 + 8 * LANES
+        at, n, _, marks, words, lanes = self.blocks[block]
+        each = 8 + 8 * lanes
         step, pos = struct.unpack_from("<2I", self.payload, at + mark * each)
-        x = np.frombuffer(self.payload, "<u8", LANES, at + mark * each + 8).astype(np.uint64)
+        x = np.frombuffer(self.payload, "<u8", lanes, at + mark * each + 8).astype(np.uint64)
         stream = np.frombuffer(self.payload, "<u4", words, at + marks * each)
-        stop = min(step + CHECKPOINT, -(-n // LANES))
-        t, out = self.table, np.empty(min(stop * LANES, n) - step * LANES, np.uint32)
+        stop = min(step + CHECKPOINT, -(-n // lanes))
+        t, out = self.table, np.empty(min(stop * lanes, n) - step * lanes, np.uint32)
         mask, shift = np.uint64((1 << SCALE) - 1), np.uint64(SCALE)
         for s in range(step, stop):
-            y = x[:min(LANES, n - s * LANES)]
+            y = x[:min(lanes, n - s * lanes)]
             low = y & mask
             k = self.slots[low]
-            out[(s - step) * LANES:(s - step) * LANES + len(y)] = k
+            out[(s - step) * lanes:(s - step) * lanes + len(y)] = k
             y[:] = t.freq[k] * (y >> shift) + low - t.cum[k]
             need = y < LOW
             c = int(np.count_nonzero(need))
@@ -138,7 +141,7 @@ class ShardReader:
         return t.seen[out]
 
     def block(self, i: int) -> np.ndarray:
-        _, _, crc, marks, _ = self.blocks[i]
+        _, _, crc, marks, _, _ = self.blocks[i]
         ids = np.concatenate([self.part(i, m) for m in range(marks)])
         if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i}: checksum differs")
@@ -150,32 +153,36 @@ class ShardReader:
 
 # -- tokens through the library -----------------------------------------------------------------------
 class LibraryEncoder:
-    """The library's ids of a text. It encodes each run without white space apart, once while the bounded table keeps it:
-    neither its normaliser nor its splitter joins anything across white space."""
+    """The library's ids of many texts. It encodes each distinct run without white space apart, once while the bounded table
+    keeps it; words of a plain run, which normalising and splitting leave as they are, go to its model directly."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.model = self.library.model
-        self.table = RunTable(self._run)
+        self.model, self.shown = self.library.model, dict(enumerate(byte_alphabet()))
+        self.table = RunTable(self._words, self._others)
 
-    def _run(self, run: str) -> bytes:
-        if run.isascii() and run.isalpha():  # small letters: one word, which normalising and splitting leave as it is
-            return array("H", [t.id for t in self.model.tokenize(run)]).tobytes()
-        return array("H", self.library.encode(run, add_special_tokens=False).ids).tobytes()
+    def _words(self, words: list[str]) -> list[bytes]:
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.shown) for w in words]
+        return [array("H", [t.id for t in self.model.tokenize(w)]).tobytes() for w in shown]
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):
-            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.table.__getitem__, runs(text)))
+    def _others(self, runs: list[str]) -> list[bytes]:
+        return [array("H", x.ids).tobytes() for x in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, and where each text's end after a leading 0."""
+        return encoded(self.table, texts, self.special, self._alone)
 
 
 @lru_cache(maxsize=1)
@@ -187,32 +194,38 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> No
     """Encode docs (doc_id, text), add end_id to each and write shards in order of doc_id under `out`."""
     ship(docs.sparkSession)
     parts = max(1, docs.rdd.getNumPartitions())
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    types = {"part": pa.int32(), "seq": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "payload": pa.binary()}
 
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _library(vocabulary), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
         ids, doc_ids, counts, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u2")
-            row = {"part": part, "seq": seq, "n_ids": len(flat), "doc_ids": doc_ids, "counts": counts, "payload": encode_shard(flat)}
-            types = {"part": pa.int32(), "seq": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "payload": pa.binary()}
+            row = {"part": part, "seq": seq, "n_ids": held, "doc_ids": pa.concat_arrays(doc_ids), "counts": np.concatenate(counts), "payload": encode_shard(np.concatenate(ids))}
             return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in types.items()], names=list(types))
 
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = encoder.encode(t) + end
-                    if held and held + len(x) // 2 > SHARD_IDS:
+            for b in slices(whole, 1):
+                flat, ends = encoder.batch(b.column(1))
+                flat = np.insert(flat, ends[1:], end_id)
+                ends = ends + np.arange(len(ends))
+                first = 0
+                while first < b.num_rows:
+                    # As many more documents as the shard takes; one at least if it is empty.
+                    stop = int(np.searchsorted(ends, ends[first] + SHARD_IDS - held, side="right")) - 1
+                    stop = max(stop, first + (not held))
+                    if stop > first:
+                        ids.append(flat[ends[first]:ends[stop]])
+                        doc_ids.append(b.column(0).slice(first, stop - first))
+                        counts.append(np.diff(ends[first:stop + 1]).astype(np.int32))
+                        held += int(ends[stop] - ends[first])
+                    if stop < b.num_rows:
                         yield flush()
                         ids, doc_ids, counts, held, seq = [], [], [], 0, seq + 1
-                    ids.append(x)
-                    doc_ids.append(d)
-                    counts.append(len(x) // 2)
-                    held += len(x) // 2
-        if ids:
+                    first = stop
+        if held:
             yield flush()
 
     ordered.mapInArrow(shards, SHARD).write.parquet(out)

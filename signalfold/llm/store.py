@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalfold.session import ship as ship_package
 
@@ -14,6 +19,9 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: What a Python worker takes from an Arrow batch at a time: bytes of text, and rows.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
+
 #: Rows up to which a table of a few numbers a row is broadcast (some 100 MB at most).
 BROADCAST_ROWS = 1_000_000
 
@@ -75,7 +83,21 @@ def width(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, in Arrow batches that bound what texts a worker holds."""
+    """Let executors import this package."""
     ship_package(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of up to `rows` rows whose texts in `column` have `most` bytes together; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + most, side="right"))), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any names (it can't take dots); the function sees them by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(function, schema)
