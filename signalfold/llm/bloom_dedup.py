@@ -3,20 +3,25 @@
 Pass 1 sets two bits a row from its text's SHA-256 and keeps the bits that at least two rows set, as
 64-bit words of a sparse bit table. Pass 2 looks both bits of each row up: rows with an unrepeated bit
 are alone for certain and pass straight through; the rest ("possibly repeated") are the only rows that
-shuffle. They are grouped by the full digest, so a false positive costs a shuffled row and nothing else.
+shuffle, as digests. They are grouped by the full digest, so a false positive costs a shuffled digest and nothing else.
 
-Defined cases: a null text equals the empty one; a null doc_id ranks after every other; rows that repeat
-a doc_id with equal texts count in group_size and are all marked kept in `classify` (the identifier
-stays), while `deduplicate` returns one of them; an empty table gives an empty result; other columns
-pass through `deduplicate` unchanged, whatever their names.
+Texts never shuffle, at any size: a row is known by its place (file and row number), and `deduplicate` reads the rows
+again without those at the places to drop, which are broadcast; where there are more places than a broadcast
+may hold, for one group of files after another. A table that is not read straight from files is written once for that.
+
+Defined cases: a null text equals the empty one; a null doc_id ranks after every other; doc_id may be of any type
+with an order; rows that repeat a doc_id with equal texts count in group_size and are all marked kept in `classify` (the
+identifier stays), while `deduplicate` returns one of them; among ties in length the least doc_id stays; an empty table
+gives an empty result; other columns pass through `deduplicate` unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalfold.llm.store import BROADCAST_ROWS, SPACES, broadcast_if_small, materialize
+from signalfold.llm.store import BROADCAST_ROWS, SPACES, broadcast_if_small, materialize, scratch_path
 
 BITS_PER_ROW = 16
 #: Groups of so many rows are heavy; the second figure bounds how many heavy groups there can be.
@@ -49,34 +54,47 @@ def _repeated_bits(digests: DataFrame, m: int) -> DataFrame:
     return hit.groupBy(F.shiftright(bit, 6).alias("word")).agg(mask.alias("mask"))
 
 
-def _probe(df: DataFrame, words: DataFrame, n_words: int, m: int) -> DataFrame:
+def _probe(df: DataFrame, words: DataFrame, n_words: int, m: int, bound: int) -> DataFrame:
     """df and `__maybe`: whether both bits of its `sha` are repeated."""
     for k, pos in enumerate(_bits(F.col("sha"), m)):
         side = words.select(F.col("word").alias(f"__w{k}"), F.col("mask").alias(f"__m{k}"))
-        df = df.withColumn(f"__p{k}", pos).join(broadcast_if_small(side, n_words), F.shiftright(F.col(f"__p{k}"), 6) == F.col(f"__w{k}"), "left")
+        df = df.withColumn(f"__p{k}", pos).join(broadcast_if_small(side, n_words, bound), F.shiftright(F.col(f"__p{k}"), 6) == F.col(f"__w{k}"), "left")
     both = [F.coalesce(F.expr(f"getbit(__m{k}, cast(__p{k} % 64 as int))"), F.lit(0)) == 1 for k in (0, 1)]
     return df.withColumn("__maybe", both[0] & both[1]).drop(*(f"__{c}{k}" for c in "wmp" for k in (0, 1)))
 
 
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """The file (a hash of its path) and the number in it of each row of a table read from files."""
+    at = docs.metadataColumn("_metadata")
+    return F.xxhash64(at["file_path"]), at["row_index"]
+
+
+def _read_from_files(docs: DataFrame) -> bool:
+    try:
+        docs.select(*_place(docs))
+    except AnalysisException:
+        return False
+    return True
+
+
 class BloomDedup:
-    """The filter over one table, and what it decides."""
-
-    def __init__(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id"):
-        self.docs, self.text, self.doc_id = docs, text, doc_id
-        narrow = docs.select(
-            F.col(doc_id).alias("doc_id"), _digest(F.col(text)).alias("sha"),
-            F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_cp"),
-        )
+    """The filter over one table, and what it decides. bound: rows of a broadcast."""
+
+    def __init__(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = BROADCAST_ROWS):
+        self.docs, self.bound = docs if _read_from_files(docs) else materialize(docs, "rows"), bound
+        own, file_row = F.col(f"`{text}`"), _place(self.docs)
+        narrow = self.docs.select(
+            F.col(f"`{doc_id}`").alias("doc_id"), _digest(own).alias("sha"), F.char_length(F.coalesce(own, F.lit(""))).cast("long").alias("n_cp"),
+            file_row[0].alias("file"), file_row[1].alias("row"))
         self.digests = materialize(narrow, "digests")
         self.rows = self.digests.count()
         self.m = 1 << max(16, (BITS_PER_ROW * self.rows).bit_length())
         self.words = materialize(_repeated_bits(self.digests, self.m), "bits")
-        self.n_words = self.words.count()
-        self.probed = _probe(self.digests, self.words, self.n_words, self.m)
+        self.probed = _probe(self.digests, self.words, self.words.count(), self.m, bound)
         maybe = self.probed.where("__maybe")
-        best = F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("neg"), "doc_id"))
+        best = F.min(F.struct((-F.col("n_cp")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "file", "row"))
         groups = maybe.groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        self.groups = materialize(groups.select("sha", F.col("best.doc_id").alias("keep_id"), F.col("best.n_cp").alias("keep_cp"), "group_size"), "groups")
+        self.groups = materialize(groups.select("sha", "group_size", *(F.col(f"best.{c}").alias(f"keep_{c}") for c in ("file", "row")), F.col("best.doc_id").alias("keep_id")), "groups")
 
     def _resolve(self, maybe: DataFrame) -> DataFrame:
         """Join rows that hold `sha` with their group: heavy groups, few by construction, by broadcast."""
@@ -96,12 +114,25 @@ class BloomDedup:
             "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
             F.lower(F.hex("sha")).alias("text_sha256"))
 
+    def dropped(self) -> DataFrame:
+        """Places (file, row) of the rows that go."""
+        return self._resolve(self.probed.where("__maybe")).where("file <> keep_file or row <> keep_row").select("file", "row")
+
+    def without(self, gone: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+        """The rows of one of `parts` groups of files, but for those at the places `gone`, which are broadcast."""
+        file, row = _place(self.docs)
+        rows = self.docs.select(F.struct("*").alias("__row"), file.alias("file"), row.alias("row"))
+        if parts > 1:
+            rows, gone = (x.where(F.pmod("file", F.lit(parts)) == part) for x in (rows, gone))
+        return rows.join(F.broadcast(gone), ["file", "row"], "left_anti").select("__row.*")
+
     def deduplicate(self) -> DataFrame:
-        """The input rows that stay, with all their columns; unrepeated rows shuffle only where the bit table is too large to broadcast."""
-        whole = self.docs.select(F.struct("*").alias("__row"), _digest(F.col(self.text)).alias("sha"))
-        probed = _probe(whole, self.words, self.n_words, self.m)
-        alone = probed.where(~F.col("__maybe")).select("__row")
-        stay = F.col(f"__row.`{self.doc_id}`").eqNullSafe(F.col("keep_id")) & (
-            F.char_length(F.coalesce(F.col(f"__row.`{self.text}`"), F.lit(""))) == F.col("keep_cp"))
-        found = self._resolve(probed.where("__maybe").drop("__maybe")).where(stay).dropDuplicates(["sha"]).select("__row")
-        return alone.unionByName(found).select("__row.*")
+        """The input rows that stay, with all their columns."""
+        gone = materialize(self.dropped(), "dropped")
+        parts = -(-gone.count() // max(1, self.bound))
+        if parts <= 1:
+            return self.without(gone)
+        out = scratch_path(self.docs.sparkSession, "kept")
+        for part in range(parts):
+            self.without(gone, part, parts).write.mode("append").parquet(out)
+        return self.docs.sparkSession.read.schema(self.docs.schema).parquet(out)
