@@ -9,8 +9,10 @@ read in splits of a FAN-th of the target, so their shards are small whatever the
 that is renamed into place without overwriting: readers see the old or the new version, a second writer of
 the same version fails, and a lost job leaves only files that no manifest names.
 
-Defined cases: nulls, empty texts and repeated rows are stored as they are; an empty arrival makes a version
-without new shards; all columns pass through; a shard over the target is never merged again.
+Defined cases: nulls, empty and long texts, ties and repeated rows are stored as they are; an empty arrival makes a
+version without new rows, and a store of empty arrivals alone is read as an empty table of their columns; columns that
+come later are null in older rows, and one that comes with another type is an error; all columns pass through, and one
+named `__shard` stays in place of the name of the file; a shard over the target is never merged again.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 FAN = 4
 TARGET_BYTES = 128 << 20
-MANIFEST = "path string, rows long, bytes long, tier int"
+MANIFEST = "path string, rows bigint, bytes bigint, tier int"
 
 
 @contextmanager
@@ -85,67 +88,94 @@ class ShardStore:
         """The shards of a version; they are facts about files, not about rows."""
         v = self.version() if version is None else version
         if v == 0:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{json.loads(self._read_text(f'{self.root}/versions/v{v:09d}.json'))['shards']}")
+            return self._facts(MANIFEST, [])
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{self._pointer(v)['shards']}")
+
+    def _pointer(self, version: int) -> dict:
+        return json.loads(self._read_text(f"{self.root}/versions/v{version:09d}.json"))
+
+    def _facts(self, ddl: str, rows: list[dict]) -> DataFrame:
+        """A small table of facts about files, made in the plan itself."""
+        return self.spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
+
+    def schema(self, version: int | None = None) -> StructType:
+        """The columns of a version's rows; there are none before the first."""
+        v = self.version() if version is None else version
+        return StructType.fromJson(self._pointer(v)["schema"]) if v else StructType()
 
     def _tier(self, size: int) -> int:
         return max(0, int(math.log(max(size, 1), self.fan)))
 
-    def _commit(self, base: int, shards: DataFrame) -> int:
+    def _commit(self, base: int, shards: DataFrame, schema: StructType) -> int:
         name = f"shards/v{base + 1:09d}-{uuid.uuid4().hex}"
         shards.coalesce(1).write.parquet(f"{self.root}/{name}")
-        self._commit_text(f"{self.root}/versions/v{base + 1:09d}.json", json.dumps({"version": base + 1, "shards": name}))
+        self._commit_text(f"{self.root}/versions/v{base + 1:09d}.json", json.dumps({"version": base + 1, "shards": name, "schema": schema.jsonValue()}))
         return base + 1
 
     def _described(self, folder: str, schema) -> DataFrame:
         """Manifest rows of the files in a folder that a job wrote."""
         sizes = [(x.getPath().getName(), int(x.getLen())) for x in self._children(folder) if x.getPath().getName().endswith(".parquet")]
         if not sizes:
-            return self.spark.createDataFrame([], MANIFEST)
+            return self._facts(MANIFEST, [])
         rows = self.spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
-        known = self.spark.createDataFrame([(n, f"{folder}/{n}", s, self._tier(s)) for n, s in sizes], "name string, path string, bytes long, tier int")
+        known = self._facts("name string, path string, bytes bigint, tier int", [{"name": n, "path": f"{folder}/{n}", "bytes": s, "tier": self._tier(s)} for n, s in sizes])
         return known.join(rows, "name").select("path", "rows", "bytes", "tier")
 
     # -- operations --------------------------------------------------------------------------------
     def append(self, arrivals: DataFrame) -> int:
         """Store arrivals as new shards, one for each of their partitions; returns the version."""
         base = self.version()
+        schema = self.schema(base)
+        for f in arrivals.schema:
+            if f.name not in schema.names:
+                schema = schema.add(StructField(f.name, f.dataType))
+            elif schema[f.name].dataType != f.dataType:
+                raise ValueError(f"column {f.name} is {schema[f.name].dataType.simpleString()} and comes as {f.dataType.simpleString()}")
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         split = self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
         with _settings(self.spark, maxPartitionBytes=min(split, max(1, self.target // self.fan))):
             arrivals.write.option("compression", "zstd").parquet(folder)
-        return self._commit(base, self.manifest(base).unionByName(self._described(folder, arrivals.schema)))
+        return self._commit(base, self.manifest(base).unionByName(self._described(folder, arrivals.schema)), schema)
 
     def compact(self) -> int:
-        """Merge every tier that has enough shards below the target size; returns the version."""
+        """Merge every tier that has enough shards below the target size, as long as merged shards fill one; returns the version."""
+        while self._merge_tiers():
+            pass
+        return self.version()
+
+    def _merge_tiers(self) -> bool:
         base = self.version()
-        live = self.manifest(base)
+        live, schema = self.manifest(base), self.schema(base)
         small = live.where(F.col("bytes") < self.target / 2)
-        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fan).orderBy("tier").collect()
-        if not tiers:
-            return base
-        schema, made = None, []
+        # One row a tier: their number is the logarithm of the target.
+        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.fan).orderBy("tier").collect()
+        made = []
         for t in tiers:
             paths = [r.path for r in small.where(F.col("tier") == t.tier).orderBy("path").toLocalIterator()]
-            schema = schema or self.spark.read.parquet(paths[0]).schema
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             rows = self.spark.read.schema(schema).parquet(*paths)
             with _settings(self.spark, maxPartitionBytes=self.target, openCostInBytes=0, minPartitionNum=1):
                 rows.write.option("compression", "zstd").parquet(folder)
             made.append(self._described(folder, schema))
-        merged = self.spark.createDataFrame([(t.tier,) for t in tiers], "tier int")
-        keep = live.join(F.broadcast(merged.withColumn("merged", F.lit(True))), "tier", "left").where(F.col("merged").isNull() | (F.col("bytes") >= self.target / 2))
-        out = keep.select("path", "rows", "bytes", "tier")
+        if not made:
+            return False
+        out = live.where(~F.col("tier").isin([t.tier for t in tiers]) | (F.col("bytes") >= self.target / 2))
         for m in made:
             out = out.unionByName(m)
-        return self._commit(base, out)
+        self._commit(base, out, schema)
+        return True
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version; `__shard` is the file that holds each."""
-        shards = [r.path for r in self.manifest(version).select("path").orderBy("path").toLocalIterator()]
+        """All rows of a version; `__shard` is the file that holds each, unless the rows have such a column."""
+        v = self.version() if version is None else version
+        if v == 0:
+            raise ValueError("the store has no version")
+        schema, shards = self.schema(v), [r.path for r in self.manifest(v).select("path").orderBy("path").toLocalIterator()]
         if not shards:
-            raise ValueError("the version has no shards")
-        return self.spark.read.parquet(*shards).withColumn("__shard", F.col("_metadata.file_path"))
+            rows = self.spark.createDataFrame([], schema)
+            return rows if "__shard" in schema.names else rows.withColumn("__shard", F.lit(None).cast("string"))
+        rows = self.spark.read.schema(schema).parquet(*shards)
+        return rows if "__shard" in schema.names else rows.withColumn("__shard", F.col("_metadata.file_path"))
 
     def vacuum(self) -> int:
         """Delete data files that the newest version doesn't name (no reader may still use an older one); returns how many."""
