@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalfold.llm.linear import Ftrl, labelled_sample
-from signalfold.llm.store import ship
+from signalfold.llm.store import map_batches, ship, slices
 
 SAMPLE_ROWS, BITS, EPOCHS, UNKNOWN = 6_000, 15, 2, "und"
 _PRIMES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -117,8 +117,7 @@ def train(docs: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, 1):
                 rows = [counts(t) if has_letter(t) else None for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(2), pa.array([None if r is None else r[0] for r in rows], pa.list_(pa.int32())), pa.array([None if r is None else r[1] for r in rows], pa.list_(pa.int32()))],
@@ -139,8 +138,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in it:
+        for b in (b for whole in it for b in slices(whole, place)):
             found = [m.predict(t) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(batches, schema)
+    return map_batches(docs, batches, schema)

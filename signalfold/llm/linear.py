@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SLOTS = 1 << 20
 
@@ -14,13 +15,16 @@ _SLOTS = 1 << 20
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """doc_id, text and y for about `bound` (at most) of the labelled documents, picked by a hash of doc_id.
 
-    labels holds doc_id and y; null ids and labels are left out, and of repeated ids the largest y counts.
+    labels holds doc_id and y; null ids and labels are left out, and of repeated ids the largest y counts. doc_id may be
+    of any type; it comes back as a long, which gives rows an order: an integer as it is, anything else as a hash.
     """
     clean = labels.where("doc_id is not null and y is not null")
     n = clean.count()
     slots = _SLOTS if n <= bound else max(1, int(_SLOTS * 0.95 * bound / n))
     picked = clean.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(_SLOTS)) < slots).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    key = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id")
+    return rows.select(key.alias("doc_id"), "text", "y")
 
 
 class Ftrl:

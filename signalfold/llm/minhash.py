@@ -13,8 +13,9 @@
 4. Comparisons are exact on the full shingle sets; components come from contraction (see components.py).
 
 Defined cases: texts without words (or null) have no set and link with nothing; texts with fewer words than a shingle
-are one shingle; rows that repeat a doc_id are one document; a null doc_id gets a null component and stays; an empty
-table gives an empty result; other columns are ignored by `near_duplicates` and pass through `deduplicate`.
+are one shingle; rows that repeat a doc_id are one document; a null doc_id gets a null component and stays; doc_id may
+be of any type with an order, and integers of any width count as long; an empty table gives an empty result; other
+columns are ignored by `near_duplicates` and pass through `deduplicate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalfold.llm.components import components
 from signalfold.llm.shingles import mix, sets_of, shingle_sets
-from signalfold.llm.store import broadcast_if_small, heavy_light_join, materialize, ship
+from signalfold.llm.store import broadcast_if_small, heavy_light_join, materialize, ship, slices
 
 COORDINATES, MISS, SHORT = 24, 2e-7, 32
 #: Texts and shingles of a chunk of a long list, and columns of a block of the matrix product.
@@ -53,7 +55,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (b for whole in it for b in slices(whole, 1)):
             at = 0
             for h, bounds, n in shingle_sets(b.column(1).to_pylist(), k):
                 size = np.diff(bounds)
@@ -72,7 +74,17 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "n", "fp1", "fp2", "sig"])
                 at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, n long, fp1 long, fp2 long, sig array<long>")
+    return docs.select(_id(docs).alias("doc_id"), "text").mapInArrow(batches, f"doc_id {_type(docs)}, n long, fp1 long, fp2 long, sig array<long>")
+
+
+def _type(docs: DataFrame) -> str:
+    """The type of document numbers: long for integers, else their own."""
+    kind = docs.schema["doc_id"].dataType
+    return "long" if isinstance(kind, T.IntegralType) else kind.simpleString()
+
+
+def _id(docs: DataFrame) -> Column:
+    return F.col("doc_id").cast(_type(docs))
 
 
 def linked_pairs(sets: list[np.ndarray], right: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +127,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 class Linker:
     def __init__(self, docs: DataFrame, k: int, percent: int):
-        self.docs, self.k, self.percent, self.t = docs, k, percent, least_matches(percent)
+        self.docs, self.k, self.percent, self.t, self.type = docs, k, percent, least_matches(percent), _type(docs)
         self.rows = materialize(signatures(docs, k), "signatures")
 
     # -- postings ----------------------------------------------------------------------------------
@@ -164,7 +176,7 @@ class Linker:
                         keep.append(100 * both >= percent * (len(sets[s]) + len(sets[t]) - both))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return materialize(full.select("a", "b", "t_a", "t_b").mapInArrow(batches, "a long, b long").distinct(), "links")
+        return materialize(full.select("a", "b", "t_a", "t_b").mapInArrow(batches, f"a {self.type}, b {self.type}").distinct(), "links")
 
     def _long_lists(self, lists: DataFrame, long: DataFrame) -> DataFrame:
         """Links (a spanning forest for each group) within the long lists; long: tok, chunks."""
@@ -180,7 +192,7 @@ class Linker:
             moved = np.flatnonzero(root != np.arange(len(nodes)))
             return pd.DataFrame({"a": nodes[root[moved]], "b": nodes[moved]})
 
-        return materialize(dealt.join(self.texts, "node").groupBy("tok", "i", "j").applyInPandas(links, "a long, b long").distinct(), "long-links")
+        return materialize(dealt.join(self.texts, "node").groupBy("tok", "i", "j").applyInPandas(links, f"a {self.type}, b {self.type}").distinct(), "long-links")
 
     def link(self) -> tuple[DataFrame, DataFrame]:
         """(classes, components of those linked with others)."""
@@ -188,7 +200,7 @@ class Linker:
         posted = self._postings(classes)
         self.signed = posted.select("node", "n", "sig")
         ids = posted.select(F.col("node").alias("doc_id")).distinct()
-        self.texts = materialize(self.docs.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("node"), "text"), "texts")
+        self.texts = materialize(self.docs.select(_id(self.docs).alias("doc_id"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
         plain = materialize(posted.select("node", F.explode("toks").alias("tok")), "lists")
         sized = plain.join(self.signed.select("node", "n"), "node").groupBy("tok").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")
         sized = materialize(sized, "sizes")
@@ -221,5 +233,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are the first of their component, with all their columns."""
     gone = materialize(near_duplicates(docs, k, percent).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.struct("*").alias("__row"), _id(docs).alias("doc_id"))
     return rows.join(broadcast_if_small(gone), "doc_id", "left_anti").select("__row.*")

@@ -6,8 +6,9 @@ sums its part of the normal equations; the sums are added up and one small syste
 Rows that a hash keeps back calibrate the scores by isotonic regression, joined linearly between the blocks'
 centres. The model is fitted on a hash sample of at most SAMPLE_ROWS labelled documents.
 
-Defined cases: a null text is scored as the empty one; where no label was learnt the score is 0.5; repeated rows
-get equal results; other columns pass through.
+Defined cases: a null text is scored as the empty one; where no label was learnt the score is 0.5, as where all labels
+are alike; repeated rows get equal results, ties cannot arise; an empty table gives an empty result; doc_id may be of any
+type and null; long texts are read whole; other columns pass through, but for one named `score`, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalfold.llm.linear import labelled_sample
-from signalfold.llm.store import materialize, ship
+from signalfold.llm.store import map_batches, materialize, ship, slices
 
 SAMPLE_ROWS, FEATURES, RIDGE, SEED = 20_000, 256, 1e-3, 11
 STATS = (
@@ -106,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
     sample = labelled_sample(docs, labels.selectExpr("doc_id", "cast(quality as int) as y"), bound)
 
     def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (b for whole in it for b in slices(whole, 1)):
             x = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
@@ -150,8 +151,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in it:
+        for b in (b for whole in it for b in slices(whole, place)):
             x = np.array([statistics(t) for t in b.column(place).to_pylist()]).reshape(b.num_rows, len(STATS))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.score(x))], names=schema.names)
 
-    return docs.mapInArrow(batches, schema)
+    return map_batches(docs, batches, schema)

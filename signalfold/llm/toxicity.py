@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalfold.llm.linear import labelled_sample, places, sigmoid, vocabulary_of
-from signalfold.llm.store import materialize, ship
+from signalfold.llm.store import map_batches, materialize, ship, slices
 
 SAMPLE_ROWS, PREFIXES, MIN_ROWS, CHI2 = 16_000, (4, 6), 3, 15.0
 #: Steps of the optimiser, their rate, and the weights' quadratic penalty.
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
     sample = labelled_sample(docs, labels.selectExpr("doc_id", "cast(toxic as int) as y"), bound)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (b for whole in it for b in slices(whole, 1)):
             rows = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int64())],
@@ -195,12 +195,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in it:
+        for b in (b for whole in it for b in slices(whole, place)):
             p = np.array([m.above(ids, counts) for ids, counts, _ in map(features, b.column(place).to_pylist())]).reshape(b.num_rows, GRADES - 1)
             cols = [pa.array(p.sum(1)), pa.array((p >= m.cut).sum(1).astype(np.int32)), pa.array(p[:, 0]), pa.array(p[:, 0] >= m.cut)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
 
-    return docs.mapInArrow(batches, schema)
+    return map_batches(docs, batches, schema)
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
