@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from signalfold.llm import bpe, compaction, minhash, pii, queries, rans, winnow
 from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
 from signalfold.llm.queries import ORACLES, QUERIES, vocabulary
+from signalfold.llm.store import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "red green blue Éa éa one two three four five six seven eight nine ten IBAN card +1 x@y 日本 a.b".split()
@@ -47,6 +49,25 @@ def test_exact_dedup(spark, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in got if got[i].kept) and "group_size" in kept.columns
 
 
+def test_exact_dedup_never_shuffles_texts(spark, texts, tmp_path):
+    path = f"{tmp_path}/docs"
+    docs = table(spark, [*texts, *texts]).withColumn("doc_id", F.col("doc_id") % len(texts)).withColumn("_metadata", F.lit("own")).withColumn("file", F.lit(1))
+    docs.repartition(7).write.parquet(path)
+    docs = spark.read.parquet(path)
+    whole = BloomDedup(docs).deduplicate()
+    found = BloomDedup(docs, bound=20)  # rows of a broadcast: the bit table no longer fits, nor do the places
+    few = found.deduplicate()
+    assert few.exceptAll(whole).isEmpty() and few.count() == whole.count() and few.columns == docs.columns
+    plan = found.without(materialize(found.dropped(), "gone"), 1, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("Exchange") == plan.count("BroadcastExchange") and "SortMergeJoin" not in plan
+    best = {}
+    for i, t in enumerate(texts):
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append(i)
+    assert sorted(r.doc_id for r in whole.collect()) == sorted(min(g, key=lambda i: (-len(texts[i] or ""), i)) for g in best.values())
+    named = BloomDedup(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).deduplicate()
+    assert named.count() == whole.count() and "text" in named.columns
+
+
 def test_exact_dedup_of_odd_tables(spark):
     assert BloomDedup(table(spark, [])).classify().count() == 0 and BloomDedup(table(spark, [])).deduplicate().count() == 0
     rows = table(spark, ["a", "a", "a", "b"], [7, 7, None, None])
@@ -199,16 +220,52 @@ def library():
 
 def test_bpe_equals_the_library(library):
     rng = random.Random(1)
-    letters = "abcdefgh ABC',.'s<|>!éÉ́ΣσςİıßﬁKÅ\x1c\x85\xa0 ​　😀한日本१½'re\n\tเ\U0001d400"
+    letters = "abcdefgh ABC',.'s<|>!éÉ́ΣσςİıßﬁKÅ\x1c\x85\xa0 ​　😀한日本१½'re\n\tเ\U0001d400ÀÞ×÷ÿĀ"
     some = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(1500)]
-    some += ["".join(rng.choices("abcdeth'", k=5000)), "a" * 3000, "<|endoftext|>x <|startoftext|>", "<|ENDOFTEXT|>", "İ<", "á" * 50]
-    encoder, decoder = bpe.Encoder(vocabulary()), bpe.Decoder(vocabulary())
-    for t in some:
-        ids = library.encode(t, add_special_tokens=False).ids
+    some += ["".join(rng.choices("abcdeth'", k=5000)), "a" * 3000, "<|endoftext|>x <|startoftext|>", "<|ENDOFTEXT|>", "İ<", "á" * 50, "H̱ ẖ T̈ W̧̊ J̌", "Ḫ̱", " \n ", "x" * 2048 + " y", "9" * 3000]
+    encoder, decoder, through = bpe.Encoder(vocabulary()), bpe.Decoder(vocabulary()), rans.LibraryEncoder(vocabulary())
+    want = [library.encode(t, add_special_tokens=False).ids for t in some]
+    texts = pa.array([None, *some, ""]).slice(1, len(some))  # as a slice of a batch is
+    for e in (encoder, through):
+        ids, ends = e.batch(texts)
+        assert [ids[i:j].tolist() for i, j in zip(ends, ends[1:], strict=False)] == want
+        assert e.batch(pa.array([], pa.string()))[1].tolist() == [0] and e.batch(pa.array([None, ""], pa.string()))[1].tolist() == [0, 0, 0]
+    for t, ids in zip(some, want, strict=True):
         assert encoder.encode(t).tolist() == ids, repr(t)[:100]
         assert "".join(bpe.decode(decoder, np.array(ids, "<u2"))) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_is_the_library_s(library):
+    # Ideographs, syllables and private characters are alike in long stretches, of which some are taken.
+    alike = [(0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xE000, 0xF8FF), (0x17000, 0x18D00), (0x20000, 0x3FFFF), (0x40000, 0x110000)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 61 == 0 or not any(a <= c <= b for a, b in alike))]
+    texts = [f"a{chr(c)}b" for c in points]
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for e in (bpe.Encoder(vocabulary()), rans.LibraryEncoder(vocabulary())):
+        ids, ends = e.batch(pa.array(texts))
+        assert [hex(c) for k, c in enumerate(points) if ids[ends[k]:ends[k + 1]].tolist() != want[k]] == []
+
+
+def test_streams_hold_little_and_change_nothing(library):
+    rng, encoder = random.Random(4), bpe.Encoder(vocabulary())
+    parts = ["a", "b", "e", "'", "'s", "'re", "'ll", "!", "…", "日", "本", "é", "é", "́", "̱", "H̱", "가", "각", "5", "\xa0", "　", "😀", "Σ", "İ", "ß", "X", "क", "़", "า", "᷶", "<|endoftext|>", "<|", " ", "\n"]
+    for _ in range(60):
+        text = "".join(rng.choices(rng.sample(parts, rng.randint(1, 8)), k=rng.randint(1, 6000)))
+        stream, out, at = encoder.stream(), [], 0
+        while at < len(text):
+            n = rng.choice([1, 7, 100, 3000])
+            out.append(stream.feed(text[at:at + n]))
+            at += n
+        out.append(stream.finish())
+        assert np.concatenate(out).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)[:100]
+    for unit in ("z", "日本", "ab!", "é"):
+        stream, most = encoder.stream(), 0
+        for _ in range(300):
+            stream.feed(unit * 500)
+            most = max(most, len(stream.text) + len(stream.word.rest))
+        assert most < 4 * bpe.RUN_CHARS + 2 * encoder.merges.window
+
+
 def test_windows_do_not_change_the_merges():
     m = bpe.merge_list(vocabulary())
     rng = random.Random(2)
@@ -218,11 +275,18 @@ def test_windows_do_not_change_the_merges():
         assert list(m.transduce(run)) == whole and len(run) > m.window + m.lookahead
 
 
-def test_decoder_waits_for_whole_characters():
+def test_decoder_waits_for_whole_characters(spark):
+    text = "ünï 日本 😀! it's"
+    ids = bpe.Encoder(vocabulary()).encode(text)
     d = bpe.Decoder(vocabulary(), pieces=False)
-    ids = bpe.Encoder(vocabulary()).encode("Ünï 日本 😀!")
-    parts = [d.feed(ids[i:i + 1]) for i in range(len(ids))] + [d.finish()]
-    assert "".join(parts).split() == ["ünï", "日本", "😀", "!"] and "�" not in "".join(parts)
+    want = "ünï 日本 😀! it 's "  # a space after each word of the file's splitter
+    for cut in range(len(ids) + 1):
+        parts = [d.feed(ids[:cut]), d.feed(ids[cut:]), d.finish()]
+        assert "".join(parts) == want and all("�" not in p for p in parts)
+    assert "".join([*(d.feed(ids[i:i + 1]) for i in range(len(ids))), d.finish()]) == want
+    assert "�" in d.feed(bpe.Encoder(vocabulary()).encode("\U00010380")[:1]) + d.finish()
+    rows = bpe.tokenize(table(spark, [text, None, ""]), vocabulary()).withColumn("decoded", F.lit(1))
+    assert [r.decoded for r in bpe.detokenize(rows, vocabulary()).orderBy("doc_id").collect()] == [want, "", ""]
 
 
 def test_tokenize_rows(spark, texts, library):
@@ -232,7 +296,17 @@ def test_tokenize_rows(spark, texts, library):
         assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
-def test_token_files_round_trip(spark, texts, library, tmp_path):
+def test_tokenize_odd_tables(spark):
+    assert bpe.tokenize(table(spark, []), vocabulary()).count() == 0
+    rows = table(spark, ["a b", "a b", None], [3, 3, None]).withColumn("ids", F.lit("own")).withColumn("n_tokens", F.lit("own")).withColumn("a.b", F.lit(1))
+    got = bpe.tokenize(rows, vocabulary(), keep=("doc_id", "ids", "a.b", "n_tokens"))
+    assert got.columns == ["doc_id", "a.b", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and sorted(r.n_tokens for r in got.collect()) == [0, 2, 2]
+    named = rows.withColumn("doc_id", F.lit("name")).drop("ids", "n_tokens")
+    assert {r.doc_id for r in bpe.tokenize(named, vocabulary()).collect()} == {"name"}
+
+
+def test_token_files_round_trip(spark, texts, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(rans, "SHARD_IDS", 500)
     ids = [3, *range(100, 100 + len(texts) - 1)]
     docs = table(spark, texts, ids).repartition(5)
     rans.write_ids(docs, vocabulary(), f"{tmp_path}/ids")
@@ -241,6 +315,7 @@ def test_token_files_round_trip(spark, texts, library, tmp_path):
         want = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         assert (got[i].start, got[i].n_tokens, got[i].ids, got[i].ids_crc32) == (at, len(want), want, zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
+    assert spark.read.parquet(f"{tmp_path}/ids").select("seq").distinct().count() > 1
     rans.write_ids(table(spark, []), vocabulary(), f"{tmp_path}/none")
     assert rans.read_ids(spark, f"{tmp_path}/none").count() == 0
 
@@ -252,7 +327,8 @@ def test_range_coder_blocks_checkpoints_and_checksums(monkeypatch):
     data = rans.encode_shard(ids)
     reader = rans.ShardReader(data)
     assert len(data) < 2 * len(ids) and (reader.ids() == ids).all() and len(reader.blocks) == 4
-    assert (reader.part(1, 2) == ids[(1 << 15) + 16 * rans.LANES:(1 << 15) + 24 * rans.LANES]).all()
+    lanes = (1 << 15) // rans.STEPS
+    assert (reader.part(1, 2) == ids[(1 << 15) + 16 * lanes:(1 << 15) + 24 * lanes]).all()
     for n in (1, 1023, 1025):
         assert (rans.ShardReader(rans.encode_shard(ids[:n])).ids() == ids[:n]).all()
     broken = bytearray(data)
@@ -274,11 +350,35 @@ def test_compaction(spark, texts, tmp_path):
     assert store.read().drop("__shard").exceptAll(docs.unionByName(docs).unionByName(docs).unionByName(docs).unionByName(docs)).count() == 0 and store.read().count() == 5 * len(texts)
     assert store.manifest().agg(F.sum("rows")).first()[0] == 5 * len(texts)
     with pytest.raises(Exception):  # a version is committed once
-        store._commit(5, store.manifest(5))
+        store._commit(5, store.manifest(5), store.schema(5))
     assert store.version() == 6 and store.vacuum() >= before and store.read().count() == 5 * len(texts)
     assert store.append(docs.limit(0)) == 7 and store.read().count() == 5 * len(texts)
 
 
+def test_empty_shards_and_odd_columns(spark, texts, tmp_path):
+    store = ShardStore(spark, f"{tmp_path}/empty")
+    docs = table(spark, texts).withColumn("__shard", F.lit("own"))
+    assert store.append(docs.limit(0)) == 1 and store.compact() == 1
+    assert store.read().count() == 0 and store.read().columns == docs.columns
+    store.append(docs.drop("lang"))
+    store.append(docs.withColumn("more", F.lit(1)))
+    got = store.read()
+    assert got.columns == [*docs.columns, "more"] and got.where("lang is null and more is null").count() == len(texts) and got.where("__shard = 'own'").count() == 2 * len(texts)
+    with pytest.raises(ValueError):
+        store.append(docs.withColumn("doc_id", F.lit("text")))
+    with pytest.raises(ValueError):
+        ShardStore(spark, f"{tmp_path}/nothing").read()
+
+
+def test_compaction_goes_on_while_tiers_fill(spark, tmp_path):
+    store = ShardStore(spark, f"{tmp_path}/store", target_bytes=64 << 20)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    for _ in range(16):
+        store.append(docs.coalesce(1))
+        store.compact()
+    assert store.manifest().groupBy("tier").count().where("count >= 4").isEmpty() and store.manifest().count() <= 6 and store.read().count() == 64_000
+
+
 def test_merged_shards_meet_the_target(spark, tmp_path):
     target = 256 << 10
     store = ShardStore(spark, f"{tmp_path}/store", target_bytes=target)
