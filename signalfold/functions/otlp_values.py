@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import struct
+import sys
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -19,17 +20,25 @@ CORRELATION = {
 }
 #: Values nested deeper become null.
 MAX_DEPTH = 64
+MAX_DOUBLE = sys.float_info.max
 
 
 def _integer(v):
     try:
         return int(v.strip()) if isinstance(v, str) else int(v)
-    except (ValueError, OverflowError):
+    except (ValueError, TypeError, OverflowError):
         return None
 
 
+def _inner(v) -> list:
+    """The `values` of an array or a key-value list; what is not such a thing is empty."""
+    found = v.get("values") if isinstance(v, dict) else None
+    return found if isinstance(found, list) else []
+
+
 def any_value(v, depth: int = 0):
-    """A Python value of an AnyValue object; the first kind present wins, in the protocol's order."""
+    """A Python value of an AnyValue object; the first kind present wins, in the protocol's order. Total: what has
+    another type than its kind becomes null (ingest refuses such requests; see sources/wire.py)."""
     if not isinstance(v, dict) or depth > MAX_DEPTH:
         return None
     if v.get("stringValue") is not None:
@@ -37,20 +46,20 @@ def any_value(v, depth: int = 0):
     if v.get("intValue") is not None:
         return _integer(v["intValue"])
     if v.get("doubleValue") is not None:
-        d = float(v["doubleValue"])
-        return d if math.isfinite(d) else None
+        d = v["doubleValue"]
+        return float(d) if isinstance(d, (int, float)) and abs(d) <= MAX_DOUBLE and math.isfinite(d) else None
     if v.get("boolValue") is not None:
         return bool(v["boolValue"])
     if v.get("arrayValue") is not None:
-        return [any_value(x, depth + 1) for x in (v["arrayValue"].get("values") or [])]
+        return [any_value(x, depth + 1) for x in _inner(v["arrayValue"])]
     if v.get("kvlistValue") is not None:
-        return key_values(v["kvlistValue"].get("values"), depth + 1)
-    return v.get("bytesValue")
+        return key_values(_inner(v["kvlistValue"]), depth + 1)
+    return v["bytesValue"] if isinstance(v.get("bytesValue"), str) else None
 
 
 def key_values(items, depth: int = 0) -> dict:
     """The last of equal keys wins."""
-    return {str(kv.get("key", "")): any_value(kv.get("value"), depth) for kv in items or [] if isinstance(kv, dict)}
+    return {str(kv.get("key", "")): any_value(kv.get("value"), depth) for kv in (items if isinstance(items, list) else ()) if isinstance(kv, dict)}
 
 
 def compact(value) -> str:
@@ -60,7 +69,7 @@ def compact(value) -> str:
 def _load(raw):
     try:
         return json.loads(raw) if isinstance(raw, str) else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -80,11 +89,28 @@ def body_text(raw: str | None) -> str | None:
 
 
 def json_depth(value) -> int:
-    if isinstance(value, dict):
-        return 1 + max(map(json_depth, value.values()), default=0)
-    if isinstance(value, list):
-        return 1 + max(map(json_depth, value), default=0)
-    return 0
+    """Levels of objects and lists."""
+    level, here = 0, [value]
+    while here := [x for x in here if isinstance(x, (dict, list))]:
+        level, here = level + 1, [y for x in here for y in (x.values() if isinstance(x, dict) else x)]
+    return level
+
+
+def text_depth(raw: str | None) -> int | None:
+    """Levels of a JSON text; null for a text that is nested beyond what a parser takes."""
+    try:
+        return json_depth(json.loads(raw)) if isinstance(raw, str) else 0
+    except RecursionError:
+        return None
+    except ValueError:
+        return 0
+
+
+def notes(items, keys: tuple[str, ...]) -> str:
+    """JSON of a list of span events or links: their fields as they are, and their attributes as an object."""
+    found = _load(items)
+    rows = [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+    return compact([{k: key_values(_load(x.get(k))) if k == "attributes" else x.get(k) for k in keys} for x in rows])
 
 
 _ATTRIBUTES = T.StructType([T.StructField("json", T.StringType()), *(T.StructField(c, T.StringType()) for c in CORRELATION)])
@@ -108,7 +134,7 @@ def body(column):
 
 def depth(column):
     def batch(raw: pd.Series) -> pd.Series:
-        return pd.Series([json_depth(_load(r)) for r in raw], dtype="int32")
+        return pd.Series([text_depth(r) for r in raw], dtype="Int32")
 
     return F.pandas_udf(batch, T.IntegerType())(column)
 
@@ -120,3 +146,12 @@ def double_bytes(column):
         return pd.Series([struct.pack("<d", 0.0 if v is None or v != v else v) for v in values], dtype=object)
 
     return F.pandas_udf(batch, T.BinaryType())(column)
+
+
+def with_attributes(column, *keys: str):
+    """JSON text of a list of objects with these keys, whose `attributes` become objects."""
+
+    def batch(raw: pd.Series) -> pd.Series:
+        return pd.Series([notes(r, keys) for r in raw], dtype=object)
+
+    return F.pandas_udf(batch, T.StringType())(column)

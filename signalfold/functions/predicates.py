@@ -53,9 +53,9 @@ def on_day(df: DataFrame, column: str, day: date) -> Column:
     return (F.col(column) >= instant(df, column, start)) & (F.col(column) < instant(df, column, start + timedelta(days=1)))
 
 
-def within_skew(column: str, received: str = "received_at", past: str = "31 days", future: str = "24 hours") -> Column:
+def within_skew(column: str | Column, received: str = "received_at", past: str = "31 days", future: str = "24 hours") -> Column:
     """Accepted lateness and earliness, both ends included."""
-    t, r = F.col(column), F.col(received)
+    t, r = F.col(column) if isinstance(column, str) else column, F.col(received)
     return t.between(r - F.expr(f"interval {past}"), r + F.expr(f"interval {future}"))
 
 

@@ -108,8 +108,11 @@ def purge(spark: SparkSession, path: str, today: date, days: int = RETENTION_DAY
     return len(gone)
 
 
-def render(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
-    """The first `limit` rows as an ASCII table or a JSON array."""
+def render(df: DataFrame, form: str = "table", limit: int | None = None) -> tuple[str, int]:
+    """(all rows as an ASCII table or a JSON array, how many there are); `limit`: only so many, if asked for."""
+    shown = df if limit is None else df.limit(limit)
     if form == "json":
-        return "[" + ",".join(df.limit(limit).toJSON().collect()) + "]"
-    return df._jdf.showString(limit, 0, False)
+        rows = list(shown.toJSON().toLocalIterator())
+        return "[" + ",".join(rows) + "]", len(rows)
+    n = shown.count()
+    return shown._jdf.showString(n, 0, False), n

@@ -42,7 +42,7 @@ def read_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.col("event_id").rlike(UUID), F.lit(False)) & F.coalesce(F.col("timestamp_client").rlike(RFC3339), F.lit(False))
         & valid_text(F.col("event_name")) & valid_text(F.col("actor_id")) & valid_text(F.col("session_id"))
         & (F.col("tenant_id").isNull() | valid_text(F.col("tenant_id"))) & F.ltrim("properties").startswith("{")
-        & (F.octet_length("properties") <= MAX_PROPERTY_BYTES) & (F.col("depth") <= MAX_DEPTH)
+        & (F.octet_length("properties") <= MAX_PROPERTY_BYTES) & F.coalesce(F.col("depth") <= MAX_DEPTH, F.lit(False))
     )
     x = x.withColumn("fine", fine).withColumn("timestamp_client", F.try_to_timestamp("timestamp_client"))
     x = x.withColumn("timely", within_skew("timestamp_client"))

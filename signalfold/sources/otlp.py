@@ -1,7 +1,8 @@
 """OTLP/JSON requests (one JSON document a row, in `value`) to stored rows.
 
-Each level of nesting is an inner explode, so empty lists give nothing. The result of a flatten holds the accepted
-rows; `drops` counts what validation left out.
+`admit` decides on whole requests: those of another shape than the protocol's and those with too many records are
+refused. Each level of nesting is an inner explode, so empty lists give nothing. A flatten takes any text without an
+error: what can't be read is null or gives no row. `accept` and `invalid_spans` count what single records were left out.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from signalfold.functions import otlp_values as V
 from signalfold.functions.predicates import within_skew
 from signalfold.session import ship
 from signalfold.sources import schemas as S
+from signalfold.sources.wire import well_formed
 
 #: Records a request may hold, and bytes of variable content a record may (fixed values).
 MAX_RECORDS, MAX_RECORD_BYTES = 2048, 65_536
@@ -96,8 +98,15 @@ def flatten_logs(requests: DataFrame) -> DataFrame:
 
 
 def _notes(c: str, **fields: Column) -> Column:
-    """JSON text of a list of span events or links; their attributes stay as sent until read."""
-    return F.coalesce(F.to_json(F.transform(c, lambda e: F.struct(*(v(e).alias(k) for k, v in fields.items())))), F.lit("[]"))
+    """JSON text of a list of span events or links, with their attributes as objects."""
+    rows = F.to_json(F.transform(c, lambda e: F.struct(*(v(e).alias(k) for k, v in fields.items()))), {"ignoreNullFields": "false"})
+    # Most spans have none, and these take no part in the Python batch.
+    return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, V.with_attributes(F.when(F.size(c) > 0, rows), *fields)).otherwise("[]")
+
+
+def _usable_span(x: Column | str = "x") -> Column:
+    at = F.col(x) if isinstance(x, str) else x
+    return (F.coalesce(at["traceId"], F.lit("")) != "") & (F.coalesce(at["spanId"], F.lit("")) != "")
 
 
 def flatten_spans(requests: DataFrame) -> DataFrame:
@@ -105,7 +114,7 @@ def flatten_spans(requests: DataFrame) -> DataFrame:
     df = parse(requests, S.OTLP_TRACES).select("received_at", F.explode("r.resourceSpans").alias("rs"))
     df = df.select("received_at", F.col("rs.resource.attributes").alias("outer"), F.explode("rs.scopeSpans").alias("ss"))
     df = df.select("received_at", "outer", F.col("ss.scope.name").alias("scope_name"), F.explode("ss.spans").alias("x"))
-    df = df.where((F.coalesce("x.traceId", F.lit("")) != "") & (F.coalesce("x.spanId", F.lit("")) != ""))
+    df = df.where(_usable_span())
     df = df.withColumns({
         "own": F.col("x.attributes"), "trace_id": F.col("x.traceId"), "span_id": F.col("x.spanId"), "parent_span_id": blank(F.col("x.parentSpanId")),
         "start_time": F.coalesce(nanos(F.col("x.startTimeUnixNano")), F.col("received_at")), "end_time": nanos(F.col("x.endTimeUnixNano")),
@@ -162,7 +171,7 @@ def content_bytes(table: str) -> Column:
 
 
 def accept(rows: DataFrame, table: str, max_bytes: int = MAX_RECORD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, one row of counts: received, dropped_skew, dropped_oversized)."""
+    """(accepted rows, one row of counts: received, dropped_skew, dropped_oversized). Both read `rows`: persist it if it is costly."""
     time = S.KEYS[table][0]
     timely, small = within_skew(time), content_bytes(table) <= max_bytes
     counts = rows.agg(
@@ -170,13 +179,45 @@ def accept(rows: DataFrame, table: str, max_bytes: int = MAX_RECORD_BYTES) -> tu
     return rows.where(timely & small), counts
 
 
+def _records(table: str) -> tuple[str, Column]:
+    """The request's type, and the times of its usable records (before the bound on their size)."""
+
+    def inner(c: Column, name: str) -> Column:
+        return F.flatten(F.transform(c, lambda a: F.coalesce(a[name], F.array())))
+
+    arrival = F.col("received_at")
+    if table == "logs":
+        rows = inner(inner(F.col("__r.resourceLogs"), "scopeLogs"), "logRecords")
+        return S.OTLP_LOGS, F.transform(rows, lambda x: F.coalesce(nanos(x["timeUnixNano"]), nanos(x["observedTimeUnixNano"]), arrival))
+    if table == "spans":
+        rows = F.filter(inner(inner(F.col("__r.resourceSpans"), "scopeSpans"), "spans"), _usable_span)
+        return S.OTLP_TRACES, F.transform(rows, lambda x: F.coalesce(nanos(x["startTimeUnixNano"]), arrival))
+    metrics = F.filter(inner(inner(F.col("__r.resourceMetrics"), "scopeMetrics"), "metrics"), lambda m: F.coalesce(m["name"], F.lit("")) != "")
+
+    def times(kind: str) -> Column:
+        points = inner(F.transform(metrics, lambda m: m[kind]), "dataPoints")
+        return F.transform(points, lambda p: F.coalesce(nanos(p["timeUnixNano"]), arrival))
+
+    return S.OTLP_METRICS, F.concat(*map(times, ("gauge", "sum", "histogram")))
+
+
 def over_limit(requests: DataFrame, table: str, most: int = MAX_RECORDS) -> DataFrame:
-    """requests with n_records and too_many: those over the limit are to be refused whole."""
-    ddl, lists = {
-        "logs": (S.OTLP_LOGS, "flatten(transform(flatten(transform(r.resourceLogs, a -> coalesce(a.scopeLogs, array()))), b -> coalesce(b.logRecords, array())))"),
-        "spans": (S.OTLP_TRACES, "flatten(transform(flatten(transform(r.resourceSpans, a -> coalesce(a.scopeSpans, array()))), b -> coalesce(b.spans, array())))"),
-        "metric_points": (S.OTLP_METRICS, "flatten(transform(flatten(transform(flatten(transform(r.resourceMetrics, a -> coalesce(a.scopeMetrics, array()))), b -> coalesce(b.metrics, array()))), "
-                          "m -> concat(transform(coalesce(m.gauge.dataPoints, array()), p -> 1), transform(coalesce(m.sum.dataPoints, array()), p -> 1), transform(coalesce(m.histogram.dataPoints, array()), p -> 1))))"),
-    }[table]
-    n = F.coalesce(F.size(F.expr(lists.replace("(r.", "(__r."))), F.lit(0))
-    return requests.withColumn("__r", F.from_json("value", StructType.fromDDL(ddl))).withColumn("n_records", F.greatest(n, F.lit(0))).drop("__r").withColumn("too_many", F.col("n_records") > most)
+    """requests with n_records (usable and within the skew) and too_many: those over the limit are to be refused whole."""
+    ddl, times = _records(table)
+    parsed = requests.withColumn("__r", F.from_json("value", StructType.fromDDL(ddl)))
+    n = F.size(F.filter(times, lambda t: within_skew(t)))
+    return parsed.withColumn("n_records", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).drop("__r").withColumn("too_many", F.col("n_records") > most)
+
+
+def invalid_spans(requests: DataFrame) -> DataFrame:
+    """One row (dropped_invalid): spans of the requests that have no trace id or no span id."""
+    rows = parse(requests, S.OTLP_TRACES).select(F.explode("r.resourceSpans").alias("a")).select(F.explode("a.scopeSpans").alias("b")).select(F.explode("b.spans").alias("x"))
+    return rows.agg(F.count_if(~_usable_span()).alias("dropped_invalid"))
+
+
+def admit(requests: DataFrame, table: str, most: int = MAX_RECORDS) -> DataFrame:
+    """requests (value, received_at) with n_records and `outcome`: ok, or invalid or too_many, which are refused whole."""
+    ship(requests.sparkSession)
+    sized = over_limit(requests.withColumn("__fine", well_formed("value", table)), table, most)
+    outcome = F.when(~F.col("__fine"), "invalid").when(F.col("too_many"), "too_many").otherwise("ok")
+    return sized.withColumn("outcome", outcome).drop("__fine", "too_many")

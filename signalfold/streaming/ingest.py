@@ -37,23 +37,36 @@ def requests(spark: SparkSession, folder: str, files_per_batch: int | None = Non
 
 
 def store(root: str, table: str, stats: Stats) -> Callable[[DataFrame, int], None]:
-    """The sink of a batch of requests for `table`."""
+    """The sink of a batch of requests for `table`: requests that are malformed or too large are refused and counted, and
+    the others go on."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        batch = hold(batch)
         try:
             if table == "events":
                 rows, verdicts = events.read_batches(batch)
                 seen = verdicts.agg(F.sum(F.when(F.col("outcome") == "ok", F.col("n_events") - F.col("dropped_skew")).otherwise(0)).alias("received"), F.sum("dropped_skew").alias("dropped_skew"), F.count_if(F.col("outcome") != "ok").alias("refused")).first()
                 stats.update({k: v or 0 for k, v in seen.asDict().items()})
             else:
-                rows, counts = otlp.accept(otlp.FLATTEN[table](batch), table)
+                checked = hold(otlp.admit(batch, table))
+                stats.update(checked.agg(F.count_if(F.col("outcome") != "ok").alias("refused")).first().asDict())
+                taken = checked.where("outcome = 'ok'").select("value", "received_at")
+                if table == "spans":
+                    stats.update(otlp.invalid_spans(taken).first().asDict())
+                rows, counts = otlp.accept(hold(otlp.FLATTEN[table](taken)), table)
                 found = counts.first().asDict()
                 found["received"] -= found["dropped_oversized"]
                 stats.update(found)
             stats.update({"inserted": merge(rows, root, table), "flushes": 1})
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
     return sink
 

@@ -22,6 +22,8 @@ from signalfold.session import ship
 SESSION_RATE, SESSION_BURST, GLOBAL_RATE, GLOBAL_BURST = 100.0, 1_000.0, 50_000.0, 100_000.0
 ADDRESS_SESSIONS, ADDRESS_WINDOW = 200, 1_800.0
 BAD_REQUESTS, BAD_WINDOW, BAN_SECONDS = 100, 60.0, 300.0
+#: Addresses that stand for none (fixed values).
+UNKNOWN = ("", "0.0.0.0", "::")
 
 
 @dataclass
@@ -70,14 +72,14 @@ class BadRequests:
         return now < self.until
 
     def record(self, now: float) -> bool:
-        """Count a bad request; True if it starts a ban."""
-        if self.start is None or now - self.start > self.window:
-            self.count, self.start = 0, now
-        self.count += 1
-        if self.count < self.threshold:
-            return False
-        self.count, self.start, self.until = 0, now, now + self.ban
-        return True
+        """Count a bad request; True if it starts a ban, after which counting begins anew."""
+        fresh = self.start is None or now - self.start > self.window
+        bad = 1 if fresh else self.count + 1
+        full = bad >= self.threshold
+        self.start = now if fresh or full else self.start
+        self.count = 0 if full else bad
+        self.until = now + self.ban if full else self.until
+        return full
 
 
 def _stateful(df: DataFrame, key: str, make, step, ttl_ms: int) -> DataFrame:
@@ -106,9 +108,18 @@ def session_limit(df: DataFrame, rate: float = SESSION_RATE, burst: float = SESS
     return _stateful(df, "session", lambda **s: TokenBucket(**({"rate": rate, "burst": burst} | s)), lambda b, r, now: b.take(float(r.cost), now), 3_600_000)
 
 
+def known_address(ip) -> bool:
+    """Senders without an address share no limit and no ban."""
+    return isinstance(ip, str) and ip.strip() not in UNKNOWN
+
+
 def address_limit(df: DataFrame, cap: int = ADDRESS_SESSIONS, window: float = ADDRESS_WINDOW) -> DataFrame:
-    """df (session, ip, at, ...): distinct sessions of each address within the window."""
-    return _stateful(df, "ip", lambda **s: AddressSessions(**({"cap": cap, "window": window} | s)), lambda a, r, now: a.admit(r.session, now), int(window * 2000))
+    """df (session, ip, at, ...): distinct sessions of each address within the window; unknown addresses are always allowed."""
+
+    def step(a: AddressSessions, r: Any, now: float) -> bool:
+        return not known_address(r.ip) or a.admit(r.session, now)
+
+    return _stateful(df, "ip", lambda **s: AddressSessions(**({"cap": cap, "window": window} | s)), step, int(window * 2000))
 
 
 def global_limit(df: DataFrame, rate: float = GLOBAL_RATE, burst: float = GLOBAL_BURST) -> DataFrame:
@@ -117,9 +128,11 @@ def global_limit(df: DataFrame, rate: float = GLOBAL_RATE, burst: float = GLOBAL
 
 
 def ban_limit(df: DataFrame, threshold: int = BAD_REQUESTS, window: float = BAD_WINDOW, ban: float = BAN_SECONDS) -> DataFrame:
-    """df (ip, bad, at, ...): false while the address is banned; bad requests count towards the next ban."""
+    """df (ip, bad, at, ...): false while the address is banned; bad requests count towards the next ban. Unknown addresses are never banned."""
 
     def step(b: BadRequests, r: Any, now: float) -> bool:
+        if not known_address(r.ip):
+            return True
         if b.banned(now):
             return False
         if r.bad:
@@ -129,10 +142,11 @@ def ban_limit(df: DataFrame, threshold: int = BAD_REQUESTS, window: float = BAD_
     return _stateful(df, "ip", lambda **s: BadRequests(**({"threshold": threshold, "window": window, "ban": ban} | s)), step, int((window + ban) * 2000))
 
 
-def admit(session: TokenBucket, address: AddressSessions, everyone: TokenBucket, name: str, cost: float, now: float) -> str | None:
-    """The limit that refuses, if any, in their order."""
+def admit(session: TokenBucket, address: AddressSessions | None, everyone: TokenBucket, name: str, cost: float, now: float) -> str | None:
+    """The limit that refuses, if any, in their order; address: None for an unknown one. A request costs 1 at least."""
+    cost = max(cost, 1.0)
     if not session.take(cost, now):
         return "session"
-    if not address.admit(name, now):
+    if address and not address.admit(name, now):
         return "address"
     return None if everyone.take(cost, now) else "global"
