@@ -1,16 +1,21 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-All of it is row-local SQL: one scan, no shuffle, no Python. A pattern P is applied as \\G.*?(P), which
-cuts a text into pieces that each end with a match, so the pieces' lengths give the matches' places.
+All of it is row-local SQL: one scan, no shuffle, no Python. A pattern P is applied as \\G.*?(P), which cuts a text into
+pieces that each end with a match; the running sum of the pieces' lengths gives the matches' places (`_running`: n log n
+steps). Parts of the text are taken from chunks of fixed size, so no match costs a walk from the text's start.
 Quantifiers are possessive where giving back can't help, which keeps long runs linear. An `iban` is only found
 by its head; its end is the one at its country's length, or for other countries the last one at a word boundary,
 where mod 97 holds, so what follows it (a capitalised word, a number, another IBAN) does not hide it.
 
-The four base kinds are reported whenever their pattern and check hold. Two further kinds, `iban` (mod 97)
-and `ssn` (no checksum, so it needs a context word), are reported when their score reaches THRESHOLD.
+A score is PROPOSED for the pattern, the points of the kind's check (CHECKED: how much passing it says), and NEARBY for a
+context word within CONTEXT characters before the match. The four base kinds are reported whenever their pattern and check
+hold; of the further kinds those that reach THRESHOLD: an `iban` in capitals does so by itself and in small letters with
+a context word alone, an `ssn` (no checksum) and a `secret` (a long run of letters and digits) only with one, unless
+the secret has a known issuer's head.
 
-Defined cases: a null text is empty; empty texts have no spans; repeated rows each get their row; spans of
-different kinds may overlap, spans of one kind never do.
+Defined cases: a null text is empty; empty texts have no spans; long texts are read whole; repeated rows each get
+their row; an empty table gives an empty result; spans of different kinds may overlap, and so may IBANs; spans of
+equal start are in order of their kind; a column named like the result is replaced, and all others pass through.
 """
 
 from __future__ import annotations
@@ -24,11 +29,18 @@ KINDS = {
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"{t} rlike '[0-9]\\.[0-9]'", "ip|host|server|address|adresse"),
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", r"{t} rlike '[0-9][\\x20-]?[0-9][\\x20-]?[0-9]'", "card|visa|credit|payment|carte|karte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "instr({t}, '+') > 0", "phone|call|tel|fax|mobile|telefon|llamar"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", r"{t} rlike '[A-Z][A-Z][0-9][0-9]'", "iban|account|bank|konto|compte|cuenta"),
+    "iban": (r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})|[a-z]{2}[0-9]{2}(?=(?:\x20?[a-z0-9]){11}))", r"{t} rlike '[A-Za-z][A-Za-z][0-9][0-9]'", "iban|account|bank|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"{t} rlike '[0-9]-[0-9][0-9]-[0-9]'", "ssn|social security"),
+    "secret": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", r"{t} rlike '[A-Za-z0-9+/_=-]{{20}}'", "secret|token|passw|api.?key|credential|bearer|private.?key"),
 }
 BASE = ("email", "ip", "card", "phone")
-#: Score of a match before and after its check, of a context word within CONTEXT characters, and what reports a span.
+#: Points (hundredths) of a match before its check, of its check by kind, and of a context word within CONTEXT characters;
+#: what reports a span of a further kind.
+PROPOSED, NEARBY, CONTEXT, THRESHOLD = 30, 30, 40, 60
+CHECKED = {
+    "email": "30", "ip": "10", "card": "20", "phone": "10", "iban": "if({m} rlike '^[A-Z]', 40, 20)", "ssn": "0",
+    "secret": "if({m} rlike '^(?:AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|eyJ)', 30, 0)",
+}
 #: Characters of an IBAN, blanks aside (ISO 13616), and its bounds in any country.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -36,8 +48,8 @@ IBAN_LENGTHS = {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 IBAN_LEAST, IBAN_MOST = 15, 34
-
-PROPOSED, CHECKED, NEARBY, CONTEXT, THRESHOLD = 0.3, 0.4, 0.3, 40, 0.6
+#: Characters of a chunk, as a power of two.
+CHUNK = 6
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -65,8 +77,9 @@ CHECKS = {
     "ip": lambda m: rf"{m} rlike '^(?:{_OCTET}[.]){{3}}{_OCTET}$'",
     "card": _luhn,
     "phone": lambda m: f"length({_digits(m)}) between 10 and 15",
-    "iban": _mod97,
+    "iban": lambda m: f"{m} <> ''",
     "ssn": lambda m: f"{m} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)'",
+    "secret": lambda m: f"{m} rlike '[0-9]' and {m} rlike '[A-Za-z]'",
 }
 
 
@@ -74,42 +87,69 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\") + "'"
 
 
-def _ibans(cut: str, t: str) -> str:
-    """SQL: m and upto of the IBANs in text t whose four-character heads end the pieces in `cut`; of overlapping ones the first counts."""
-    most = 4 + 2 * (IBAN_MOST - 4)
-    body = rf"^.{{4}}(?:\x20?[A-Z0-9]){{{IBAN_LEAST - 4},{IBAN_MOST - 4}}}+"
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body, in which `name` stands for value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(a: str, step: str = "x + {before}", rest: str = "0") -> str:
+    """SQL: running sums (or another associative fold) of array a, by doubling the distance."""
+    before = f"if(i >= shiftleft(1, r), s[i - shiftleft(1, r)], {rest})"
+    return f"aggregate(sequence(0, cast(ceil(log2(greatest(size({a}), 1))) as int)), {a}, (s, r) -> transform(s, (x, i) -> {step.format(before=before)}))"
+
+
+def _chunks(t: str) -> str:
+    return f"regexp_extract_all({t}, '(?s).{{1,{1 << CHUNK}}}', 0)"
+
+
+def _part(c: str, start: str, end: str) -> str:
+    """SQL: characters start to end (exclusive) of the text in chunks c."""
+    first = f"shiftright({start}, {CHUNK})"
+    return f"if({end} <= {start}, '', substr(array_join(slice({c}, {first} + 1, shiftright({end} - 1, {CHUNK}) - {first} + 1), ''), {start} - shiftleft({first}, {CHUNK}) + 1, {end} - {start}))"
+
+
+def _iban(w: str) -> str:
+    """SQL: the IBAN that the text w begins with, or an empty text. (e: where it may end; n: its characters without blanks)"""
+    more = rf"{{{IBAN_LEAST - 4},{IBAN_MOST - 4}}}+"
+    body = rf"^(?:[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){more}|[a-z]{{2}}[0-9]{{2}}(?:\x20?[a-z0-9]){more})"
     lengths = "map(" + ", ".join(f"'{c}', {n}" for n, codes in IBAN_LENGTHS.items() for c in codes.split()) + ")"
-    heads = f"transform({cut}, x -> named_struct('at', x.upto - 4, 'w', substr({t}, x.upto - 3, {most + 1})))"
-    # (e: where it may end; n: its characters without blanks)
-    ends = f"""transform(filter(sequence({IBAN_LEAST}, length(regexp_extract(x.w, {_quoted(body)}, 0))), e -> substr(x.w, e, 1) <> ' ' and not substr(x.w, e + 1, 1) rlike '[A-Za-z0-9]'),
-        e -> named_struct('e', e, 'n', length(replace(substr(x.w, 1, e), ' ', ''))))"""
-    holds = f"y.n >= {IBAN_LEAST} and y.n = coalesce(try_element_at({lengths}, substr(x.w, 1, 2)), y.n) and {_mod97('substr(x.w, 1, y.e)')}"
-    best = f"transform({heads}, x -> named_struct('at', x.at, 'm', substr(x.w, 1, coalesce(array_max(filter({ends}, y -> {holds})).e, 0))))"
-    return f"""aggregate({best}, named_struct('upto', 0, 'out', cast(array() as array<struct<m:string,upto:int>>)),
-        (s, x) -> if(x.m = '' or x.at < s.upto, s, named_struct('upto', x.at + length(x.m), 'out', array_append(s.out, named_struct('m', x.m, 'upto', x.at + length(x.m))))), s -> s.out)"""
+    ends = f"""transform(filter(sequence({IBAN_LEAST}, greatest(length(regexp_extract({w}, {_quoted(body)}, 0)), {IBAN_LEAST})), e -> substr({w}, e, 1) <> ' ' and not substr({w}, e + 1, 1) rlike '[A-Za-z0-9]'),
+        e -> named_struct('e', e, 'n', length(replace(substr({w}, 1, e), ' ', ''))))"""
+    holds = f"y.n >= {IBAN_LEAST} and y.n = coalesce(try_element_at({lengths}, upper(substr({w}, 1, 2))), y.n) and {_mod97(f'upper(substr({w}, 1, y.e))')}"
+    return f"substr({w}, 1, coalesce(array_max(filter({ends}, y -> {holds})).e, 0))"
 
 
 def _spans(kind: str, no: int, t: str) -> str:
     """SQL: the spans of one kind in text t."""
     pattern, guard, words = KINDS[kind]
-    whole = r"(?s)\G.*?(" + pattern + ")"
-    pieces = f"if({guard.format(t=t)}, regexp_extract_all({t}, {_quoted(whole)}, 0), array())"
-    # The piece is matched again behind a character that keeps \G out of the way of the pattern's own anchors.
-    cut = f"""aggregate({pieces}, named_struct('upto', 0, 'out', cast(array() as array<struct<piece:string,upto:int>>)),
-        (s, p) -> named_struct('upto', s.upto + length(p), 'out', array_append(s.out, named_struct('piece', p, 'upto', s.upto + length(p)))), s -> s.out)"""
-    found = _ibans(cut, t) if kind == "iban" else f"transform({cut}, x -> named_struct('m', regexp_extract(x.piece, {_quoted(whole)}, 1), 'upto', x.upto))"
-    near = f"lower(substr({t}, greatest(x.upto - length(x.m) - {CONTEXT} + 1, 1), least({CONTEXT}, x.upto - length(x.m)))) rlike '(?:{words})'"
-    score = f"{PROPOSED}D + if({'false' if kind == 'ssn' else 'true'}, {CHECKED}D, 0D) + if({near}, {NEARBY}D, 0D)"
-    return f"""transform(filter({found}, x -> {CHECKS[kind]('x.m')}),
-        x -> named_struct('start', x.upto - length(x.m), 'no', {no}, 'kind', '{kind}', 'end', x.upto, 'score', {score}))"""
-
-
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column `pii`: spans (start, no, kind, end, score) in order of start, then kind."""
-    t = "coalesce(`{}`, '')".format(text.replace("`", "``"))
-    parts = [_spans(k, i, t) for i, k in enumerate(KINDS)]
-    kept = " or ".join([f"x.score >= {THRESHOLD}D", *(f"x.kind = '{k}'" for k in BASE)])
-    return docs.withColumn("pii", F.expr(f"array_sort(filter(concat({', '.join(parts)}), x -> {kept}))"))
+    whole = _quoted(r"(?s)\G.*?(" + pattern + ")")
+    none = "cast(array() as array<struct<start:int,no:int,kind:string,end:int,score:double>>)"
+    upto = _running(f"transform(regexp_extract_all({t}, {whole}, 0), p -> length(p))")
+    found = f"zip_with(u, regexp_extract_all({t}, {whole}, 1), (e, m) -> named_struct('start', e - length(m), 'm', m))"
+    if kind == "iban":
+        window = _part("c", "x.start", f"x.start + {4 + 2 * (IBAN_MOST - 4) + 1}")
+        found = f"transform({found}, x -> named_struct('start', x.start, 'm', {_let('w', window, _iban('w'))}))"
+    near = f"lower({_part('c', f'greatest(x.start - {CONTEXT}, 0)', 'x.start')}) rlike '(?:{words})'"
+    score = f"({PROPOSED} + {CHECKED[kind].format(m='x.m')} + if({near}, {NEARBY}, 0)) / 100D"
+    spans = f"""transform(filter({found}, x -> {CHECKS[kind]('x.m')}),
+        x -> named_struct('start', x.start, 'no', {no}, 'kind', '{kind}', 'end', x.start + length(x.m), 'score', {score}))"""
+    if kind not in BASE:
+        spans = f"filter({spans}, x -> x.score >= {THRESHOLD / 100}D)"
+    return f"if({guard.format(t=t)}, {_let('u', upto, f'if(size(u) = 0, {none}, {_let(chr(99), _chunks(t), spans)})')}, {none})"
+
+
+def _text(text: str) -> str:
+    return "coalesce(`{}`, '')".format(text.replace("`", "``"))
+
+
+def _all_spans(text: str) -> str:
+    t = _text(text)
+    return f"array_sort(concat({', '.join(_spans(k, i, t) for i, k in enumerate(KINDS))}))"
+
+
+def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+    """docs with a column `out`: spans (start, no, kind, end, score) in order of start, then kind; code points, end exclusive."""
+    return docs.withColumn(out, F.expr(_all_spans(text)))
 
 
 def span_text(pii: str, kinds: tuple[str, ...] | None = None) -> Column:
@@ -123,9 +163,12 @@ def count_of(pii: str, kind: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each reported span replaced by <kind>; of overlapping spans the first one counts."""
-    t = "coalesce(`{}`, '')".format(text.replace("`", "``"))
-    fold = f"""aggregate(pii, named_struct('upto', 0, 'out', ''), (s, x) -> if(x.start < s.upto, s,
-        named_struct('upto', x.end, 'out', concat(s.out, substr({t}, s.upto + 1, x.start - s.upto), '<', x.kind, '>'))),
-        s -> concat(s.out, substr({t}, s.upto + 1)))"""
-    return find_pii(docs, text).withColumn(text, F.expr(fold)).drop("pii")
+    """docs with each reported span replaced by <kind>; overlapping spans go together, under the kind of the first. A null text stays null."""
+    t, column = _text(text), "`{}`".format(text.replace("`", "``"))
+    # u: how far the spans up to each one reach; a span that begins beyond those before it begins a gap.
+    reach = _running("transform(p, x -> x.end)", "greatest(x, {before})")
+    heads = "filter(sequence(0, size(p) - 1), i -> i = 0 or p[i].start >= u[i - 1])"
+    gaps = f"transform({heads}, i -> concat({_part('c', 'if(i = 0, 0, u[i - 1])', 'p[i].start')}, '<', p[i].kind, '>'))"
+    tail = _part("c", "u[size(u) - 1]", f"length({t})")
+    cut = _let("u", reach, _let("c", _chunks(t), f"concat(array_join({gaps}, ''), {tail})"))
+    return docs.withColumn(text, F.expr(_let("p", _all_spans(text), f"if(size(p) = 0, {column}, {cut})")))

@@ -31,6 +31,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with its set's size, its component of links at three-word shingles and 85 %, and whether it stays."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
@@ -42,10 +43,12 @@ def vocabulary() -> str:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with the number of ids and digests of the ids and of the decoded text."""
     return bpe.tokenize(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with its words, how many benchmark windows cover, the number and a digest of the items found, and the decision."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -53,14 +56,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with the row that stays of its group of equal texts, the group's size, and the text's digest."""
     return BloomDedup(table(spark, sf_dir, "documents")).classify()
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with counts and a digest of the base kinds' spans, all spans, and how many these are."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return found.select(
         "doc_id", *(pii.count_of("pii", k).alias(f"n_{k}") for k in pii.BASE),
-        F.sha2(pii.span_text("pii", pii.BASE), 256).alias("base_sha256"), pii.span_text("pii").alias("spans"))
+        F.sha2(pii.span_text("pii", pii.BASE), 256).alias("base_sha256"), pii.span_text("pii").alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def _crc(mod: int):
@@ -68,6 +73,7 @@ def _crc(mod: int):
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with its fold, the calibrated score and the decision; labels of the held-out fold teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(_crc(3) != 1))
     scored = quality.score(docs, model)
@@ -75,12 +81,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with the place, number and checksum of its ids as read back from the files."""
     out = scratch_path(spark, "token-ids")
     rans.write_ids(table(spark, sf_dir, "documents"), vocabulary(), out)
     return rans.read_ids(spark, out)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id with its fold, the predicted language and its probability; the held-out fold teaches nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs.where((_crc(4) != 2) & F.col("lang").isNotNull()))
     found = langid.predict(docs.select("doc_id", "text"), model)
@@ -92,9 +100,57 @@ QUERIES = {
     for f in (op1_toxicity, op2_sharding, op3_near_dedup, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language)
 }
 
+
+
+# -- SQL -----------------------------------------------------------------------------------------------
+#: Patterns of the oracle, whose regular expressions know no look-around: where the operator's have one, the pattern takes
+#: the whole run of characters and the check looks at it.
+_PII_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || right(p, 3) as integer) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", """length(replace(replace(m, ' ', ''), '-', '')) between 14 and 19 and list_sum(list_transform(range(1, length(replace(replace(m, ' ', ''), '-', '')) + 1),
+        lambda i: list_extract(case when i % 2 = 0 then [0, 2, 4, 6, 8, 1, 3, 5, 7, 9] else [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] end, 1 + cast(substr(replace(replace(m, ' ', ''), '-', ''), -i, 1) as integer)))) % 10 = 0"""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) between 10 and 15"),
+    "iban": (r"[A-Za-z0-9]+", "regexp_matches(m, '^([A-Z]{2}|[a-z]{2})[0-9]{2}')"),
+    "ssn": (r"[0-9-]{11,}", "regexp_matches(m, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$') and not regexp_matches(m, '^(000|666|9)') and substr(m, 5, 2) <> '00' and right(m, 4) <> '0000'"),
+    "secret": (r"[A-Za-z0-9+/_=-]{20,}", "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')"),
+}
+
+
+def _pii_sql() -> str:
+    parts = []
+    for k, (pattern, check) in _PII_SQL.items():
+        parts.append(f"""{k}_m as (select r, text, m, start from (select r, text, ms[i] as m, sum(length(gaps[i])) over w + coalesce(sum(length(ms[i - 1])) over w, 0) as start
+            from (select r, text, ms, gaps, unnest(range(1, len(ms) + 1)) as i from (select r, text, regexp_extract_all(text, '{pattern}') as ms, string_split_regex(text, '{pattern}') as gaps from t) as x) as y
+            window w as (partition by r order by i rows unbounded preceding)) as z where {check})""")
+    lengths = "map {" + ", ".join(f"'{c}': {n}" for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split()) + "}"
+    value = "list_transform(string_split(upper(substr(code, 5) || substr(code, 1, 4)), ''), lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)"
+    parts.append(f"""iban_w as (select r, text, start, w, case when regexp_matches(w, '^[A-Z]') then regexp_extract(w, '^.{{4}}( ?[A-Z0-9]){{11,30}}') else regexp_extract(w, '^.{{4}}( ?[a-z0-9]){{11,30}}') end as body
+            from (select r, text, start, substr(text, cast(start as integer) + 1, 65) as w from iban_m) as x),
+        iban_e as (select r, text, start, w, e, replace(substr(w, 1, e), ' ', '') as code from (select r, text, start, w, unnest(range(15, length(body) + 1)) as e from iban_w) as x
+            where substr(w, e, 1) <> ' ' and not regexp_matches(substr(w, e + 1, 1), '[A-Za-z0-9]')),
+        iban_f as (select r, text, start, substr(any_value(w), 1, max(e)) as m from iban_e where length(code) >= 15 and length(code) = coalesce({lengths}[upper(substr(code, 1, 2))], length(code))
+            and list_reduce({value}, lambda a, b: (a * (case when b > 9 then 100 else 10 end) + b) % 97) = 1 group by r, text, start)""")
+    rows = []
+    for no, k in enumerate(pii.KINDS):
+        points = {"iban": "case when regexp_matches(m, '^[A-Z]') then 40 else 20 end", "secret": "case when regexp_matches(m, '" + pii.CHECKED["secret"].split("'")[1] + "') then 30 else 0 end"}.get(k, pii.CHECKED[k])
+        near = f"case when regexp_matches(lower(substr(text, cast(greatest(start - {pii.CONTEXT}, 0) as integer) + 1, cast(least(start, {pii.CONTEXT}) as integer))), '{pii.KINDS[k][2]}') then {pii.NEARBY} else 0 end"
+        wanted = "true" if k in pii.BASE else f"{pii.PROPOSED} + {points} + {near} >= {pii.THRESHOLD}"
+        rows.append(f"select r, {no} as no, '{k}' as kind, cast(start as bigint) as s, cast(start as bigint) + length(m) as e from {'iban_f' if k == 'iban' else k + '_m'} where {wanted}")
+    base = f"no < {len(pii.BASE)}"
+    counts = ", ".join(f"coalesce(count(*) filter (kind = '{k}'), 0) as n_{k}" for k in pii.BASE)
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' order by s, no)"
+    return f"""with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), {', '.join(parts)},
+        span as ({' union all '.join(rows)}),
+        per as (select r, {counts}, {joined} filter ({base}) as base, {joined} as spans, count(*) as n_spans from span group by r)
+        select doc_id, {', '.join(f'coalesce(n_{k}, 0) as n_{k}' for k in pii.BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_spans, 0) as n_spans
+        from t left join per on per.r = t.r"""
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op7_pii": _pii_sql(),
     "op2_sharding": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256 from documents",
     "op3_near_dedup": rf"""
         with recursive t as (select doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') as w from documents),
