@@ -7,9 +7,12 @@
    frequent each text posts under the first COORDINATES - T + 1 alone: two texts that agree T times share one
    of these. Texts with fewer than T pairs that anyone shares post nothing (prefix merging).
 3. A short posting list (SHORT texts at most) gives its pairs; those that agree on T coordinates and whose sizes allow it
-   are compared. A longer list never becomes pairs: it is dealt into chunks of bounded size, each pair of chunks is one
-   group, and a group counts all its common shingles as a matrix product and returns a spanning forest of its links
-   (merging by count, skipping pairs that share no shingle), at most one row for each text.
+   are compared. A longer list never becomes pairs. Its texts are compared with one text of its largest component, and
+   with another one of it in each of PIVOTS rounds, which is work in proportion to the list and links what the
+   list's texts are copies of. Members of that component need no comparison with each other any more; the texts still
+   apart from it are dealt into chunks of bounded size and meet chunks of the whole list: a group counts all its
+   common shingles as a matrix product and returns a spanning forest of its links (merging by count, skipping pairs that
+   share no shingle), at most one row for each text.
 4. Comparisons are exact on the full shingle sets; components come from contraction (see components.py).
 
 Defined cases: texts without words (or null) have no set and link with nothing; texts with fewer words than a shingle
@@ -34,7 +37,9 @@ from signalfold.llm.components import components
 from signalfold.llm.shingles import mix, sets_of, shingle_sets
 from signalfold.llm.store import broadcast_if_small, heavy_light_join, materialize, ship, slices
 
-COORDINATES, MISS, SHORT = 24, 2e-7, 32
+COORDINATES, MISS, SHORT, PIVOTS = 24, 2e-7, 32, 2
+#: Texts up to which pivots are broadcast.
+PIVOT_ROWS = 5_000
 #: Texts and shingles of a chunk of a long list, and columns of a block of the matrix product.
 CHUNK_TEXTS, CHUNK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
@@ -87,8 +92,8 @@ def _id(docs: DataFrame) -> Column:
     return F.col("doc_id").cast(_type(docs))
 
 
-def linked_pairs(sets: list[np.ndarray], right: np.ndarray, same: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of the linked texts of two chunks, or (`same`) of one; `right` marks the second chunk."""
+def linked_pairs(sets: list[np.ndarray], right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of the linked texts of two chunks; `right` marks the second one."""
     size = np.array([len(s) for s in sets])
     column = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, int)
     times = np.bincount(column)
@@ -96,8 +101,7 @@ def linked_pairs(sets: list[np.ndarray], right: np.ndarray, same: bool, percent:
     row = np.repeat(np.arange(len(sets)), size)
     keep = times[column] > 1
     row, column = row[keep], shared[column[keep]]
-    left = np.arange(len(sets)) if same else np.flatnonzero(~right)
-    other = left if same else np.flatnonzero(right)
+    left, other = np.flatnonzero(~right), np.flatnonzero(right)
     common = np.zeros((len(left), len(other)), np.float32)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
@@ -107,8 +111,7 @@ def linked_pairs(sets: list[np.ndarray], right: np.ndarray, same: bool, percent:
         m[row[lo:hi], column[lo:hi] - start] = 1
         common += m[left] @ m[other].T
     a, b = np.nonzero(100 * common >= percent * (size[left][:, None] + size[other][None, :] - common))
-    a, b = left[a], other[b]
-    return (a[a < b], b[a < b]) if same else (a, b)
+    return left[a], other[b]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,7 +163,10 @@ class Linker:
         ids = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
         texts = self.texts.join(broadcast_if_small(materialize(ids, "compared")), "node", "left_semi")
         full = close.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b")
-        full = full.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a")
+        return self._confirm(full.join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a"))
+
+    def _confirm(self, full: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose texts (t_a, t_b) have sets as similar as is asked for."""
         k, percent = self.k, self.percent
 
         def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,21 +184,64 @@ class Linker:
 
         return materialize(full.select("a", "b", "t_a", "t_b").mapInArrow(batches, f"a {self.type}, b {self.type}").distinct(), "links")
 
-    def _long_lists(self, lists: DataFrame, long: DataFrame) -> DataFrame:
-        """Links (a spanning forest for each group) within the long lists; long: tok, chunks."""
-        held = lists.join(broadcast_if_small(long), "tok").withColumn("own", F.pmod(F.xxhash64("node", "tok"), F.col("chunks")))
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other")
-        dealt = held.select("tok", "node", "own", other).select("tok", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
+    def _largest(self, held: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """(rows of the long lists with their component, the largest component of each list with a member that is its pivot)."""
+        named = held.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        per = named.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node"))["node"].alias("pivot"))
+        most = per.groupBy("tok").agg(F.max(F.struct("texts", "comp", "pivot")).alias("most"), F.sum("texts").alias("size"))
+        return named, materialize(most.select("tok", "size", F.col("most.comp").alias("main"), F.col("most.pivot").alias("pivot")), "pivots")
+
+    def _apart(self, named: DataFrame, main: DataFrame) -> DataFrame:
+        """named with `main`, `pivot` and `size` of its list."""
+        return heavy_light_join(named, main, ["tok"], "size")
+
+    def _to_pivots(self, named: DataFrame, main: DataFrame) -> DataFrame:
+        """Links between pivots and the texts of their lists that are not of the same component."""
+        rows = self._apart(named, main).where("comp <> main").select("node", "pivot").distinct()
+        sides = self.signed.select("node", "n", "sig"), self.signed.select(F.col("node").alias("pivot"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
+        pivots = materialize(sides[1].join(F.broadcast(main.select("pivot").distinct()) if main.count() <= PIVOT_ROWS else main.select("pivot").distinct(), "pivot", "left_semi"), "pivot-signatures")
+        agree = "size(filter(zip_with(sig, s_b, (x, y) -> x = y), x -> x))"
+        close = rows.join(sides[0], "node").join(broadcast_if_small(pivots, bound=PIVOT_ROWS), "pivot").where(f"100 * least(n, n_b) >= {self.percent} * greatest(n, n_b)").where(f"{agree} >= {self.t}").select("node", "pivot")
+        texts = materialize(self.texts.join(broadcast_if_small(pivots.select(F.col("pivot").alias("node"))), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("text").alias("t_b")), "pivot-texts")
+        full = close.join(self.texts.withColumnRenamed("text", "t_a"), "node").join(broadcast_if_small(texts, bound=PIVOT_ROWS), "pivot")
+        return self._confirm(full.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "t_a", "t_b"))
+
+    def _long_lists(self, lists: DataFrame, long: DataFrame, links: DataFrame) -> DataFrame:
+        """links and those within the long lists; long: tok."""
+        held = materialize(lists.join(broadcast_if_small(long), "tok").join(self.signed.select("node", "n"), "node"), "long")
+        for turn in range(PIVOTS):
+            links = materialize(links.unionByName(self._to_pivots(*self._largest(held, links, turn))), "links")
+        rows = self._apart(*self._largest(held, links, PIVOTS))
+        apart = F.col("comp") != F.col("main")
+        sums = rows.groupBy("tok").agg(
+            F.count_if(apart).alias("few"), F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("few_shingles"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("few > 0")
+
+        def chunks(texts: str, shingles: str) -> Column:
+            return F.greatest(F.ceil(F.col(texts) / CHUNK_TEXTS), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("bigint")
+
+        sums = materialize(sums.select("tok", "size", chunks("few", "few_shingles").alias("left"), chunks("size", "shingles").alias("right")), "chunks")
+        if sums.isEmpty():
+            return links
+        dealt = heavy_light_join(rows.select("tok", "node", apart.alias("apart")), sums, ["tok"], "size")
+        place = F.xxhash64("node", "tok")
+
+        def each(n: str) -> Column:
+            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+        lefts = dealt.where("apart").select("tok", "node", F.pmod(place, F.col("left")).alias("i"), each("right").alias("j"), F.lit(False).alias("right"))
+        rights = dealt.select("tok", "node", each("left").alias("i"), F.pmod(place, F.col("right")).alias("j"), F.lit(True).alias("right"))
         k, percent = self.k, self.percent
 
-        def links(rows: pd.DataFrame) -> pd.DataFrame:
+        def found(rows: pd.DataFrame) -> pd.DataFrame:
             nodes, right = rows["node"].to_numpy(), rows["right"].to_numpy()
-            pairs = linked_pairs(sets_of(rows["text"].tolist(), k), right, bool(rows["i"].iloc[0] == rows["j"].iloc[0]), percent)
-            root = forest(len(nodes), *pairs)
+            a, b = linked_pairs(sets_of(rows["text"].tolist(), k), right, percent)
+            same = nodes[a] == nodes[b]
+            root = forest(len(nodes), a[~same], b[~same])
             moved = np.flatnonzero(root != np.arange(len(nodes)))
             return pd.DataFrame({"a": nodes[root[moved]], "b": nodes[moved]})
 
-        return materialize(dealt.join(self.texts, "node").groupBy("tok", "i", "j").applyInPandas(links, f"a {self.type}, b {self.type}").distinct(), "long-links")
+        grouped = lefts.select("tok", "node", "i", "j", "right").unionByName(rights.select("tok", "node", "i", "j", "right")).join(self.texts, "node").groupBy("tok", "i", "j")
+        return links.unionByName(materialize(grouped.applyInPandas(found, f"a {self.type}, b {self.type}").distinct(), "long-links"))
 
     def link(self) -> tuple[DataFrame, DataFrame]:
         """(classes, components of those linked with others)."""
@@ -202,17 +251,16 @@ class Linker:
         ids = posted.select(F.col("node").alias("doc_id")).distinct()
         self.texts = materialize(self.docs.select(_id(self.docs).alias("doc_id"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
         plain = materialize(posted.select("node", F.explode("toks").alias("tok")), "lists")
-        sized = plain.join(self.signed.select("node", "n"), "node").groupBy("tok").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")
+        sized = plain.groupBy("tok").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
         sized = materialize(sized, "sizes")
         short = broadcast_if_small(sized.where(F.col("texts") <= SHORT).select("tok"))
         few = plain.join(short, "tok", "left_semi")
         x, y = few.alias("x"), few.alias("y")
         pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.node") < F.col("y.node")))
         links = self._compare(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-        chunks = F.greatest(F.ceil(F.col("texts") / CHUNK_TEXTS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("bigint")
-        long = sized.where(F.col("texts") > SHORT).select("tok", chunks.alias("chunks"))
+        long = sized.where(F.col("texts") > SHORT).select("tok")
         if not long.isEmpty():
-            links = links.unionByName(self._long_lists(plain, long))
+            links = self._long_lists(plain, long, links)
         return classes, components(links)
 
 

@@ -119,6 +119,23 @@ def test_long_posting_lists_lose_no_link(spark, monkeypatch):
     assert got == brute_components(many, 3, 85)
 
 
+def test_a_group_of_copies_is_work_in_proportion(spark, monkeypatch):
+    """A large group of near copies and a few texts beside it: with chunks of 16 texts, pairs of chunks would be 150,000 rows."""
+    rng, met, n = random.Random(6), [], 400
+    base = [f"w{rng.randint(0, 10_000)}" for _ in range(200)]
+    many = []
+    for i in range(n):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"n{i}"
+        many.append(" ".join(w))
+    many += [" ".join([*base[:100], *(f"o{i}x{j}" for j in range(40))]) for i in range(6)]
+    monkeypatch.setattr(minhash, "CHUNK_TEXTS", 16)
+    monkeypatch.setattr(minhash, "materialize", lambda df, tag: met.append(out := materialize(df, tag)) or out)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, many), 3, 85).collect()}
+    beside = {n + i: n + c for i, (_, c, _) in brute_components(many[n:], 3, 85).items()}
+    assert got == {i: 0 for i in range(n)} | beside and max(df.count() for df in met) <= 30 * n
+
+
 def test_near_dedup_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
     rows = table(spark, ["a b c", "a b c", "a b c", None, ""], [3, 3, None, 5, 6]).withColumn("kept", F.lit(0))
