@@ -2,7 +2,7 @@
 
 All scalar rules of one source share one scan: each rule becomes conditional aggregates of one global
 aggregation, whose scan is limited to the longest window; the finishing arithmetic stays in the plan. Both ends of a
-window belong to it.
+window belong to it. Quantiles need more than one pass and are computed first.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalfold.functions import predicates as P
+from signalfold.operators.quantiles import exact_quantiles
 from signalfold.operators.rules import COMPARATORS, QUANTILES, Rule
 
 Tables = Mapping[str, DataFrame]
@@ -57,8 +58,6 @@ def _back(now: datetime, secs: float) -> datetime:
 
 def _measure(agg: str, value: Column, cond: Column, source: str) -> Column:
     v = F.when(cond, value)
-    if agg in QUANTILES:
-        return F.percentile(v, F.lit(QUANTILES[agg]))
     if agg == "last":
         return F.max_by(v, F.when(cond, F.struct(P.TIME_COLUMN[source], TIE[source])))
     return {"avg": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "count": F.count}[agg](v)
@@ -70,13 +69,9 @@ def _plan(rule: Rule, df: DataFrame, now: datetime) -> tuple[list[Column], calla
     inside = _window(df, source, _back(now, w), now)
     if rule.kind in ("log_count", "telemetry_count"):
         return [F.count_if(P.all_of(inside + count_filter(rule, source)))], lambda a: a.cast("double"), w
-    if rule.kind == "metric_threshold":
-        value = F.coalesce("value_double", F.col("value_int").cast("double"))
-        cond = P.all_of(inside + base_filter(rule, source))
-        return [_measure(rule.agg, value, cond, source)], lambda a: F.coalesce(a.cast("double"), F.lit(0.0)), w
-    if rule.kind == "span_duration":
-        parts = inside + base_filter(rule, source) + [F.col("duration_ms").isNotNull()] + (error_filter(rule, source) if rule.error_only else [])
-        return [_measure(rule.agg or "p95", F.col("duration_ms"), P.all_of(parts), source)], lambda a: F.coalesce(a.cast("double"), F.lit(0.0)), w
+    if rule.kind in ("metric_threshold", "span_duration"):
+        value, parts = _measured(rule, source)
+        return [_measure(rule.agg, value, P.all_of(inside + parts), source)], lambda a: F.coalesce(a.cast("double"), F.lit(0.0)), w
     if rule.kind == "error_ratio":
         base = inside + base_filter(rule, source)
         least = max(rule.min_count, 1)
@@ -91,6 +86,30 @@ def _plan(rule: Rule, df: DataFrame, now: datetime) -> tuple[list[Column], calla
     raise ValueError(f"{rule.kind} has no single value")
 
 
+def _quantile(rule: Rule) -> str | None:
+    """The quantile that a rule asks for."""
+    agg = {"metric_threshold": rule.agg, "span_duration": rule.agg or "p95"}.get(rule.kind)
+    return agg if agg in QUANTILES else None
+
+
+def quantiles(df: DataFrame, rules: list[Rule], now: datetime) -> dict[str, float | None]:
+    """Quantiles of rules over one source, by the rule's number as text; they are computed at once (see quantiles.py)."""
+    source = source_of(rules[0])
+    asked = {}
+    for i, r in enumerate(rules):
+        value, parts = _measured(r, source)
+        asked[str(i)] = F.when(P.all_of(_window(df, source, _back(now, r.window_secs), now) + parts), value), QUANTILES[_quantile(r)]
+    rows = df.where(P.all_of(_window(df, source, _back(now, max(r.window_secs for r in rules)), now)))
+    return exact_quantiles(rows, asked)
+
+
+def _measured(rule: Rule, source: str) -> tuple[Column, list[Column]]:
+    """What a rule measures, and in which rows of its window."""
+    if rule.kind == "metric_threshold":
+        return F.coalesce("value_double", F.col("value_int").cast("double")), base_filter(rule, source)
+    return F.col("duration_ms"), base_filter(rule, source) + [F.col("duration_ms").isNotNull()] + (error_filter(rule, source) if rule.error_only else [])
+
+
 def bucket_counts(df: DataFrame, rule: Rule, now: datetime) -> DataFrame:
     """(bucket, n) for each step of window_secs from now - baseline on that ends by now - window; empty ones count 0.
 
@@ -123,9 +142,15 @@ def values(tables: Tables, rules: Iterable[Rule], now: datetime) -> DataFrame:
     """(rule, value) for each scalar rule, in one aggregation for each source."""
     rules = list(rules)
     out: list[DataFrame] = []
-    for source in dict.fromkeys(source_of(r) for r in rules if r.kind not in ("anomaly", "composite")):
+    apart = [r for r in rules if r.kind in ("anomaly", "composite") or _quantile(r)]
+    for source in dict.fromkeys(source_of(r) for r in rules if _quantile(r)):
+        asked = [r for r in rules if _quantile(r) and source_of(r) == source]
+        found = quantiles(tables[source], asked, now)
+        entries = [F.struct(F.lit(r.name).alias("rule"), F.lit(found[str(i)] or 0.0).cast("double").alias("value")) for i, r in enumerate(asked)]
+        out.append(tables[source].sparkSession.range(1).select(F.inline(F.array(*entries))))
+    for source in dict.fromkeys(source_of(r) for r in rules if r not in apart):
         df = tables[source]
-        mine = [(r, *_plan(r, df, now)) for r in rules if r.kind not in ("anomaly", "composite") and source_of(r) == source]
+        mine = [(r, *_plan(r, df, now)) for r in rules if r not in apart and source_of(r) == source]
         rows = df.where(P.all_of(_window(df, source, _back(now, max(back for *_, back in mine)), now)))
         aggs, entries = [], []
         for r, cols, finish, _ in mine:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,10 @@ from signalfold.operators import correlate, evaluate, liveness, merge, reads
 from signalfold.operators.rules import Rule
 from signalfold.plans import gate
 from signalfold.plans.fixtures import raw, view, views, with_views
+from signalfold.session import scratch_path
+from signalfold.sources import cold, heartbeats, otlp
 from signalfold.sources import events as event_source
-from signalfold.sources import otlp
+from signalfold.sources.schemas import schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,12 +56,9 @@ def search_logs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.search_logs(view(spark, sf_dir, "logs"), q="ERR_r k=1", start="2024-01-05T00:00:00Z", end="2024-01-25T12:00:00+00:00", limit=50)
 
 
-@_query("""select * from spans_v where trace_id = (select max(trace_id) from spans_v where name = 'error')""", "spans")
+@_query("select * from spans_v where trace_id = 'user-7/2024-01-10'", "spans")
 def get_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trace is looked up in the plan, as no id is known beforehand."""
-    spans = view(spark, sf_dir, "spans")
-    wanted = spans.where("name = 'error'").agg(F.max("trace_id").alias("trace_id"))
-    return spans.join(F.broadcast(wanted), "trace_id", "left_semi").orderBy("start_time", "span_id")
+    return reads.get_trace(view(spark, sf_dir, "spans"), "user-7/2024-01-10")
 
 
 @_query(f"select {_EVENT} from events_v where event_name = 'purchase' and tenant_id = 'tenant-1' order by timestamp_client desc, event_id limit 200", "events")
@@ -311,29 +310,69 @@ def dedup_first_received(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.first_received(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"])
 
 
-@_query("select event_id, event_name from events_v where cast(event_id as bigint) % 3 = 0 and not (cast(event_id as bigint) % 2 = 0)", "events")
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as rows of the stored table."""
+    events = view(spark, sf_dir, "events")
+    rows = events.withColumns({c: F.col(c).cast("timestamp") for c in ("timestamp_client", "received_at")})
+    return rows.select(*schema("events").names)
+
+
+@_query("select event_id, event_name from events_v where event_id not in (select event_id from events_v where event_name = 'view')", "events")
 def merge_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of every third event, sent twice, against a store that holds the even ones."""
+    """All events, sent twice, against a store that holds the views."""
     events = view(spark, sf_dir, "events")
-    number = F.col("event_id").cast("bigint")
-    batch = events.where(number % 3 == 0)
-    fresh = merge.dedup_batch(batch.unionByName(batch), "events")
-    return merge.new_rows(fresh, events.where(number % 2 == 0), ["timestamp_client", "event_id"]).select("event_id", "event_name")
+    fresh = merge.dedup_batch(events.unionByName(events), "events")
+    return merge.new_rows(fresh, events.where("event_name = 'view'"), ["timestamp_client", "event_id"]).select("event_id", "event_name")
+
+
+@_query("""select 1 as step, count(*) as inserted, count(*) as stored from events_v where event_name = 'view'
+    union all select 2, count(*) filter (event_name <> 'view'), count(*) from events_v union all select 3, 0, count(*) from events_v""", "events")
+def merge_into_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views, then all events twice over, then all again are merged into day folders."""
+    root, rows, steps = scratch_path(spark, "merge"), _stored(spark, sf_dir), []
+    for step, batch in enumerate((rows.where("event_name = 'view'"), rows.unionByName(rows), rows), 1):
+        n = merge.merge(batch, root, "events")
+        steps.append((step, n, cold.scan(spark, root, "events").count()))
+    return spark.createDataFrame(steps, "step int, inserted long, stored long")
+
+
+_PER_DAY = "select cast(cast(timestamp_client as date) as varchar) as day, count(*) as n, count(distinct event_id) as ids from events_v {where} group by cast(timestamp_client as date)"
+
+
+def _days(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
 
+@_query(_PER_DAY.format(where="where cast(timestamp_client as date) >= date '2024-01-10'"), "events")
+def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days are written; then a retention of 20 days drops folders on 2024-01-30."""
+    root = scratch_path(spark, "retention")
+    cold.write_days(_stored(spark, sf_dir), root, "events", mode="overwrite")
+    cold.purge(spark, cold.table_path(root, "events"), NOW.date(), 20)
+    return _days(cold.scan(spark, root, "events"))
 
-@_query("""select cast(cast(timestamp_client as date) as varchar) as day, count(*) as n, cast(timestamp_client as date) < date '2024-01-10' as expired
-    from events_v group by cast(timestamp_client as date)""", "events")
-def retention_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of the store, and which of them a retention of 20 days drops on 2024-01-30."""
-    day = F.to_date("timestamp_client")
-    days = view(spark, sf_dir, "events").groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    return days.select(F.col("d").cast("string").alias("day"), "n", (F.col("d") < F.lit((NOW - timedelta(days=20)).date())).alias("expired"))
+
+@_query(_PER_DAY.format(where="where cast(timestamp_client as date) in (date '2024-01-05', date '2024-01-28', date '2024-01-29')"), "events")
+def scheduled_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run on 2024-01-30, to which a late batch adds 2024-01-05; it is repeated, which changes nothing."""
+    root, tables = scratch_path(spark, "export"), {"events": _stored(spark, sf_dir)}
+    for _ in range(2):
+        cold.export_due(tables, root, NOW.date(), late=[datetime(2024, 1, 5).date()])
+    return _days(cold.scan(spark, root, "events"))
+
+
+@_query(_PER_DAY.format(where="where timestamp_client >= timestamp '2024-01-01' and timestamp_client < timestamp '2024-02-01'"), "events")
+def cold_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month of the cold table by its prefix, of which other partitions are not read."""
+    root = scratch_path(spark, "cold")
+    cold.write_days(_stored(spark, sf_dir), root, "events", mode="overwrite")
+    return _days(cold.scan(spark, root, "events", "2024-01"))
 
 
 @_query("""select event_name, count(*) as n from events_v where timestamp_client >= timestamp '2024-01-15 00:00:00' and timestamp_client < timestamp '2024-01-16 00:00:00' group by event_name""", "events")
 def day_export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = view(spark, sf_dir, "events")
-    return events.where(P.on_day(events, "timestamp_client", datetime(2024, 1, 15))).groupBy("event_name").agg(F.count(F.lit(1)).alias("n"))
+    folder = cold.export_day(_stored(spark, sf_dir), scratch_path(spark, "day"), "events", datetime(2024, 1, 15).date())
+    return spark.read.schema(schema("events")).parquet(folder).groupBy("event_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RECEIVED = "timestamp '2024-01-20 12:00:00'"
@@ -349,19 +388,20 @@ def skew_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""select count(*) as received, count(distinct (l_orderkey, l_linenumber)) as inserted, count(*) - count(distinct (l_orderkey, l_linenumber)) as deduplicated from lineitem""")
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = raw(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.sum("n").alias("received"), F.count(F.lit(1)).alias("inserted"), (F.sum("n") - F.count(F.lit(1))).alias("deduplicated"))
+    rows = raw(spark, sf_dir, "lineitem").select(*_LINE.split(", "))
+    found = reads.ingest_stats(rows.count(), merge.first_received(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate"]).count())
+    return spark.range(1).select(*(F.lit(found[k]).cast("long").alias(k) for k in ("received", "inserted", "deduplicated")))
 
 
 @_query("""select e.id, e.timeout_secs, h.last_seen, (epoch_us(timestamp '2024-01-30 00:00:00') - epoch_us(h.last_seen)) / 1e6 as silent_secs,
         coalesce((epoch_us(timestamp '2024-01-30 00:00:00') - epoch_us(h.last_seen)) / 1e6 > e.timeout_secs, true) as down
-    from (select distinct concat('user-', cast(user_id as varchar)) as id, cast(43200 as bigint) as timeout_secs from events where user_id % 2 = 0
+    from (select distinct concat('user-', cast(user_id as varchar)) as id, cast(43200 as bigint) as timeout_secs from events
           union all select 'user-none', cast(43200 as bigint)) as e
     left join (select actor_id as id, max(timestamp_client) as last_seen from events_v where timestamp_client <= timestamp '2024-01-30 00:00:00' group by actor_id) as h on e.id = h.id""", "events")
 def companion_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = view(spark, sf_dir, "events")
     beats = events.where(F.col("timestamp_client") <= P.instant(events, "timestamp_client", NOW)).select(F.col("actor_id").alias("id"), F.col("timestamp_client").alias("ts"))
-    expected = raw(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id")).distinct()
+    expected = raw(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id")).distinct()
     expected = expected.unionByName(spark.range(1).select(F.lit("user-none").alias("id"))).withColumn("timeout_secs", F.lit(43_200).cast("bigint"))
     return liveness.liveness(beats, expected, NOW).select("id", "timeout_secs", "last_seen", "silent_secs", "down")
 
@@ -430,3 +470,83 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(user_id % 7 = 0, ' ', cast(user_id as string))", "'\",\"timestamp_client\":\"'", at, "'\",\"properties\":'", "props", "'}]}'")
     _, verdicts = event_source.read_batches(docs)
     return verdicts.groupBy("outcome").agg(F.count(F.lit(1)).alias("batches"))
+
+
+_POINT = ("'{\"resourceMetrics\":[{'", _SERVICE, "',\"scopeMetrics\":[{\"metrics\":[{\"name\":\"app.'", "event_type", "'\",\"unit\":\"1\",'")
+
+
+@_query("""select epoch_us(ts) as at, concat('app.', event_type) as metric_name, 'sum' as metric_type, event_id as value_int, concat('user-', cast(user_id as varchar)) as actor_id from events""")
+def flatten_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers that come as text."""
+    docs = _documents(spark, sf_dir, *_POINT, "'\"sum\":{\"dataPoints\":[{\"timeUnixNano\":'", _NS, "',\"asInt\":\"'", "cast(event_id as string)", "'\",'", _OWN, "'}]}}]}]}]}'")
+    return otlp.flatten_metrics(docs).select(_micros("time", "at"), "metric_name", "metric_type", "value_int", "actor_id")
+
+
+@_query("""select epoch_us(ts) as at, 'histogram' as metric_type, event_id as n, value as total, concat('{"bounds":[1.5,10.0],"counts":[', cast(event_id as varchar), ',2,0]}') as buckets from events""")
+def flatten_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(
+        spark, sf_dir, *_POINT, "'\"histogram\":{\"dataPoints\":[{\"timeUnixNano\":\"'", _NS, "'\",\"count\":\"'", "cast(event_id as string)", "'\",\"sum\":'", "cast(value as string)",
+        "',\"explicitBounds\":[1.5,10.0],\"bucketCounts\":[\"'", "cast(event_id as string)", "'\",2,\"0\"]}]}}]}]}]}'")
+    return otlp.flatten_metrics(docs).select(_micros("time", "at"), "metric_type", F.col("count").alias("n"), F.col("sum").alias("total"), "buckets")
+
+
+@_query("""select epoch_us(ts) + case when event_type = 'error' then 10000000 else 0 end as at,
+    concat('{"kind":"', event_type, '","n":[', cast(event_id as varchar), ',true,null]}') as body from events""")
+def flatten_log_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured bodies; a log without a time of its own has the observed one, and without both its arrival."""
+    docs = _documents(
+        spark, sf_dir, "'{\"resourceLogs\":[{\"scopeLogs\":[{\"logRecords\":[{'",
+        "case event_type when 'error' then '\"timeUnixNano\":0,' when 'click' then concat('\"observedTimeUnixNano\":\"', " + _NS + ", '\",') else concat('\"timeUnixNano\":', " + _NS + ", ',') end",
+        "'\"body\":{\"kvlistValue\":{\"values\":[{\"key\":\"kind\",\"value\":{\"stringValue\":\"'", "event_type",
+        "'\"}},{\"key\":\"n\",\"value\":{\"arrayValue\":{\"values\":[{\"intValue\":\"'", "cast(event_id as string)", "'\"},{\"boolValue\":true},{}]}}}]}}}]}]}]}'")
+    return otlp.flatten_logs(docs).select(_micros("log_time", "at"), "body")
+
+
+@_query("""select cast(event_id as varchar) as span_id, concat('[{"attributes":{"n":', cast(event_id as varchar), '},"name":"hit","time":null}]') as events,
+    concat('[{"attributes":{},"span_id":"', cast(user_id as varchar), '","trace_id":"t"}]') as links from events""")
+def flatten_span_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and links of spans, whose attributes are objects."""
+    docs = _documents(
+        spark, sf_dir, "'{\"resourceSpans\":[{\"scopeSpans\":[{\"spans\":[{\"traceId\":\"t\",\"spanId\":\"'", "cast(event_id as string)",
+        "'\",\"events\":[{\"name\":\"hit\",\"attributes\":[{\"key\":\"n\",\"value\":{\"intValue\":'", "cast(event_id as string)", "'}}]}],\"links\":[{\"traceId\":\"t\",\"spanId\":\"'", "cast(user_id as string)", "'\"}]}]}]}]}'")
+    return otlp.flatten_spans(docs).select("span_id", "events", "links")
+
+
+@_query("select count(*) filter (event_type = 'view') as dropped_invalid from events")
+def span_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "'{\"resourceSpans\":[{\"scopeSpans\":[{\"spans\":[{\"traceId\":\"'", "cast(user_id as string)", "'\",\"spanId\":\"'", "if(event_type = 'view', '', cast(event_id as string))", "'\"}]}]}]}'")
+    return otlp.invalid_spans(docs)
+
+
+@_query("""select case event_type when 'error' then 'invalid' when 'signup' then 'too_many' else 'ok' end as outcome, count(*) as requests,
+    cast(sum(case event_type when 'signup' then 3 when 'error' then 0 else 1 end) as bigint) as records from events group by 1""")
+def ingest_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with one log, with three where two are allowed, and with numbers where the protocol has none."""
+    one = "concat('{\"timeUnixNano\":\"', " + _NS + ", '\"}')"
+    docs = _documents(
+        spark, sf_dir, "'{\"resourceLogs\":[{\"scopeLogs\":[{\"logRecords\":['",
+        f"case event_type when 'error' then '{{\"body\":{{\"doubleValue\":\"abc\"}},\"timeUnixNano\":9}}' when 'signup' then concat({one}, ',', {one}, ',', {one}) else {one} end", "']}]}]}'")
+    return otlp.admit(docs, "logs", most=2).groupBy("outcome").agg(F.count(F.lit(1)).alias("requests"), F.sum("n_records").cast("long").alias("records"))
+
+
+@_query("select count(*) filter (timestamp_client is not null) as received, count(*) filter (event_name = 'error') as dropped_oversized from events_v", "events")
+def oversized_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of errors have a body beyond the bound of a record."""
+    docs = _documents(spark, sf_dir, "'{\"resourceLogs\":[{\"scopeLogs\":[{\"logRecords\":[{\"timeUnixNano\":'", _NS, "',\"body\":{\"stringValue\":\"'", "if(event_type = 'error', repeat('x', 70000), 'x')", "'\"}}]}]}]}'")
+    _, counts = otlp.accept(otlp.flatten_logs(docs), "logs")
+    return counts.select("received", "dropped_oversized")
+
+
+@_query("select concat('user-', cast(user_id as varchar)) as id, epoch_us(max(ts)) + 10000000 as last_seen from events where event_type <> 'view' group by user_id")
+def heartbeat_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One heartbeat for each event; those of views have a blank id and are refused."""
+    docs = _documents(spark, sf_dir, "'{\"id\":\" '", "if(event_type = 'view', '', concat('user-', cast(user_id as string)))", "' \"}'")
+    beats, _ = heartbeats.read_heartbeats(docs)
+    return liveness.registry(beats).select("id", _micros("last_seen", "last_seen"))
+
+
+@_query("select count(*) as n, count(distinct event_type) as ids from events")
+def log_content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of equal content have one id: of those at one instant, one for each type of event."""
+    docs = _documents(spark, sf_dir, "'{\"resourceLogs\":[{\"scopeLogs\":[{\"logRecords\":[{\"timeUnixNano\":1700000000000000000,\"body\":{\"stringValue\":\"'", "event_type", "'\"}}]}]}]}'")
+    return otlp.flatten_logs(docs).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("log_id").alias("ids"))

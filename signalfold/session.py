@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -28,6 +31,21 @@ def build_session(name: str = "signalfold", master: str | None = None, **setting
     return builder.config(map=SETTINGS | settings).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster names in spark.checkpoint.dir. Where it is unset: one in the warehouse
+    if driver and executors are one process, and an error on a cluster, whose machines need not share the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -38,10 +56,12 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     top = os.path.dirname(os.path.abspath(__file__))
-    name = os.path.join(tempfile.mkdtemp(), os.path.basename(top) + ".zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, os.path.basename(top) + ".zip")
     with zipfile.ZipFile(name, "w") as z:
-        for folder, _, files in os.walk(top):
+        for at, _, files in os.walk(top):
             for f in files:
                 if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(top)))
     spark.sparkContext.addPyFile(name)

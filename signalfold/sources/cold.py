@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +89,13 @@ def scheduled_days(today: date) -> list[date]:
     return [today - timedelta(days=1), today - timedelta(days=2)]
 
 
+def export_due(tables: Mapping[str, DataFrame], root: str, today: date, late: Iterable[date] = (), prefix: str = "") -> dict[tuple[str, date], str]:
+    """One run of the scheduled export: the two days before today and the `late` ones (those that batches touched since the last
+    run), each table's day into its folder, whatever is there. A day that is not over is left to a later run. Returns the folders."""
+    days = sorted({*scheduled_days(today), *(d for d in late if d < today)})
+    return {(name, d): export_day(df, root, name, d, prefix) for d in days for name, df in tables.items()}
+
+
 def partitions(spark: SparkSession, path: str) -> list[tuple[date, str]]:
     """(day, folder) of each date= folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

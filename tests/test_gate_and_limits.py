@@ -96,3 +96,17 @@ def test_liveness_and_failures(spark):
     assert liveness.describe("c", None, 60) == "companion 'c' never seen" and liveness.describe("b", 61.0, 60) == "companion 'b' silent for 61s (timeout 60s)"
     probes = spark.range(8).select(F.lit("p").alias("name"), F.timestamp_seconds("id").alias("ts"), (~F.col("id").isin(1, 2, 3, 4, 6)).alias("ok")).withColumnRenamed("name", "id")
     assert [(r.failures, r.change) for r in liveness.failure_runs(probes).orderBy("ts").collect()] == [(0, None), (1, None), (2, None), (3, "firing"), (4, None), (0, "resolved"), (1, None), (0, None)]
+
+
+def test_unknown_addresses_share_no_limit():
+    assert [limits.known_address(a) for a in ("10.0.0.1", "::1", "0.0.0.0", "::", "", None)] == [True, True, False, False, False, False]
+    session, everyone = limits.TokenBucket(1, 10), limits.TokenBucket(1, 100)
+    assert limits.admit(session, None, everyone, "s", 0, 0.0) is None and session.tokens == 9
+    one = limits.AddressSessions(cap=1)
+    assert limits.admit(limits.TokenBucket(1, 10), one, everyone, "a", 1, 0.0) is None and limits.admit(limits.TokenBucket(1, 10), one, everyone, "b", 1, 0.0) == "address"
+
+
+def test_bans_of_unknown_addresses_as_a_stream(spark, tmp_path):
+    rows = [[{"ip": "0.0.0.0", "bad": True, "at": f"2024-06-01T00:00:0{i}Z"}] for i in range(3)]
+    got = _stream(spark, tmp_path, rows, "ip string, bad boolean, at timestamp", lambda s: limits.ban_limit(s, 2, 60, 60), "unknown_bans")
+    assert [r.allowed for r in got.orderBy("at").collect()] == [True] * 3

@@ -163,3 +163,46 @@ def test_parse_defaults_and_texts():
     assert describe(Rule("anomaly", "z", window_secs=60, threshold=3.0)) == "anomaly(count logs) z > 3 over 60s baseline 1800s"
     assert describe(Rule("log_new_signature", "n", window_secs=60, group_by="attr:code")) == "new signature(logs by attr:code, baseline 86400s) > 0 over 60s"
     assert describe(Rule("relative_change", "n", window_secs=60, threshold=2.0, source="events", event_name="open")) == "change(events event=open) > 2x vs previous 60s"
+
+
+def test_quantiles_are_exact_at_any_size(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from signalfold.operators.quantiles import exact_quantiles
+
+    rng = random.Random(8)
+    values = [rng.choice([rng.gauss(0, 1), rng.lognormvariate(5, 4), 7.0, 7.0, -1e300, 1e300 * rng.random(), 0.0]) for _ in range(4000)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)] + [(None, -1)], "v double, i int")
+    asked = {f"q{q}": (F.col("v"), q) for q in (0.0, 0.1, 0.5, 0.9, 0.95, 0.99, 1.0)} | {"half": (F.when(F.col("i") < 2001, F.col("v")), 0.5), "none": (F.when(F.col("i") > 9000, F.col("v")), 0.5)}
+    for few in (10, 10_000):
+        got = exact_quantiles(df, asked, buckets=16, few=few)
+        assert all(np.isclose(got[f"q{q}"], np.quantile(values, q), rtol=1e-12, atol=1e-300) for q in (0.0, 0.1, 0.5, 0.9, 0.95, 0.99, 1.0))
+        assert np.isclose(got["half"], np.quantile(values[:2001], 0.5)) and got["none"] is None
+    odd = spark.createDataFrame([(float(x),) for x in ["inf", "-inf", "nan", "nan", 1, 2, 3]], "v double")
+    got = exact_quantiles(odd, {str(q): (F.col("v"), q) for q in (0.0, 0.5, 1.0)}, buckets=4, few=2)
+    assert got["0.0"] == float("-inf") and got["0.5"] == 3.0 and np.isnan(got["1.0"])
+
+
+def test_channels():
+    import json
+
+    from signalfold.operators import channels
+    from signalfold.operators.alert_state import Alert
+
+    sent = []
+
+    def post(url, headers, body):
+        sent.append((url, dict(headers), json.loads(body)))
+        return json.dumps({"ok": len(sent) < 3})
+
+    alert = Alert("r", "critical", "firing", 2.5, 1.0, "count(logs) > 1 over 60s", "boom")
+    assert channels.summary(alert) == "[FIRING] r (critical) [boom] — count(logs) > 1 over 60s (valeur=2.5000, seuil=1.0000)"
+    assert channels.webhook({"type": "webhook", "url": "http://x", "headers": {"A": "b"}}, post)(alert)
+    chat = channels.chat({"type": "slack"}, "t", "#ops", post)
+    assert chat(alert) and not chat(alert)
+    assert sent[0][2] == channels.payload(alert) and sent[0][1]["A"] == "b" and sent[1][2] == {"channel": "#ops", "text": channels.summary(alert)}
+    mails = []
+    assert channels.mail({"type": "email", "to": ["a@b.c"]}, "x@y.z", ["d@e.f"], mails.append)(alert) and mails[0]["To"] == "a@b.c" and "FIRING" in mails[0]["Subject"]

@@ -4,9 +4,10 @@ import hashlib
 import json
 import os
 import struct
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from signalfold.functions import otlp_values as V
 from signalfold.functions.params import clamp_limit, parse_duration, parse_instant
@@ -221,3 +222,51 @@ def test_params():
             parse_instant(bad, "from")
     assert [parse_duration(d) for d in ("200ms", "15s", "30m", "24h", "31d")] == [0.2, 15, 1800, 86_400, 2_678_400]
     assert V.json_depth({"a": [{"b": 1}]}) == 3
+
+
+def test_documents_of_another_shape_are_refused(spark, tmp_path):
+    from signalfold.sources import wire
+
+    def log(**fields):
+        return json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [fields]}]}]})
+
+    good = [log(), log(body=None, attributes=[]), log(body={"intValue": 5, "unknown": [1]}, severityNumber=3, timeUnixNano="x"), "{}", log(attributes=[{"key": "a"}, {"key": "b", "value": {"kvlistValue": {"values": []}}}])]
+    bad = [
+        None, "", "[]", "null", "{", log(body={"doubleValue": "abc"}), log(body={"arrayValue": [1]}), log(body={"kvlistValue": "x"}), log(attributes=5), log(attributes=None), log(attributes=[{"value": {}}]), log(body={"intValue": [1]}),
+        log(severityNumber="9"), log(severityNumber=True), log(body={"arrayValue": {"values": [None]}}), '{"resourceLogs": ' + "[" * 5000 + "]" * 5000 + "}", '{"resourceLogs": null}']
+    deep = {"stringValue": "x"}
+    for _ in range(70):
+        deep = {"arrayValue": {"values": [deep]}}
+    bad.append(log(body=deep))
+    assert [wire.well_formed_text(d, "logs") for d in [*good, *bad]] == [True] * len(good) + [False] * len(bad)
+    requests = spark.createDataFrame([(d,) for d in [*good, *bad]], "value string").withColumn("received_at", F.current_timestamp())
+    assert {r.outcome: r["count"] for r in otlp.admit(requests, "logs").groupBy("outcome").count().collect()} == {"ok": len(good), "invalid": len(bad)}
+    assert otlp.flatten_logs(requests).count() >= 4  # takes any text without an error
+
+
+def test_a_bad_request_does_not_stop_a_stream(spark, tmp_path):
+    from signalfold.streaming import ingest
+
+    now = datetime.now(UTC)
+    fine = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "t", "spanId": "s", "startTimeUnixNano": str(int(now.timestamp()) * 10**9)}, {"traceId": "t"}]}]}]})
+    bad = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "t", "spanId": "p", "attributes": 5}]}]}]})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([fine, bad, "no json", '{"a": ' + "[" * 3000]))
+    stats = ingest.Stats()
+    ingest.start(ingest.requests(spark, str(tmp_path / "in")), str(tmp_path / "out"), "spans", str(tmp_path / "c"), stats).awaitTermination()
+    assert (stats["refused"], stats["inserted"], stats["dropped_invalid"], stats["received"]) == (3, 1, 1, 1)
+
+
+def test_rendering_shows_all_rows(spark):
+    text, n = cold.render(spark.range(1500))
+    assert n == 1500 and "1499" in text
+    text, n = cold.render(spark.range(1500), "json")
+    assert (n, len(json.loads(text))) == (1500, 1500) and cold.render(spark.range(5), "json", 2)[1] == 2
+
+
+def test_heartbeats(spark):
+    from signalfold.sources.heartbeats import read_heartbeats
+
+    rows = spark.createDataFrame([(v,) for v in ['{"id": " a "}', '{"id": "  "}', '{"id": 5}', "{}", "x", None]], "value string").withColumn("received_at", F.current_timestamp())
+    beats, refused = read_heartbeats(rows)
+    assert [r.id for r in beats.collect()] == ["a"] and refused.first().refused == 5
