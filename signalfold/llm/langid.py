@@ -1,12 +1,15 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 A text's letters (small ones; other characters are one blank) give 1- to 3-grams, hashed to 2^BITS columns; a
-row is log1p(count) x idf at unit length. FTRL-proximal with elastic-net penalties fits the weights on a
-hash sample of at most SAMPLE_ROWS rows, one fifth of which is kept back to choose the temperature that
-divides the logits (least negative log-likelihood).
+row is log1p(count) x idf at unit length; the document frequencies are those of all rows to learn from, summed by
+partition. FTRL-proximal with elastic-net penalties fits the weights on a hash sample of at most SAMPLE_ROWS rows, in
+which each language has an equal share, and a fifth of which is kept back to choose the temperature that divides the
+logits (least negative log-likelihood).
 
 Defined cases: a null text and one without a letter are `und` with score 0; so is every text where no
-language was learnt; repeated rows get equal results; other columns pass through.
+language was learnt; repeated rows get equal results, and of equally likely languages the first in order of name counts;
+an empty table gives an empty result; long texts are read whole; doc_id may be of any type and null; other columns pass
+through, but for those named `lang_pred` or `score`, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +45,7 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     for at in range(0, max(1, len(c) - 2), _PIECE):
         x = c[at:at + _PIECE + 2]
-        x = np.where(_LETTER[np.minimum(x, 0x2FFF)] | (x >= 0x3000), x, np.uint32(32))
+        x = np.where(_LETTER[x], x, np.uint32(32))
         y, z = x[:-1], x[:-2]
         one = x[:_PIECE] * _PRIMES[0]
         two = (y * _PRIMES[0] ^ np.roll(x, -1)[:-1] * _PRIMES[1])[:_PIECE]
@@ -79,7 +82,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 5) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 5, df: np.ndarray | None = None, total: int = 0) -> Model:
+    """df: in how many of `total` texts each column is; where there is none, those of the rows themselves count."""
     model = Model(sorted(set(labels)))
     if not rows:
         return model
@@ -87,10 +91,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
     order = rng.permutation(len(rows))
     back = order[: len(order) // 5]
     learn = order[len(back):]
-    df = np.zeros(1 << BITS)
-    for i in learn:
-        df[rows[i][0]] += 1
-    model.idf = np.log((1 + len(learn)) / (1 + df)) + 1
+    if df is None:
+        df, total = np.zeros(1 << BITS), len(learn)
+        for i in learn:
+            df[rows[i][0]] += 1
+    model.idf = np.log((1 + total) / (1 + df)) + 1
     y = np.array([model.languages.index(v) for v in labels])
     x = [model.row(*r) for r in rows]
     ftrl = Ftrl(1 << BITS, len(model.languages), alpha=1.0, l1=0.02, l2=0.01)
@@ -113,7 +118,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int
 def train(docs: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
     """docs: the rows to learn from (doc_id, text, lang); rows without a language or a letter teach nothing."""
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("y")), bound)
+    sample = labelled_sample(docs, docs.select("doc_id", F.col("lang").alias("y")), bound, each=True)
+
+    def frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((1 << BITS) + 1, np.int64)  # the last place counts the texts
+        for whole in it:
+            for b in slices(whole, 0):
+                for t in b.column(0).to_pylist():
+                    if has_letter(t):
+                        df[counts(t)[0]] += 1
+                        df[-1] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], names=["at", "n"])
+
+    # A row for each column at most reaches the driver.
+    seen = docs.where("lang is not null").select("text").mapInArrow(frequencies, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros((1 << BITS) + 1)
+    df[seen["at"].to_numpy()] = seen["n"].to_numpy()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -125,7 +146,7 @@ def train(docs: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
 
     t = sample.select("doc_id", "text", "y").mapInArrow(batches, "doc_id long, y string, ids array<int>, n array<int>").where("ids is not null").toArrow().sort_by("doc_id")
     rows = [(np.array(i.values), np.array(n.values)) for i, n in zip(t["ids"], t["n"], strict=True)]
-    return fit(rows, t["y"].to_pylist())
+    return fit(rows, t["y"].to_pylist(), df=df[:-1], total=int(df[-1]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -12,16 +12,19 @@ from pyspark.sql import types as T
 _SLOTS = 1 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int, each: bool = False) -> DataFrame:
     """doc_id, text and y for about `bound` (at most) of the labelled documents, picked by a hash of doc_id.
 
     labels holds doc_id and y; null ids and labels are left out, and of repeated ids the largest y counts. doc_id may be
     of any type; it comes back as a long, which gives rows an order: an integer as it is, anything else as a hash.
+    each: every value of y has an equal share of the bound, so that rare ones are learnt.
     """
     clean = labels.where("doc_id is not null and y is not null")
-    n = clean.count()
-    slots = _SLOTS if n <= bound else max(1, int(_SLOTS * 0.95 * bound / n))
-    picked = clean.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(_SLOTS)) < slots).groupBy("doc_id").agg(F.max("y").alias("y"))
+    counts = {r.y: r["count"] for r in clean.groupBy("y").count().collect()} if each else {None: clean.count()}
+    share = bound / max(1, len(counts))
+    slots = {y: _SLOTS if n <= share else max(1, int(_SLOTS * 0.95 * share / n)) for y, n in counts.items()}
+    limit = F.element_at(F.create_map(*(F.lit(v) for pair in slots.items() for v in pair)), F.col("y")) if each and slots else F.lit(slots.get(None, 0))
+    picked = clean.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(_SLOTS)) < limit).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     key = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id")
     return rows.select(key.alias("doc_id"), "text", "y")
