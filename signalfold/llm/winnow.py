@@ -23,6 +23,7 @@ WINDOW, K = 10, 5
 W = WINDOW - K + 1
 #: Contaminated documents, whose rows hold their spans, up to which these are broadcast.
 SPAN_ROWS = 50_000
+_KEY = ["size", "fp", "a", "b"]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -77,14 +78,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _hashed(benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("t")), "t")
     items = materialize(items.where("n > 0").drop("t"), "items")
     short = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
-    bench = materialize(items.select("item_id", F.explode(_windows(short, True)).alias("x")).select("item_id", "x.size", "x.fp", "x.a", "x.b").distinct(), "windows")
-    n_bench = bench.count()
+    bench = materialize(items.select("item_id", F.explode(_windows(short, True)).alias("x")).select("item_id", "x.size", "x.fp", "x.a", "x.b").distinct(), "item-windows")
+    # Windows that the same items hold share a set of items, known by its size and two hashes, so that a passage of many
+    # items meets a document as one row and not as one for each item.
+    own = F.struct(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), "item_id")).alias(f"h{k}") for k in (1, 2)))
+    windows = materialize(bench.groupBy(*_KEY).agg(own.alias("items")), "windows")
+    members = materialize(bench.join(windows, _KEY).select("items", "item_id").distinct(), "members")
+    n_bench = windows.count()
 
     key = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text").alias("t"))
     first = _hashed(key, "t")
     base = materialize(first.select("doc_id", "th", F.col("n").cast("long").alias("n_words"), _fingerprints(first, short).alias("fps")), "fingerprints")
 
-    marks = broadcast_if_small(bench.select("fp").distinct(), n_bench)
+    marks = broadcast_if_small(windows.select("fp").distinct(), n_bench)
     found = base.select("doc_id", "th", F.explode("fps").alias("fp")).join(marks, "fp", "left_semi").select("doc_id", "th").distinct()
     found = materialize(found, "candidates")
     n_found = found.count()
@@ -93,9 +99,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = key.alias("k").join(broadcast_if_small(found, n_found).alias("c"), same, "left_semi")
     again = _hashed(again, "t")
     starts = again.select("doc_id", "th", F.explode(_windows(short, False)).alias("x")).select("doc_id", "th", "x.*")
-    hits = starts.join(broadcast_if_small(bench, n_bench), ["size", "fp", "a", "b"])
+    hits = starts.join(broadcast_if_small(windows, n_bench), _KEY)
+    # Both lists are bounded by the document's own windows.
     spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
-    per = hits.groupBy("doc_id", "th").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    per = materialize(hits.groupBy("doc_id", "th").agg(spans.alias("spans"), F.collect_set("items").alias("sets")), "spans")
+    named = per.select("doc_id", "th", F.explode("sets").alias("items")).join(broadcast_if_small(members), "items")
+    named = named.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    same = (F.col("s.doc_id").eqNullSafe(F.col("n.doc_id"))) & (F.col("s.th") == F.col("n.th"))
+    per = per.alias("s").join(named.alias("n"), same).select("s.doc_id", "s.th", "spans", "items")
     covered = """aggregate(spans, named_struct('n', 0L, 'upto', 0),
         (s, x) -> named_struct('n', s.n + greatest(x.end - greatest(x.start, s.upto), 0), 'upto', greatest(s.upto, x.end)), s -> s.n)"""
     per = per.select("doc_id", "th", F.expr(covered).alias("n_hit"), "spans", "items")
