@@ -7,12 +7,12 @@
    frequent each text posts under the first COORDINATES - T + 1 alone: two texts that agree T times share one
    of these. Texts with fewer than T pairs that anyone shares post nothing (prefix merging).
 3. A short posting list (SHORT texts at most) gives its pairs; those that agree on T coordinates and whose sizes allow it
-   are compared. A longer list never becomes pairs. Its texts are compared with one text of its largest component, and
-   with another one of it in each of PIVOTS rounds, which is work in proportion to the list and links what the
-   list's texts are copies of. Members of that component need no comparison with each other any more; the texts still
-   apart from it are dealt into chunks of bounded size and meet chunks of the whole list: a group counts all its
-   common shingles as a matrix product and returns a spanning forest of its links (merging by count, skipping pairs that
-   share no shingle), at most one row for each text.
+   are compared. A longer list never becomes pairs. Its texts are compared with one text, its pivot, and those that are
+   not linked to it with another pivot among those that are, PIVOTS times in all: work in proportion to the list, after
+   which what its texts are copies of is connected. Texts connected by pivots need no comparison with each other; those
+   still apart are dealt into chunks of bounded size and meet chunks of the whole list: a group counts all its common
+   shingles as a matrix product and returns a spanning forest of its links (merging by count, skipping pairs that share
+   no shingle), at most one row for each text.
 4. Comparisons are exact on the full shingle sets; components come from contraction (see components.py).
 
 Defined cases: texts without words (or null) have no set and link with nothing; texts with fewer words than a shingle
@@ -38,8 +38,8 @@ from signalfold.llm.shingles import mix, sets_of, shingle_sets
 from signalfold.llm.store import broadcast_if_small, heavy_light_join, materialize, ship, slices
 
 COORDINATES, MISS, SHORT, PIVOTS = 24, 2e-7, 32, 2
-#: Texts up to which pivots are broadcast.
-PIVOT_ROWS = 5_000
+#: Bytes of pivots' texts up to which they are broadcast.
+PIVOT_BYTES = 32 << 20
 #: Texts and shingles of a chunk of a long list, and columns of a block of the matrix product.
 CHUNK_TEXTS, CHUNK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
@@ -184,35 +184,37 @@ class Linker:
 
         return materialize(full.select("a", "b", "t_a", "t_b").mapInArrow(batches, f"a {self.type}, b {self.type}").distinct(), "links")
 
-    def _largest(self, held: DataFrame, links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-        """(rows of the long lists with their component, the largest component of each list with a member that is its pivot)."""
-        named = held.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        per = named.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node"))["node"].alias("pivot"))
-        most = per.groupBy("tok").agg(F.max(F.struct("texts", "comp", "pivot")).alias("most"), F.sum("texts").alias("size"))
-        return named, materialize(most.select("tok", "size", F.col("most.comp").alias("main"), F.col("most.pivot").alias("pivot")), "pivots")
-
-    def _apart(self, named: DataFrame, main: DataFrame) -> DataFrame:
-        """named with `main`, `pivot` and `size` of its list."""
-        return heavy_light_join(named, main, ["tok"], "size")
-
-    def _to_pivots(self, named: DataFrame, main: DataFrame) -> DataFrame:
-        """Links between pivots and the texts of their lists that are not of the same component."""
-        rows = self._apart(named, main).where("comp <> main").select("node", "pivot").distinct()
-        sides = self.signed.select("node", "n", "sig"), self.signed.select(F.col("node").alias("pivot"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
-        pivots = materialize(sides[1].join(F.broadcast(main.select("pivot").distinct()) if main.count() <= PIVOT_ROWS else main.select("pivot").distinct(), "pivot", "left_semi"), "pivot-signatures")
+    def _pivoted(self, held: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """(links between the lists' pivots and the texts that stay apart, held with fewer of these).
+
+        A pivot is one of the texts that are not apart: all of them are connected through earlier pivots.
+        """
+        own = F.when(~F.col("apart"), F.struct(F.xxhash64(F.lit(turn), "node"), "node"))
+        main = held.groupBy("tok").agg(F.min(own)["node"].alias("pivot"), F.count(F.lit(1)).alias("size"), F.count_if("apart").alias("few")).where("few > 0")
+        main = materialize(main.select("tok", "pivot", "size"), "pivots")
+        rows = materialize(heavy_light_join(held.where("apart"), main, ["tok"], "size").select("tok", "node", "pivot"), "apart")
+        few = main.select("pivot").distinct()
+        pivots = self.signed.join(broadcast_if_small(few.withColumnRenamed("pivot", "node")), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("n").alias("n_b"), F.col("sig").alias("s_b"))
+        pivots = materialize(pivots.join(self.texts.select(F.col("node").alias("pivot"), F.col("text").alias("t_b")), "pivot"), "pivot-texts")
+        size = pivots.agg(F.sum(F.octet_length("t_b"))).first()[0] or 0
+        pivots = F.broadcast(pivots) if size <= PIVOT_BYTES else pivots
         agree = "size(filter(zip_with(sig, s_b, (x, y) -> x = y), x -> x))"
-        close = rows.join(sides[0], "node").join(broadcast_if_small(pivots, bound=PIVOT_ROWS), "pivot").where(f"100 * least(n, n_b) >= {self.percent} * greatest(n, n_b)").where(f"{agree} >= {self.t}").select("node", "pivot")
-        texts = materialize(self.texts.join(broadcast_if_small(pivots.select(F.col("pivot").alias("node"))), "node", "left_semi").select(F.col("node").alias("pivot"), F.col("text").alias("t_b")), "pivot-texts")
-        full = close.join(self.texts.withColumnRenamed("text", "t_a"), "node").join(broadcast_if_small(texts, bound=PIVOT_ROWS), "pivot")
-        return self._confirm(full.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "t_a", "t_b"))
+        sides = rows.select("node", "pivot").distinct().join(self.signed.select("node", "n", "sig"), "node").join(pivots, "pivot")
+        close = sides.where(f"100 * least(n, n_b) >= {self.percent} * greatest(n, n_b)").where(f"{agree} >= {self.t}").select("node", "pivot", "t_b")
+        links = self._confirm(close.join(self.texts.withColumnRenamed("text", "t_a"), "node").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "t_a", "t_b"))
+        met = rows.join(links.select(F.col("a").alias("node"), F.col("b").alias("pivot")), ["node", "pivot"]).select("tok", "node", F.lit(True).alias("met"))
+        left = held.join(met, ["tok", "node"], "left").select("tok", "node", "n", (F.col("apart") & F.col("met").isNull()).alias("apart"))
+        return links, materialize(left, "long")
 
     def _long_lists(self, lists: DataFrame, long: DataFrame, links: DataFrame) -> DataFrame:
         """links and those within the long lists; long: tok."""
-        held = materialize(lists.join(broadcast_if_small(long), "tok").join(self.signed.select("node", "n"), "node"), "long")
+        rows = lists.join(broadcast_if_small(long), "tok").join(self.signed.select("node", "n"), "node")
+        first = rows.groupBy("tok").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("first"), F.count(F.lit(1)).alias("size"))
+        rows = materialize(heavy_light_join(rows, materialize(first, "first"), ["tok"], "size").select("tok", "node", "n", (F.col("node") != F.col("first")).alias("apart")), "long")
         for turn in range(PIVOTS):
-            links = materialize(links.unionByName(self._to_pivots(*self._largest(held, links, turn))), "links")
-        rows = self._apart(*self._largest(held, links, PIVOTS))
-        apart = F.col("comp") != F.col("main")
+            found, rows = self._pivoted(rows, turn)
+            links = links.unionByName(found)
+        apart = F.col("apart")
         sums = rows.groupBy("tok").agg(
             F.count_if(apart).alias("few"), F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("few_shingles"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("few > 0")
 
@@ -222,7 +224,7 @@ class Linker:
         sums = materialize(sums.select("tok", "size", chunks("few", "few_shingles").alias("left"), chunks("size", "shingles").alias("right")), "chunks")
         if sums.isEmpty():
             return links
-        dealt = heavy_light_join(rows.select("tok", "node", apart.alias("apart")), sums, ["tok"], "size")
+        dealt = heavy_light_join(rows.select("tok", "node", "apart"), sums, ["tok"], "size")
         place = F.xxhash64("node", "tok")
 
         def each(n: str) -> Column:
