@@ -3,7 +3,9 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from signalfold.llm import langid, quality, toxicity
@@ -42,10 +44,38 @@ def test_language(spark):
 def test_toxicity(spark, labels):
     got = op1_toxicity(spark, DIR).collect()
     assert len(got) == 1000 and all(0 <= r.severity <= 3 and r.toxic == (r.grade > 0) for r in got)
-    known = [r for r in got if r.doc_id in labels]
-    clean = [r for r in known if not labels[r.doc_id].toxic]
-    toxic = [r for r in known if labels[r.doc_id].toxic]
-    assert np.mean([r.toxic for r in clean]) < 0.02 and np.mean([r.toxic for r in toxic]) > 0.7
+
+
+def test_toxicity_of_held_out_rows(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{n}.parquet") for n in ("documents", "labels"))
+    back = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.train(docs.select("doc_id", "text"), labels.where(~back))
+    rows = toxicity.score(docs.join(labels.where(back), "doc_id").select("doc_id", "text", F.col("toxic").alias("is_toxic")), model).collect()
+    toxic, clean = [r for r in rows if r.is_toxic], [r for r in rows if not r.is_toxic]
+    assert len(toxic) > 100 and np.mean([r.toxic for r in toxic]) > 0.9 and np.mean([r.toxic for r in clean]) < 0.01
+
+
+def test_batches_score_like_single_texts():
+    rng = np.random.default_rng(3)
+    words = [f"vile{c}" for c in "abcdefgh"] + [f"w{i}" for i in range(40)] + ["Éclair", "naïf", "日本語", "l'eau", "x1y2", "ΑΣ", "ªb", "İs"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) + rng.choice(["", "!", "\n", "-vilea-"]) for _ in range(300)]
+    rows, bad = [toxicity.features(t) for t in texts], np.array([t.count("vile") > 8 for t in texts])
+    m = toxicity.fit(rows, bad)
+    assert len(m.ids) > 5
+    every = [None, "", "123", *texts, "vilea " * 5000, "z" * 10_000]
+    want = np.array([m.above(*toxicity.features(t)[:2]) for t in every])
+    scorer = toxicity.Scorer(m)
+    assert np.allclose(scorer.above(pa.array(every)), want) and np.allclose(scorer.above(pa.array(every[5:9])), want[5:9])
+    assert np.allclose(toxicity.Scorer(toxicity.Model()).above(pa.array(["a", None])), 0)
+    # by brute force from the definition
+    for t, p in zip(every[3:40], want[3:40], strict=True):
+        counts = {}
+        for w in regex.findall(r"\p{L}+", t.lower()):
+            for i in (zlib.crc32(w.encode()), *((1 << 32) + zlib.crc32(w[:k].encode()) for k in (4, 6) if len(w) > k)):
+                counts[i] = counts.get(i, 0) + 1
+        s = sum(np.log1p(counts.get(int(i), 0)) * w for i, w in zip(m.ids, m.weights, strict=True))
+        assert np.allclose(p, [1 / (1 + np.exp(t - s)) for t in m.theta] if counts else 0.0)
 
 
 def test_ordinal_thresholds_share_weights():
@@ -92,3 +122,24 @@ def test_models_without_labels_and_odd_rows(spark):
     got = {(r.doc_id, r.text): r.lang_pred for r in langid.predict(docs.drop("score"), m).collect()}
     assert got[1, None] == got[2, ""] == got[None, "123 456"] == "und" and got[4, "word"] in ("en", "fr")
     assert toxicity.reject(docs, toxicity.Model()).columns == docs.columns and toxicity.reject(docs.limit(0), toxicity.Model()).count() == 0
+
+
+def test_models_of_odd_tables(spark):
+    docs = spark.createDataFrame([("a", "the cat sat", "en", 1, 0), ("b", "le chat dort", "fr", 0, 1), (None, "x", None, None, None), ("c", None, "en", 1, 0), ("b", "le chat dort", "fr", 0, 1)], "doc_id string, text string, lang string, quality int, toxic int")
+    docs = docs.withColumn("score", F.lit("own")).withColumn("a.b", F.lit(1)).withColumn("toxic.x", F.lit(2))
+    narrow = docs.select(F.hash("doc_id").alias("doc_id"), "text", "lang", "quality", "toxic")
+    for rows in (docs, narrow, docs.limit(0)):
+        n = rows.count()
+        q = quality.score(rows, quality.train(rows.select("doc_id", "text"), rows.select("doc_id", "quality")))
+        t = toxicity.score(rows, toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")))
+        p = langid.predict(rows, langid.train(rows.select("doc_id", "text", "lang")))
+        assert q.count() == t.count() == p.count() == n
+        assert {"doc_id", "text"} <= set(q.columns) & set(t.columns) & set(p.columns) and q.columns.count("score") == 1
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, f"the cat sat on mat {i}", "en") for i in range(3000)] + [(9000 + i, f"le chat dort ici {i}", "fr") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, bound=200)
+    assert model.languages == ["en", "fr"] and model.predict("le chat")[0] == "fr" and langid.has_letter("日") and not langid.has_letter("😀 1")
+    assert langid.counts("日 a 😀")[0].tolist() == langid.counts("日 a ☃")[0].tolist()

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from signalfold.llm import toxicity
 from tests.llm.test_text_operators import brute_components, brute_windows
@@ -59,3 +61,16 @@ def test_stages_keep_what_brute_force_keeps(spark):
     found = brute_windows([texts[i] for i in ids], bench)
     unseen = [i for k, i in enumerate(ids) if not found[k][1]]
     assert held("decontamination") == unseen and len(unseen) < len(ids)
+
+
+def test_stages_of_odd_tables(spark):
+    own = [" ".join(f"x{i}y{j}" for j in range(60)) for i in range(3)]
+    texts = [None, "", " ", own[0], own[0], own[0] + "  ", own[1], "z" * 50_000, own[2], own[2].replace("x2y30", "other")]
+    ids = [1, 2, None, 3, 3, 4, None, 5, 7, 6]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id int, text string").withColumns(
+        {"lang": F.lit("en"), "sha": F.lit(1), "kept": F.lit("own"), "ids": F.lit("own"), "a.b": F.lit(2), "__row": F.lit(3), "n": F.lit(4), "_metadata": F.lit(5)})
+    left = {"toxicity": 10, "exact dedup": 6, "near dedup": 8, "decontamination": 10, "bpe": 10}
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, DIR)
+        assert got.count() == left[name] and stage(spark, docs.limit(0), DIR).count() == 0, name
+        assert set(got.columns) == set(docs.columns) if name != "bpe" else set(docs.columns) - {"text"} < set(got.columns), name
