@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from signalfold.functions import otlp_values as V
 from signalfold.operators.merge import merge
 from signalfold.operators.reads import ingest_stats
 from signalfold.sources import events, otlp
+from signalfold.streaming.admission import Admission
 
 #: Rows a batch may wait for at most, in seconds, when it runs on a timer (fixed value).
 TRIGGER = "200 milliseconds"
+RESOURCES = {"logs": "resourceLogs", "spans": "resourceSpans", "metric_points": "resourceMetrics"}
 
 
 class Stats(Counter):
@@ -36,11 +39,20 @@ def requests(spark: SparkSession, folder: str, files_per_batch: int | None = Non
     return reader.load(folder).withColumn("received_at", F.current_timestamp())
 
 
-def store(root: str, table: str, stats: Stats) -> Callable[[DataFrame, int], None]:
+def admitted(checked: DataFrame, table: str, admission: Admission, batch: int) -> DataFrame:
+    """checked requests (with ip, n_records and outcome) with `refused`: their service counts as the session, their address where there
+    is none, and a request costs its records, before single ones are left out for their size."""
+    service = V.attributes(F.get_json_object("value", f"$.{RESOURCES[table]}[0].resource.attributes"))["service_name"]
+    asked = checked.withColumns({
+        "request": F.col("no").cast("string"), "session": F.coalesce(service, "ip", F.lit("")), "cost": F.col("n_records").cast("double"), "bad": F.col("outcome") != "ok", "at": F.col("received_at")})
+    return admission.decide(asked, batch)
+
+
+def store(root: str, table: str, stats: Stats, admission: Admission | None = None) -> Callable[[DataFrame, int], None]:
     """The sink of a batch of requests for `table`: requests that are malformed or too large are refused and counted, and
-    the others go on."""
+    the others go on. With `admission`, OTLP requests (which then have an `ip`) also pass its limits."""
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         held: list[DataFrame] = []
 
         def hold(df: DataFrame) -> DataFrame:
@@ -54,7 +66,9 @@ def store(root: str, table: str, stats: Stats) -> Callable[[DataFrame, int], Non
                 seen = verdicts.agg(F.sum(F.when(F.col("outcome") == "ok", F.col("n_events") - F.col("dropped_skew")).otherwise(0)).alias("received"), F.sum("dropped_skew").alias("dropped_skew"), F.count_if(F.col("outcome") != "ok").alias("refused")).first()
                 stats.update({k: v or 0 for k, v in seen.asDict().items()})
             else:
-                checked = hold(otlp.admit(batch, table))
+                checked = hold(otlp.admit(batch, table).withColumn("no", F.monotonically_increasing_id()))
+                if admission:
+                    checked = hold(admitted(checked, table, admission, number).withColumn("outcome", F.coalesce("refused", "outcome")))
                 stats.update(checked.agg(F.count_if(F.col("outcome") != "ok").alias("refused")).first().asDict())
                 taken = checked.where("outcome = 'ok'").select("value", "received_at")
                 if table == "spans":
