@@ -41,7 +41,7 @@ from signalfold.llm.store import map_batches, ship, slices
 
 END = "</w>"
 #: Entries of the table of known runs, the longest run that enters it, and the longest one that is encoded at once.
-TABLE_ROWS, TABLE_CHARS, RUN_CHARS = 400_000, 48, 2048
+TABLE_ROWS, TABLE_CHARS, RUN_CHARS = 200_000, 48, 2048
 #: Characters of a text that a stream is fed with at a time.
 PIECE = 1 << 16
 

@@ -20,7 +20,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: What a Python worker takes from an Arrow batch at a time: bytes of text, and rows.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1024
 
 #: Rows up to which a table of a few numbers a row is broadcast (some 100 MB at most).
 BROADCAST_ROWS = 1_000_000

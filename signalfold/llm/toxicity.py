@@ -39,7 +39,7 @@ from signalfold.llm.store import map_batches, materialize, ship, slices
 
 SAMPLE_ROWS, PREFIXES, MIN_ROWS, CHI2 = 16_000, (4, 6), 3, 15.0
 #: Distinct runs whose weights a task remembers.
-KNOWN_RUNS = 500_000
+KNOWN_RUNS = 100_000
 #: Steps of the optimiser, their rate, and the weights' quadratic penalty.
 STEPS, RATE, PENALTY = 600, 0.05, 3e-6
 #: Marker words from which a toxic row is severe, and extreme.
