@@ -207,8 +207,8 @@ class Linker:
         return links, materialize(left, "long")
 
     def _long_lists(self, lists: DataFrame, long: DataFrame, links: DataFrame) -> DataFrame:
-        """links and those within the long lists; long: tok."""
-        rows = lists.join(broadcast_if_small(long), "tok").join(self.signed.select("node", "n"), "node")
+        """links and those within the long lists; lists: tok, node, n; long: tok."""
+        rows = lists.join(broadcast_if_small(long), "tok")
         first = rows.groupBy("tok").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("first"), F.count(F.lit(1)).alias("size"))
         rows = materialize(heavy_light_join(rows, materialize(first, "first"), ["tok"], "size").select("tok", "node", "n", (F.col("node") != F.col("first")).alias("apart")), "long")
         for turn in range(PIVOTS):
@@ -252,7 +252,7 @@ class Linker:
         self.signed = posted.select("node", "n", "sig")
         ids = posted.select(F.col("node").alias("doc_id")).distinct()
         self.texts = materialize(self.docs.select(_id(self.docs).alias("doc_id"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-        plain = materialize(posted.select("node", F.explode("toks").alias("tok")), "lists")
+        plain = materialize(posted.select("node", "n", F.explode("toks").alias("tok")), "lists")
         sized = plain.groupBy("tok").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
         sized = materialize(sized, "sizes")
         short = broadcast_if_small(sized.where(F.col("texts") <= SHORT).select("tok"))
