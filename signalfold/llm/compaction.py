@@ -85,11 +85,11 @@ class ShardStore:
         return max((int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
-        """The shards of a version; they are facts about files, not about rows."""
+        """The shards of a version; they are facts about files, not about rows, in one file and hence one partition."""
         v = self.version() if version is None else version
         if v == 0:
             return self._facts(MANIFEST, [])
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{self._pointer(v)['shards']}")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/{self._pointer(v)['shards']}").coalesce(1)
 
     def _pointer(self, version: int) -> dict:
         return json.loads(self._read_text(f"{self.root}/versions/v{version:09d}.json"))
@@ -119,7 +119,7 @@ class ShardStore:
             return self._facts(MANIFEST, [])
         rows = self.spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
         known = self._facts("name string, path string, bytes bigint, tier int", [{"name": n, "path": f"{folder}/{n}", "bytes": s, "tier": self._tier(s)} for n, s in sizes])
-        return known.join(rows, "name").select("path", "rows", "bytes", "tier")
+        return rows.join(F.broadcast(known), "name").select("path", "rows", "bytes", "tier")
 
     # -- operations --------------------------------------------------------------------------------
     def append(self, arrivals: DataFrame) -> int:
@@ -148,13 +148,18 @@ class ShardStore:
         live, schema = self.manifest(base), self.schema(base)
         small = live.where(F.col("bytes") < self.target / 2)
         # One row a tier: their number is the logarithm of the target.
-        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= self.fan).orderBy("tier").collect()
+        tiers = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fan).collect()
         made = []
-        for t in tiers:
-            paths = [r.path for r in small.where(F.col("tier") == t.tier).orderBy("path").toLocalIterator()]
+        for t in sorted(tiers, key=lambda t: t.tier):
+            paths = sorted(r.path for r in small.where(F.col("tier") == t.tier).toLocalIterator())
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             rows = self.spark.read.schema(schema).parquet(*paths)
             with _settings(self.spark, maxPartitionBytes=self.target, openCostInBytes=0, minPartitionNum=1):
+                # Splits are packed up to the target, which at least halves the files, each under half of it. Where the cluster
+                # insists on smaller splits, these go together.
+                wanted = -(-t.bytes // self.target)
+                if rows.rdd.getNumPartitions() > max(wanted, t.n // 2):
+                    rows = rows.coalesce(wanted)
                 rows.write.option("compression", "zstd").parquet(folder)
             made.append(self._described(folder, schema))
         if not made:
@@ -170,7 +175,7 @@ class ShardStore:
         v = self.version() if version is None else version
         if v == 0:
             raise ValueError("the store has no version")
-        schema, shards = self.schema(v), [r.path for r in self.manifest(v).select("path").orderBy("path").toLocalIterator()]
+        schema, shards = self.schema(v), sorted(r.path for r in self.manifest(v).select("path").toLocalIterator())
         if not shards:
             rows = self.spark.createDataFrame([], schema)
             return rows if "__shard" in schema.names else rows.withColumn("__shard", F.lit(None).cast("string"))
