@@ -1,5 +1,6 @@
 """Exact operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import contextlib
 import hashlib
 import random
 import re
@@ -437,6 +438,19 @@ def test_compaction_goes_on_while_tiers_fill(spark, tmp_path):
     assert store.manifest().groupBy("tier").count().where("count >= 4").isEmpty() and store.manifest().count() <= 6 and store.read().count() == 64_000
 
 
+def test_compaction_ends_where_splits_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "_settings", lambda *a, **b: contextlib.nullcontext())  # as a cluster that keeps its own
+    store, split = ShardStore(spark, f"{tmp_path}/store"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    store.append(docs.repartition(12))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        store.compact()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert store.version() == 2 and store.manifest().count() == 1 and store.read().count() == 20_000
+
+
 def test_merged_shards_meet_the_target(spark, tmp_path):
     target = 256 << 10
     store = ShardStore(spark, f"{tmp_path}/store", target_bytes=target)
