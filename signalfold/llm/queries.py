@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from signalfold.llm import bpe, langid, minhash, pii, quality, rans, toxicity
 from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
+from signalfold.llm.conversations import Repairer, damage
 from signalfold.llm.store import scratch_path, table
+from signalfold.llm.whitening import Whitener
 from signalfold.llm.winnow import contamination
 
 
@@ -95,9 +97,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(_crc(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id and component with the whitened coordinate, the share of the variance, and the facts of the fit."""
+    return Whitener(table(spark, sf_dir, "embeddings")).whiten()
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id with the faults of its damaged rows, the cost and audit of the cheapest repair, and a digest of what it gives."""
+    return Repairer(damage(table(spark, sf_dir, "conversations")), gone="gone").repair()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sharding, op3_near_dedup, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language)
+    for f in (op1_toxicity, op2_sharding, op3_near_dedup, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language, op12_whitening, op13_conversation_repair)
 }
 
 
