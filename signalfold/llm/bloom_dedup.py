@@ -17,11 +17,10 @@ gives an empty result; other columns pass through `deduplicate` unchanged, whate
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalfold.llm.store import BROADCAST_ROWS, SPACES, broadcast_if_small, materialize, scratch_path
+from signalfold.llm.store import BROADCAST_ROWS, SPACES, broadcast_if_small, materialize, place, read_from_files, scratch_path
 
 BITS_PER_ROW = 16
 #: Groups of so many rows are heavy; the second figure bounds how many heavy groups there can be.
@@ -63,26 +62,12 @@ def _probe(df: DataFrame, words: DataFrame, n_words: int, m: int, bound: int) ->
     return df.withColumn("__maybe", both[0] & both[1]).drop(*(f"__{c}{k}" for c in "wmp" for k in (0, 1)))
 
 
-def _place(docs: DataFrame) -> tuple[Column, Column]:
-    """The file (a hash of its path) and the number in it of each row of a table read from files."""
-    at = docs.metadataColumn("_metadata")
-    return F.xxhash64(at["file_path"]), at["row_index"]
-
-
-def _read_from_files(docs: DataFrame) -> bool:
-    try:
-        docs.select(*_place(docs))
-    except AnalysisException:
-        return False
-    return True
-
-
 class BloomDedup:
     """The filter over one table, and what it decides. bound: rows of a broadcast."""
 
     def __init__(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = BROADCAST_ROWS):
-        self.docs, self.bound = docs if _read_from_files(docs) else materialize(docs, "rows"), bound
-        own, file_row = F.col(f"`{text}`"), _place(self.docs)
+        self.docs, self.bound = docs if read_from_files(docs) else materialize(docs, "rows"), bound
+        own, file_row = F.col(f"`{text}`"), place(self.docs)
         narrow = self.docs.select(
             F.col(f"`{doc_id}`").alias("doc_id"), _digest(own).alias("sha"), F.char_length(F.coalesce(own, F.lit(""))).cast("long").alias("n_cp"),
             file_row[0].alias("file"), file_row[1].alias("row"))
@@ -120,7 +105,7 @@ class BloomDedup:
 
     def without(self, gone: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
         """The rows of one of `parts` groups of files, but for those at the places `gone`, which are broadcast."""
-        file, row = _place(self.docs)
+        file, row = place(self.docs)
         rows = self.docs.select(F.struct("*").alias("__row"), file.alias("file"), row.alias("row"))
         if parts > 1:
             rows, gone = (x.where(F.pmod("file", F.lit(parts)) == part) for x in (rows, gone))

@@ -10,6 +10,7 @@ from signalfold.llm.bloom_dedup import BloomDedup
 from signalfold.llm.compaction import ShardStore
 from signalfold.llm.conversations import Repairer, damage
 from signalfold.llm.store import scratch_path, table
+from signalfold.llm.warc import archived
 from signalfold.llm.whitening import Whitener
 from signalfold.llm.winnow import contamination
 
@@ -97,6 +98,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.coalesce(_crc(4), F.lit(0)) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id with size and digest of its payload, and whether its record, read back from the packages, is a response or a revisit."""
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and component with the whitened coordinate, the share of the variance, and the facts of the fit."""
     return Whitener(table(spark, sf_dir, "embeddings")).whiten()
@@ -109,7 +115,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sharding, op3_near_dedup, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language, op12_whitening, op13_conversation_repair)
+    for f in (op1_toxicity, op2_sharding, op3_near_dedup, op4_bpe, op5_decontamination, op6_exact_dedup, op7_pii, op8_quality, op9_token_files, op10_language, op11_warc, op12_whitening, op13_conversation_repair)
 }
 
 
@@ -161,8 +167,66 @@ def _pii_sql() -> str:
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _warc_sql() -> str:
+    """SHA-1 as base32: 32 digits of five bits, each cut out of three hex digits."""
+    digits = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(sha1(h) || '0', {5 * i // 4 + 1}, 3) as integer) >> {7 - 5 * i % 4}) & 31), 1)" for i in range(32))
+    return f"""
+        with t as (select page_id, coalesce(html, '') as h from pages),
+        g as (select page_id, h, row_number() over w as n, first_value(page_id) over w as first from t window w as (partition by h order by page_id nulls last))
+        select page_id, cast(strlen(h) as bigint) as payload_bytes, {digits} as payload_digest, case when n = 1 then 'response' else 'revisit' end as record_type,
+               case when n > 1 then first end as refers_to from g"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row: for each state (the last initial so far; n for none) the least struct (cost, audit, turns),
+    as structs sort by their fields in order."""
+    follows, keeps = {"n": "u", "s": "u", "u": "a", "a": "u"}, {"n": "su", "s": "u", "u": "a", "a": "u"}
+    named = {"u": "'user:'", "a": "'assistant:'"}
+
+    def arc(state: str, cost: str, letter: str, turn: str | None = None) -> str:
+        added = "" if turn is None else f" || case when regexp_matches({state}.audit, '[IKR]') then chr(10) else '' end || {turn}"
+        return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'turns': {state}.turns{added}}}"
+
+    steps = {k: [arc(k, "4", "D")] for k in follows}
+    for k, to in follows.items():
+        steps[to].append(f"case when not gone then {arc(k, 'case when cut then 6 else 3 end', 'R', named[to] + ' || text')} end")
+        for i in keeps[k]:
+            steps[i].append(f"case when not gone and initial = '{i}' then {arc(k, 'case when cut then 3 else 0 end', 'K', "role || ':' || text")} end")
+    over_row = ", ".join(f"least({', '.join(steps[k])}) as {k}" for k in follows)
+    lost = "{'cost': 1000000000, 'audit': '', 'turns': ''}"
+    crc = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length(k) + 1), lambda i: cast(ascii(substr(k, i, 1)) as bigint))),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), cast([0, 0, 0, 0, 0, 0, 0, 0] as bigint[])), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"""
+
+    def inserted(source: str) -> str:
+        """A turn put in after any state: to u, then to a."""
+        to_u = f"select conv_id, i, n, s, least(u, {', '.join(arc(k, '3', 'I', named['u']) for k in 'nsa')}) as u, a from ({source}) as moved"
+        return f"select conv_id, i, n, s, u, least(a, {arc('u', '3', 'I', named['a'])}) as a from ({to_u}) as begun"
+
+    return f"""
+        with recursive k as (select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations),
+        f as (select conv_id, turn, {crc} % 20 as fate, coalesce(role, ' ') as role, coalesce(text, ' ') as text from k),
+        d as (select conv_id, turn, case when fate = 4 then 'user' else role end as role, case fate when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+              from f, (select unnest([0, 1]) as copy) as c where fate <> 0 and (copy = 0 or fate = 3)),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, left(role, 1) as initial,
+              rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') as shown from d),
+        m as (select *, shown = '' as blank, shown <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as again, right(shown, 1) not in ('.', '!', '?') as open_end,
+              lag(initial) over (partition by conv_id order by i) || initial as pair from o),
+        rows_of as (select *, blank or again as gone, not blank and not again and open_end as cut from m),
+        facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (again) as duplicate,
+              count(*) filter (cut) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n_rows from rows_of group by conv_id),
+        every as (select distinct conv_id from conversations),
+        r as ({inserted(f"select conv_id, cast(0 as bigint) as i, {{'cost': 0, 'audit': '', 'turns': ''}} as n, {lost} as s, {lost} as u, {lost} as a from every")}
+            union all {inserted(f"select r.conv_id, r.i + 1 as i, {over_row} from r join rows_of as x on x.conv_id is not distinct from r.conv_id and x.i = r.i + 1")}),
+        best as (select r.conv_id, least(n, a) as b from r left join facts on facts.conv_id is not distinct from r.conv_id where r.i = coalesce(n_rows, 0))
+        select best.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               cast(b.cost as bigint) as cost, b.audit as audit, sha256(b.turns) as repaired_sha256
+        from best left join facts on facts.conv_id is not distinct from best.conv_id"""
+
+
 ORACLES = {
+    "op13_conversation_repair": _repair_sql(),
     "op7_pii": _pii_sql(),
+    "op11_warc": _warc_sql(),
     "op2_sharding": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256 from documents",
     "op3_near_dedup": rf"""
         with recursive t as (select doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') as w from documents),

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,6 +67,20 @@ def fold_ascii(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def place(df: DataFrame) -> tuple[Column, Column]:
+    """The file (a hash of its path) and the number in it of each row of a table read from files."""
+    at = df.metadataColumn("_metadata")
+    return F.xxhash64(at["file_path"]), at["row_index"]
+
+
+def read_from_files(df: DataFrame) -> bool:
+    try:
+        df.select(*place(df))
+    except AnalysisException:
+        return False
+    return True
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -489,7 +489,7 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]
