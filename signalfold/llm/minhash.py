@@ -10,9 +10,13 @@
    are compared. A longer list never becomes pairs. Its texts are compared with one text, its pivot, and those that are
    not linked to it with another pivot among those that are, PIVOTS times in all: work in proportion to the list, after
    which what its texts are copies of is connected. Texts connected by pivots need no comparison with each other; those
-   still apart are dealt into chunks of bounded size and meet chunks of the whole list: a group counts all its common
-   shingles as a matrix product and returns a spanning forest of its links (merging by count, skipping pairs that share
-   no shingle), at most one row for each text.
+   still apart meet the others of the list. A list with many of them is split by the same rule as before: a pair whose
+   rarest common number is the list's agrees T - 1 times more among what follows it, so its texts post under the
+   rarest of those numbers (as counted in the list), and texts with too few that anyone shares go (skipping). Numbers that
+   more than half of the list holds do not split it: who holds enough of them stays in a list of its own.
+   Chunks of bounded size then count collisions on signatures alone and keep the pairs that reach T; these are
+   compared. Where that keeps more than DENSE pairs a text, the chunk's texts are compared as one matrix product of
+   common shingles instead, which returns a spanning forest of the links, at most one row for each text.
 4. Comparisons are exact on the full shingle sets; components come from contraction (see components.py).
 
 Defined cases: texts without words (or null) have no set and link with nothing; texts with fewer words than a shingle
@@ -42,6 +46,8 @@ COORDINATES, MISS, SHORT, PIVOTS = 24, 2e-7, 32, 2
 PIVOT_BYTES = 32 << 20
 #: Texts and shingles of a chunk of a long list, and columns of a block of the matrix product.
 CHUNK_TEXTS, CHUNK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
+#: Pairs a text that a chunk gives one by one.
+DENSE = 8
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -102,18 +108,33 @@ def linked_pairs(sets: list[np.ndarray], right: np.ndarray, percent: int) -> tup
     keep = times[column] > 1
     row, column = row[keep], shared[column[keep]]
     left, other = np.flatnonzero(~right), np.flatnonzero(right)
-    common = np.zeros((len(left), len(other)), np.float32)
+    common = np.zeros((len(left), len(other)), np.int64)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         lo, hi = np.searchsorted(column, [start, start + COLUMNS])
         m = np.zeros((len(sets), COLUMNS), np.float32)
         m[row[lo:hi], column[lo:hi] - start] = 1
-        common += m[left] @ m[other].T
+        common += (m[left] @ m[other].T).astype(np.int64)  # each product is at most COLUMNS, exact in float32
     a, b = np.nonzero(100 * common >= percent * (size[left][:, None] + size[other][None, :] - common))
     return left[a], other[b]
 
 
+def agreeing_pairs(sig: np.ndarray, size: np.ndarray, right: np.ndarray, t: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of texts of two chunks whose signatures agree t times and whose sizes allow a link; `right` marks the second chunk."""
+    left, other = np.flatnonzero(~right), np.flatnonzero(right)
+    theirs, found = np.ascontiguousarray(sig[other].T), []
+    for at in range(0, len(left), 128):
+        own = left[at:at + 128]
+        same = np.zeros((len(own), len(other)), np.uint8)
+        for c in range(sig.shape[1]):
+            same += sig[own, c][:, None] == theirs[c][None, :]
+        small, large = np.minimum(size[own][:, None], size[other][None, :]), np.maximum(size[own][:, None], size[other][None, :])
+        a, b = np.nonzero((same >= t) & (100 * small >= percent * large))
+        found.append((own[a], other[b]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (left, other[:0])
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n places the least one that the pairs connect it with."""
     root = np.arange(n)
@@ -141,14 +162,13 @@ class Linker:
         return materialize(groups.select("n", "fp1", "fp2", "size", F.col("best.doc_id").alias("node"), F.col("best.sig").alias("sig")), "classes")
 
     def _postings(self, classes: DataFrame) -> DataFrame:
-        """node, n, sig, toks: the posted prefix of every text that can have a partner."""
+        """node, n, sig, toks (those that anyone shares, from rare to frequent) and take (how many of them are posted) of every text that can have a partner."""
         tokens = classes.select("node", "n", "fp1", F.explode("sig").alias("tok"))
         shared = materialize(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
         held = tokens.join(broadcast_if_small(shared), "tok")
         lists = held.groupBy("node", "fp1").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("toks"))
         # The COORDINATES - size rarest are the text's own; of the prefix they leave this many.
-        take = F.size("toks") - (self.t - 1)
-        lists = lists.where(take > 0).select("node", "fp1", F.slice(F.transform("toks", lambda x: x["tok"]), 1, take).alias("toks"))
+        lists = lists.select("node", "fp1", F.transform("toks", lambda x: x["tok"]).alias("toks"), (F.size("toks") - (self.t - 1)).alias("take")).where("take > 0")
         return materialize(lists.join(classes.select("node", "fp1", "n", "sig"), ["node", "fp1"]).drop("fp1"), "postings")
 
     # -- comparing ---------------------------------------------------------------------------------
@@ -214,25 +234,87 @@ class Linker:
         for turn in range(PIVOTS):
             found, rows = self._pivoted(rows, turn)
             links = links.unionByName(found)
+        few = materialize(rows.groupBy("tok").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("size")).where("few > 0"), "unmet")
+        if few.isEmpty():
+            return links
+        held = heavy_light_join(rows.select("tok", "node", "apart"), few, ["tok"], "size")
+        own = held.select("tok", "node", "apart", "few")
+        groups = own.where(F.col("few") <= CHUNK_TEXTS).select(F.col("tok").alias("g"), "node", "apart")
+        wide = own.where(F.col("few") > CHUNK_TEXTS).join(self.posted.select("node", "toks"), "node")
+        after = F.expr("slice(toks, cast(array_position(toks, tok) as int) + 1, size(toks))")
+        wide, need = materialize(wide.select(F.col("tok").alias("g"), "node", "apart", after.alias("rest")), "wide"), self.t - 1
+        while need > 0 and not wide.isEmpty():
+            ready, wide = self._split(wide, need)
+            groups, need = groups.unionByName(ready), need - 1
+        return links.unionByName(self._meet(groups.unionByName(wide.select("g", "node", "apart"))))
+
+    @staticmethod
+    def _split(groups: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
+        """Groups (g, node, apart, rest) whose pairs must agree `need` times in `rest`, split by the rarest number they agree on:
+        (those that are ready to be compared: g, node, apart; those that still hold many texts apart, with their rest).
+
+        A group is split only where its parts are less work than its chunks.
+        """
+        work = F.sum(F.col("size") + F.col("few") * F.col("size") / CHUNK_TEXTS)
+        cells = groups.select("g", "node", "apart", F.explode("rest").alias("r"))
+        sizes = materialize(groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.count_if("apart").alias("few")), "split-sizes")
+        counts = cells.groupBy("g", "r").agg(F.count(F.lit(1)).alias("n"), F.count_if("apart").alias("met")).where("n > 1 and met > 0")
+        counts = materialize(counts.join(broadcast_if_small(sizes), "g").select("g", "r", "n", (2 * F.col("n") > F.col("size")).alias("common")), "split-counts")
+        held = heavy_light_join(cells, counts, ["g", "r"], "n")
+        own = held.groupBy("g", "node").agg(F.bool_or("apart").alias("apart"), F.sort_array(F.collect_list(F.struct("common", "n", "r"))).alias("toks"), F.count_if("common").alias("n_common"))
+        own = materialize(own.where(F.size("toks") >= need), "split-own")
+        nothing = F.array().cast("array<bigint>")
+        core = own.where(F.col("n_common") >= need).select("g", F.xxhash64(F.lit("core"), "g").alias("part"), "node", "apart", nothing.alias("rest"))
+        posted = own.select("g", "node", "apart", "toks", F.posexplode(F.slice("toks", 1, F.size("toks") - (need - 1))).alias("at", "tok")).where(~F.col("tok.common"))
+        rest = F.transform(F.expr("slice(toks, at + 2, size(toks))"), lambda x: x["r"])
+        parts = core.unionByName(posted.select("g", F.xxhash64("g", "tok.r").alias("part"), "node", "apart", rest.alias("rest")))
+        left = materialize(parts.groupBy("g", "part").agg(F.count(F.lit(1)).alias("size"), F.count_if("apart").alias("few")).where("size > 1 and few > 0"), "split-left")
+        after = left.groupBy("g").agg(work.alias("after"))
+        better = F.coalesce(F.col("after"), F.lit(0.0)) < F.col("few") * F.col("size") / CHUNK_TEXTS
+        judged = materialize(sizes.join(broadcast_if_small(materialize(after, "split-work")), "g", "left").select("g", "size", better.alias("better")), "split-judged")
+        whole = heavy_light_join(groups.select("g", "node", "apart"), judged.where("not better"), ["g"], "size")
+        kept = materialize(left.join(broadcast_if_small(judged.where("better").select("g")), "g", "left_semi"), "split-kept")
+        sized = materialize(heavy_light_join(parts, kept, ["g", "part"], "size").select(F.col("part").alias("g"), "node", "apart", "rest", "few"), "split-parts")
+        done = (F.col("few") <= CHUNK_TEXTS) | (F.size("rest") == 0)
+        ready = whole.select("g", "node", "apart").unionByName(sized.where(done).select("g", "node", "apart"))
+        return materialize(ready, "split-ready"), materialize(sized.where(~done).select("g", "node", "apart", "rest"), "wide")
+
+    def _meet(self, groups: DataFrame) -> DataFrame:
+        """The links (a, b) of the texts apart in each group (g, node, apart) with the group's others, up to connectedness."""
+        rows = materialize(groups.distinct().join(self.signed, "node"), "meeting")
         apart = F.col("apart")
-        sums = rows.groupBy("tok").agg(
-            F.count_if(apart).alias("few"), F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("few_shingles"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("few > 0")
+        sums = rows.groupBy("g").agg(F.count_if(apart).alias("few"), F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("few_shingles"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
 
         def chunks(texts: str, shingles: str) -> Column:
             return F.greatest(F.ceil(F.col(texts) / CHUNK_TEXTS), F.ceil(F.col(shingles) / CHUNK_SHINGLES)).cast("bigint")
 
-        sums = materialize(sums.select("tok", "size", chunks("few", "few_shingles").alias("left"), chunks("size", "shingles").alias("right")), "chunks")
-        if sums.isEmpty():
-            return links
-        dealt = heavy_light_join(rows.select("tok", "node", "apart"), sums, ["tok"], "size")
-        place = F.xxhash64("node", "tok")
+        sums = materialize(sums.where("few > 0 and size > 1").select("g", "size", chunks("few", "few_shingles").alias("left"), chunks("size", "shingles").alias("right")), "chunks")
+        dealt = heavy_light_join(rows, sums, ["g"], "size")
+        place = F.xxhash64("node", "g")
 
         def each(n: str) -> Column:
             return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-        lefts = dealt.where("apart").select("tok", "node", F.pmod(place, F.col("left")).alias("i"), each("right").alias("j"), F.lit(False).alias("right"))
-        rights = dealt.select("tok", "node", each("left").alias("i"), F.pmod(place, F.col("right")).alias("j"), F.lit(True).alias("right"))
-        k, percent = self.k, self.percent
+        lefts = dealt.where("apart").select("g", "node", "apart", "n", "sig", F.pmod(place, F.col("left")).alias("i"), each("right").alias("j"), F.lit(False).alias("right"))
+        rights = dealt.select("g", "node", "apart", "n", "sig", each("left").alias("i"), F.pmod(place, F.col("right")).alias("j"), F.lit(True).alias("right"))
+        k, percent, t = self.k, self.percent, self.t
+
+        def close(rows: pd.DataFrame) -> pd.DataFrame:
+            nodes, right, apart = (rows[c].to_numpy() for c in ("node", "right", "apart"))
+            a, b = agreeing_pairs(np.stack(rows["sig"].to_list()), rows["n"].to_numpy(), right, t, percent)
+            once = (nodes[a] != nodes[b]) & ~(apart[b] & (nodes[a] > nodes[b]))
+            a, b = a[once], b[once]
+            if len(a) <= DENSE * len(nodes):
+                return pd.DataFrame({"a": nodes[a], "b": nodes[b], "g": None, "i": None, "j": None, "right": None})
+            own = np.concatenate([np.unique(a), np.unique(b)])
+            return pd.DataFrame({"a": nodes[own], "b": None, "right": right[own]}).assign(**{c: rows[c].iloc[0] for c in "gij"})[["a", "b", "g", "i", "j", "right"]]
+
+        cells = lefts.unionByName(rights).groupBy("g", "i", "j")
+        met = materialize(cells.applyInPandas(close, f"a {self.type}, b {self.type}, g long, i long, j long, right boolean"), "agreeing")
+        pairs = materialize(met.where("g is null").select("a", "b").distinct(), "long-pairs")
+        texts = self.texts.select(F.col("node"), "text")
+        full = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("t_a")), "a")
+        links = self._confirm(full)
 
         def found(rows: pd.DataFrame) -> pd.DataFrame:
             nodes, right = rows["node"].to_numpy(), rows["right"].to_numpy()
@@ -242,17 +324,19 @@ class Linker:
             moved = np.flatnonzero(root != np.arange(len(nodes)))
             return pd.DataFrame({"a": nodes[root[moved]], "b": nodes[moved]})
 
-        grouped = lefts.select("tok", "node", "i", "j", "right").unionByName(rights.select("tok", "node", "i", "j", "right")).join(self.texts, "node").groupBy("tok", "i", "j")
-        return links.unionByName(materialize(grouped.applyInPandas(found, f"a {self.type}, b {self.type}").distinct(), "long-links"))
+        dense = met.where("g is not null").select("g", "i", "j", F.col("a").alias("node"), "right")
+        if dense.isEmpty():
+            return links
+        return links.unionByName(materialize(dense.join(texts, "node").groupBy("g", "i", "j").applyInPandas(found, f"a {self.type}, b {self.type}").distinct(), "long-links"))
 
     def link(self) -> tuple[DataFrame, DataFrame]:
         """(classes, components of those linked with others)."""
         classes = self._classes()
-        posted = self._postings(classes)
+        self.posted = posted = self._postings(classes)
         self.signed = posted.select("node", "n", "sig")
         ids = posted.select(F.col("node").alias("doc_id")).distinct()
         self.texts = materialize(self.docs.select(_id(self.docs).alias("doc_id"), "text").join(broadcast_if_small(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
-        plain = materialize(posted.select("node", "n", F.explode("toks").alias("tok")), "lists")
+        plain = materialize(posted.select("node", "n", F.explode(F.slice("toks", 1, F.col("take"))).alias("tok")), "lists")
         sized = plain.groupBy("tok").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
         sized = materialize(sized, "sizes")
         short = broadcast_if_small(sized.where(F.col("texts") <= SHORT).select("tok"))

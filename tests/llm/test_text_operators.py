@@ -137,6 +137,50 @@ def test_a_group_of_copies_is_work_in_proportion(spark, monkeypatch):
     assert got == {i: 0 for i in range(n)} | beside and max(df.count() for df in met) <= 30 * n
 
 
+def test_texts_that_share_a_passage_are_work_in_proportion(spark, monkeypatch):
+    """Texts with one passage in common and a few linked ones among them: lists of all of them, in which nobody has a pivot's text."""
+    monkeypatch.setattr(minhash, "CHUNK_TEXTS", 24)
+    made = {}
+    for n in (150, 300):
+        rng, rows = random.Random(8), []
+        passage = [f"p{rng.randint(0, 10_000)}" for _ in range(40)]
+        many = [" ".join([*passage, *(f"t{i}x{j}" for j in range(rng.randint(60, 200)))]) for i in range(n)]
+        many += [t + " end" for t in many[:9]] + [f"{i} " + many[i] for i in range(3)]
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "materialize", lambda df, tag, rows=rows: rows.append(out := materialize(df, tag)) or out)
+            got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, many), 3, 85).collect()}
+        assert got == brute_components(many, 3, 85)
+        made[n] = sum(df.count() for df in rows)
+    assert made[300] <= 2.3 * made[150]
+
+
+def test_dense_chunks_and_split_lists_lose_no_link(spark, monkeypatch):
+    """Texts that agree often enough to be candidates and are linked or not by a few words, in small chunks."""
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10_000)}" for _ in range(150)]
+    many = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.sample(range(150), rng.choice([3, 6, 7, 8, 9, 12])):
+            w[j] = f"n{rng.randint(0, 40)}"
+        many.append(" ".join(w))
+    monkeypatch.setattr(minhash, "CHUNK_TEXTS", 20)
+    for dense in (0, 3, 1000):
+        monkeypatch.setattr(minhash, "DENSE", dense)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, many), 3, 85).collect()}
+        assert got == brute_components(many, 3, 85)
+
+
+def test_links_at_the_threshold_are_exact_for_large_sets():
+    """Sets with a union of 1,000,020 that share 850,017, 85 % exactly: beyond the whole numbers of a float."""
+    common, left, right = 850_017, 75_002, 75_001
+    sets = [np.concatenate([np.arange(common), common + np.arange(left)]), np.concatenate([np.arange(common), common + left + np.arange(right)])]
+    both = np.array([False, True])
+    assert 100 * common == 85 * (common + left + right) and [x.tolist() for x in minhash.linked_pairs(sets, both, 85)] == [[0], [1]]
+    sets[1] = np.append(sets[1], 9_999_999)
+    assert minhash.linked_pairs(sets, both, 85)[0].size == 0
+
+
 def test_near_dedup_of_odd_tables(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
     rows = table(spark, ["a b c", "a b c", "a b c", None, ""], [3, 3, None, 5, 6]).withColumn("kept", F.lit(0))
