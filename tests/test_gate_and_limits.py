@@ -19,15 +19,73 @@ from signalfold.streaming import alerts, limits
     "select * from secrets", "refresh table events", "cache table events", "use other", "truncate table events", "select * from (select * from csv.`/etc/passwd`) x", "add jar '/x'",
 ])
 def test_gate_refuses(spark, sql):
+    spark.range(4).createOrReplaceTempView("events")
     with pytest.raises(Rejected):
         check(spark, sql, {"events"})
 
 
+_HIDDEN = [
+    "select a.* from secret as a cross join (select 1 as x) as secret", "with secret as (select 1 as id) select * from secret union all select * from (with x as (select 1) select s.id from x, `secret` s, hidden)",
+    "select * from (with secret as (select 1 as id) select * from secret) a join secret b on a.id = b.id", "with a as (with secret as (select 2 as id) select * from secret) select * from a, secret",
+    "select * from events as secret where id in (select id from secret)", "select (select max(secret.id) from secret) from events as secret", "select * from events e, lateral (select id from secret where secret.id = e.id)",
+    "with events as (select * from secret) select * from events", "with recursive r(n) as (select id from secret union all select n + 1 from r where n < 3) select * from r", "select exists(select 1 from secret)",
+    "select id from events group by id having max(id) > (select min(id) from secret)", "select * from events order by (select min(id) from secret)", "explain select * from secret",
+    "select * from global_temp.shared", "select * from outer_view", "table secret", "from secret select *", "select * from kept_table", "select * from default.kept_table", "select * from default.events",
+]
+
+
+@pytest.mark.parametrize("sql", _HIDDEN)
+def test_gate_refuses_what_names_hide(spark, sql):
+    """Aliases and common table expressions that are named like a hidden view, or a hidden view by another way."""
+    for name in ("events", "secret", "hidden"):
+        spark.range(4).createOrReplaceTempView(name)
+    spark.range(4).createOrReplaceGlobalTempView("shared")
+    spark.sql("create or replace temporary view outer_view as select * from secret")
+    spark.range(4).write.mode("overwrite").saveAsTable("kept_table")
+    try:
+        with pytest.raises(Rejected):
+            check(spark, sql, {"events", "kept_table"} if "default" in sql or "kept" in sql else {"events"})
+    finally:
+        spark.sql("drop table kept_table")
+
+
+@pytest.mark.parametrize("sql", [
+    "select mine(id) from events", "select upper(cast(id as string)) from events", "select system.builtin.lower('A') from events", "select session.mine(1)", "select input_file_name() from events", "select version()",
+    "select current_user() from events", "select * from mine_table(1)", "select transform(array(id), x -> mine(x)) from events", "select id from events where exists (select 1 where mine(2) = 2)",
+    "select aes_encrypt('a', 'abcdefghijklmnop') from events", "select raise_error('x') from events", "select no_such_function(1) from events", "select session_user()",
+])
+def test_gate_takes_built_in_functions_that_compute(spark, sql):
+    """A session's own function is refused, also where it took the name of a built-in one."""
+    own = spark.newSession()
+    own.range(4).createOrReplaceTempView("events")
+    fine = "select {}('a'), typeof(1), count(*), date_trunc('hour', now()), from_json('{{}}', 'a int'), variant_get(parse_json('1'), '$', 'int') from events"
+    check(own, fine.format("upper"), {"events"})
+    own.udf.register("mine", lambda x: x, "bigint")
+    own.udf.register("upper", lambda x: x, "string")
+    with pytest.raises(Rejected):
+        check(own, sql, {"events"})
+    check(own, fine.format("lower"), {"events"})
+
+
+def test_gate_reads_views_over_views_that_it_may_not_read(spark):
+    """A registered view shows what it was made to show, with functions of the session's if its maker used some."""
+    spark.range(4).createOrReplaceTempView("secret")
+    spark.udf.register("mine", lambda x: x, "bigint")
+    spark.sql("create or replace temporary view shown as select mine(max(id)) as most from secret")
+    assert execute(spark, "with secret as (select * from shown) select * from secret", {"Shown"}).first().most == 3
+    spark.sql("drop temporary function mine")
+    with pytest.raises(Rejected):
+        check(spark, "select * from secret, shown", {"shown"})
+
+
 @pytest.mark.parametrize("sql", [
     "select count(*) from events", "with a as (select id from events) select * from a join events on a.id = events.id", "explain select * from events",
     "select id, row_number() over (partition by id % 2 order by id) from events where id in (select max(id) from events) union all select 1, 2",
     "select id % 2 as k, count(*) from events group by grouping sets ((id % 2), ()) having count(*) > 0 order by 1 limit 3", "select * from values (1), (2) as t(a)",
     "select x from events lateral view explode(array(1, 2)) t as x", "select exists(select 1 from events)", "select * from range(3)",
+    "with secret as (select id from events), b as (select * from secret) select * from b join secret using (id)", "select secret.id from events as secret", "with events as (select 1 as id) select * from events",
+    "with recursive r(n) as (select 1 union all select n + 1 from r where n < 3) select * from r", "select * from events e, lateral (select e.id + 1 as y)", "select * from events pivot (count(*) for id in (1, 2))",
+    "select if(id > 1, 'a', 'b'), id between 1 and 2, cast(id as string) like '%1', id in (1, 2), -id, not true from events where id is not null", "select try_cast('x' as int), extract(year from current_date), interval '1' day, current_timestamp",
 ])
 def test_gate_lets_queries_pass(spark, sql):
     spark.range(4).createOrReplaceTempView("events")
