@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalfold.sources import cold
+from signalfold.sources.daytable import DayTable
 from signalfold.sources.schemas import KEYS
 
 
@@ -26,25 +29,26 @@ def dedup_batch(batch: DataFrame, table: str) -> DataFrame:
     return first_received(batch, key, ["received_at", *rest])
 
 
-def merge(batch: DataFrame, root: str, table: str) -> int:
-    """Insert a batch into day folders; returns the rows inserted. Repeating a batch inserts nothing.
+def merge(batch: DataFrame, root: str, table: str, source: tuple[str, int] | None = None) -> int:
+    """Insert a batch into the day table in one step that readers see; returns the rows inserted. Repeating a batch inserts nothing,
+    and one that its `source` (a stream and the batch's number) has published already is not even looked at.
 
-    Only the days that the batch touches are looked into.
+    Only keys of the days that the batch touches are read.
     """
-    spark, (time, key) = batch.sparkSession, KEYS[table]
+    store = DayTable(batch.sparkSession, root, table)
+    base = store.version()
+    if source and store.seen(source, base):
+        return 0
     fresh = dedup_batch(batch, table).persist()
     try:
-        days = cold.touched_days(fresh, table)
-        path = cold.table_path(root, table)
-        there = {d for d, _ in cold.partitions(spark, path)}
+        there = {s.day for s in base.segments} & {d.isoformat() for d in cold.touched_days(fresh, table)}
         rows = fresh
-        if there & set(days):
-            stored = cold.scan(spark, root, table, allowed=[table]).where(F.col("date").isin(sorted(there & set(days))))
-            rows = new_rows(fresh, stored, key)
-        rows = rows.persist()
+        if there:
+            rows = new_rows(fresh, store.read([date.fromisoformat(d) for d in there], base), KEYS[table][1])
+        rows = rows.where(F.col(KEYS[table][0]).isNotNull()).persist()
         n = rows.count()
-        if n:
-            cold.write_days(rows, root, table)
+        if n or source:
+            store.append(rows, source, base)
         rows.unpersist()
         return n
     finally:

@@ -13,9 +13,10 @@ from signalfold.operators import correlate, evaluate, liveness, merge, reads
 from signalfold.operators.rules import Rule
 from signalfold.plans import gate
 from signalfold.plans.fixtures import raw, view, views, with_views
-from signalfold.session import scratch_path
+from signalfold.session import scanned_rows, scratch_path
 from signalfold.sources import cold, heartbeats, otlp
 from signalfold.sources import events as event_source
+from signalfold.sources.daytable import DayTable
 from signalfold.sources.schemas import schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,7 +333,7 @@ def merge_into_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, rows, steps = scratch_path(spark, "merge"), _stored(spark, sf_dir), []
     for step, batch in enumerate((rows.where("event_name = 'view'"), rows.unionByName(rows), rows), 1):
         n = merge.merge(batch, root, "events")
-        steps.append((step, n, cold.scan(spark, root, "events").count()))
+        steps.append((step, n, DayTable(spark, root, "events").read().count()))
     return spark.createDataFrame(steps, "step int, inserted long, stored long")
 
 
@@ -352,6 +353,21 @@ def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(cold.scan(spark, root, "events"))
 
 
+@_query("""select event_id, event_name, session_id from events_v where session_id = (select min(session_id) from events_v where event_name = 'purchase')
+    union all select 'row groups', case when count(*) > 0 then 'few' end, null from events_v""", "events")
+def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session of the clustered day table, looked up by its id alone; a last row says whether the scan took up to a tenth of
+    the rows or a few row groups of each file it opened, by its own metrics."""
+    store = DayTable(spark, scratch_path(spark, "lookup"), "events", row_group_rows=2_000)
+    rows = _stored(spark, sf_dir)
+    store.append(rows)
+    wanted = rows.where("event_name = 'purchase'").agg(F.min("session_id")).first()[0]
+    found = store.read().where(F.col("session_id") == wanted).select("event_id", "event_name", "session_id")
+    scanned, files = scanned_rows(found)
+    few = scanned <= max(store.read().count() // 10, 4_000 * files)
+    return found.unionByName(spark.range(1).select(F.lit("row groups").alias("event_id"), F.lit("few" if few else "many").alias("event_name"), F.lit(None).cast("string").alias("session_id")))
+
+
 @_query(_PER_DAY.format(where="where cast(timestamp_client as date) in (date '2024-01-05', date '2024-01-28', date '2024-01-29')"), "events")
 def scheduled_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run on 2024-01-30, to which a late batch adds 2024-01-05; it is repeated, which changes nothing."""

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC everywhere, no SQL over bare file paths, runtime re-planning on.
 SETTINGS = {
@@ -20,6 +20,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 
@@ -46,6 +47,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def scanned_rows(df: DataFrame) -> tuple[int, int]:
+    """(rows that the file scans of df gave, files that they opened), by the scans' own metrics after df has run: row groups that
+    statistics or Bloom filters rule out are not among the rows."""
+    execution = df._jdf.queryExecution()
+    df._jdf.collectToPython()
+    stack, rows, files = [execution.executedPlan()], 0, 0
+    while stack:
+        p = stack.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            stack.append(p.plan())
+        elif name == "FileSourceScanExec":
+            rows += p.metrics().apply("numOutputRows").value()
+            files += p.metrics().apply("numFiles").value()
+        it = p.children().iterator()
+        while it.hasNext():
+            stack.append(it.next())
+    return rows, files
+
+
 _SHIPPED: set[str] = set()
 
 

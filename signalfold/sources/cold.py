@@ -63,10 +63,9 @@ def register(spark: SparkSession, root: str, tables: Iterable[str] = COLD_TABLES
 
 
 def write_days(df: DataFrame, root: str, table: str, mode: str = "append", prefix: str = "") -> None:
-    """Rows into date=YYYY-MM-DD folders, sorted by key within files. Overwriting replaces the days that df touches."""
+    """Rows into date=YYYY-MM-DD folders, few files for each day, sorted by key within files. Overwriting replaces the days that df touches."""
     time, key = KEYS[table]
-    out = df.select(*schema(table).names, F.to_date(time).alias("date"))
-    out = out.repartition("date").sortWithinPartitions("date", *key) if mode == "overwrite" else out.sortWithinPartitions("date", *key)
+    out = df.select(*schema(table).names, F.to_date(time).alias("date")).hint("rebalance", "date").sortWithinPartitions("date", *key)
     out.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("date").parquet(table_path(root, table, prefix))
 
 

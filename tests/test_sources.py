@@ -13,6 +13,7 @@ from signalfold.functions import otlp_values as V
 from signalfold.functions.params import clamp_limit, parse_duration, parse_instant
 from signalfold.operators import merge, reads
 from signalfold.sources import cold, events, otlp, schemas
+from signalfold.sources.daytable import DayTable
 from signalfold.streaming import ingest
 
 NOW = datetime(2024, 6, 20, 18)
@@ -137,7 +138,7 @@ def test_merge_is_idempotent_and_first_arrival_wins(spark, tmp_path):
     root = str(tmp_path)
     assert [merge.merge(batch, root, "events") for _ in range(3)] == [2, 0, 0]
     assert merge.merge(stored_events(spark, ("a", "other", t), ("c", "new", t)), root, "events") == 1
-    got = {r.event_id: r.event_name for r in cold.scan(spark, root, "events").collect()}
+    got = {r.event_id: r.event_name for r in DayTable(spark, root, "events").read().collect()}
     assert got == {"a": "first", "b": "x", "c": "new"}
 
 
@@ -183,7 +184,7 @@ def test_stream_ingest_of_repeated_batches(spark, tmp_path):
     stats = ingest.Stats()
     q = ingest.start(ingest.requests(spark, str(inbox), 3), str(tmp_path / "store"), "events", str(tmp_path / "ckpt"), stats)
     q.awaitTermination()
-    got = cold.scan(spark, str(tmp_path / "store"), "events")
+    got = DayTable(spark, str(tmp_path / "store"), "events").read()
     assert got.count() == 200 and got.select("event_id").distinct().count() == 200
     s = stats.summary()
     assert (s["received"], s["inserted"], s["deduplicated"], s["flushes"]) == (400, 200, 200, 3)
@@ -196,7 +197,7 @@ def test_stream_ingest_of_logs(spark, tmp_path):
     (inbox / "a.json").write_text(json.dumps(log_request(fresh)) + "\n")
     stats = ingest.Stats()
     ingest.start(ingest.requests(spark, str(inbox)), str(tmp_path / "store"), "logs", str(tmp_path / "ckpt"), stats).awaitTermination()
-    assert stats["inserted"] == 1 and cold.scan(spark, str(tmp_path / "store"), "logs").first().service_name == "demo-backend"
+    assert stats["inserted"] == 1 and DayTable(spark, str(tmp_path / "store"), "logs").read().first().service_name == "demo-backend"
 
 
 def test_reads(spark):
