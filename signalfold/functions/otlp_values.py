@@ -132,9 +132,12 @@ def body(column):
     return F.pandas_udf(batch, T.StringType())(column)
 
 
-def depth(column):
+def depths(column):
+    """The greatest depth among a list of JSON texts; null if one is nested beyond what a parser takes."""
+
     def batch(raw: pd.Series) -> pd.Series:
-        return pd.Series([text_depth(r) for r in raw], dtype="Int32")
+        found = [[text_depth(t) for t in r] if r is not None else [] for r in raw]
+        return pd.Series([None if None in d else max(d, default=0) for d in found], dtype="Int32")
 
     return F.pandas_udf(batch, T.IntegerType())(column)
 

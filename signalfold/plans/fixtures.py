@@ -31,6 +31,15 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raw_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(raw(spark, sf_dir, name).schema)
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name].replace("from events", "from {src}"), src=raw(spark, sf_dir, "events"))
 

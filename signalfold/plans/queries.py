@@ -12,12 +12,13 @@ from signalfold.functions import predicates as P
 from signalfold.operators import correlate, evaluate, liveness, merge, reads
 from signalfold.operators.rules import Rule
 from signalfold.plans import gate
-from signalfold.plans.fixtures import raw, view, views, with_views
+from signalfold.plans.fixtures import raw, raw_stream, view, views, with_views
 from signalfold.session import scanned_rows, scratch_path
 from signalfold.sources import cold, heartbeats, otlp
 from signalfold.sources import events as event_source
 from signalfold.sources.daytable import DayTable
 from signalfold.sources.schemas import schema
+from signalfold.streaming import admission
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -432,6 +433,29 @@ def consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return liveness.failure_runs(probes)
 
 
+_IP = "case when user_id % 50 = 0 then '0.0.0.0' else concat('10.0.0.', cast(user_id % 50 as {text})) end"
+
+
+@_query(f"""with r as (select cast(event_id as varchar) as request, {_IP.format(text="varchar")} as ip, concat(cast(user_id as varchar), '/', cast(cast(ts as date) as varchar)) as session, event_type = 'error' as bad, ts from events),
+    b as (select *, ip <> '0.0.0.0' and coalesce(sum(cast(bad as integer)) over (partition by ip order by ts, request rows between unbounded preceding and 1 preceding), 0) >= 40 as banned from r),
+    s as (select *, row_number() over (partition by session order by ts, request) as k from b where not banned and not bad),
+    f as (select ip, session, row_number() over (partition by ip order by min(ts), min(request) filter (k = 1)) as place from s where k = 1 group by ip, session)
+    select b.request, case when b.banned then 'ban' when b.bad then 'bad' when s.k > 1 then 'session' when f.place > 9 and b.ip <> '0.0.0.0' then 'address' end as refused
+    from b left join s on s.request = b.request left join f on f.ip = b.ip and f.session = b.session""")
+def admission_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a request of its user's address and of the user's day as its session, errors are malformed ones; all pass the chain
+    of limits as a stream. Buckets do not refill and bans do not end, so that SQL can say who is refused."""
+    forever, out = 1e12, scratch_path(spark, "admission")
+    source = raw_stream(spark, sf_dir, "events")
+    asked = source.selectExpr(
+        "cast(event_id as string) as request", f"{_IP.format(text='string')} as ip", "concat(cast(user_id as string), '/', cast(cast(ts as date) as string)) as session", "cast(1 as double) as cost",
+        "event_type = 'error' as bad", "cast(ts as timestamp) as at")
+    settings = admission.Limits(session={"rate": 0.0, "burst": 1.0}, address={"cap": 9, "window": forever}, bans={"threshold": 40, "window": forever, "ban": forever}, buckets=8, delay="3650 days")
+    stream = admission.decided(asked, settings).select("request", "refused").writeStream.format("parquet").option("path", f"{out}/decided").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema("request string, refused string").parquet(f"{out}/decided")
+
+
 # -- flattening of wire documents built from the events table -------------------------------------------
 _NS = "cast(unix_micros(cast(ts as timestamp)) * 1000 as string)"
 _SERVICE = """'"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"svc-', cast(user_id % 5 as string), '"}}]}'"""

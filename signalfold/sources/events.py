@@ -27,28 +27,49 @@ def canonical_uuid(c: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def read_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """batches (value: JSON text, received_at) -> (rows of the events table, one row per batch with its outcome).
+def checked(batches: DataFrame) -> DataFrame:
+    """batches (value: JSON text, received_at, other columns) with `b` (the parsed batch), n_events, `outcome` and dropped_skew.
 
-    Outcomes: ok, empty or invalid (refused whole), too_many. `dropped_skew` events of an accepted batch are left out.
+    Outcomes: ok, empty or invalid (refused whole), too_many. A batch is judged by its own row, without a shuffle.
     """
     ship(batches.sparkSession)
-    df = batches.select(F.monotonically_increasing_id().alias("batch"), F.from_json("value", StructType.fromDDL(S.EVENT_BATCH)).alias("b"), "received_at")
+    df = batches.withColumn("b", F.from_json("value", StructType.fromDDL(S.EVENT_BATCH)))
     size = F.coalesce(F.size("b.events"), F.lit(-1))
-    x = df.select("batch", "received_at", F.explode("b.events").alias("e")).select("batch", "received_at", "e.*")
-    properties = F.coalesce("properties", F.lit("{}"))
-    x = x.withColumn("properties", F.when(properties == "null", "{}").otherwise(properties)).withColumn("depth", V.depth(F.col("properties")))
-    fine = (
-        F.coalesce(F.col("event_id").rlike(UUID), F.lit(False)) & F.coalesce(F.col("timestamp_client").rlike(RFC3339), F.lit(False))
-        & valid_text(F.col("event_name")) & valid_text(F.col("actor_id")) & valid_text(F.col("session_id"))
-        & (F.col("tenant_id").isNull() | valid_text(F.col("tenant_id"))) & F.ltrim("properties").startswith("{")
-        & (F.octet_length("properties") <= MAX_PROPERTY_BYTES) & F.coalesce(F.col("depth") <= MAX_DEPTH, F.lit(False))
+    events = F.coalesce("b.events", F.array())
+    df = df.withColumn("__depth", V.depths(F.transform(events, lambda e: _properties(e))))
+    fine = F.forall(events, _fine) & F.coalesce(F.col("__depth") <= MAX_DEPTH, F.lit(False))
+    outcome = F.when(size == 0, "empty").when(size > MAX_EVENTS, "too_many").when((size > 0) & fine, "ok").otherwise("invalid")
+    late = F.size(F.filter(events, lambda e: ~_timely(e)))
+    return df.withColumns({"n_events": size, "outcome": outcome}).withColumn("dropped_skew", F.when(F.col("outcome") == "ok", late).otherwise(0)).drop("__depth")
+
+
+def _properties(e: Column) -> Column:
+    text = F.coalesce(e["properties"], F.lit("{}"))
+    return F.when(text == "null", "{}").otherwise(text)
+
+
+def _fine(e: Column) -> Column:
+    text = _properties(e)
+    return (
+        F.coalesce(e["event_id"].rlike(UUID), F.lit(False)) & F.coalesce(e["timestamp_client"].rlike(RFC3339), F.lit(False))
+        & valid_text(e["event_name"]) & valid_text(e["actor_id"]) & valid_text(e["session_id"])
+        & (e["tenant_id"].isNull() | valid_text(e["tenant_id"])) & F.ltrim(text).startswith("{") & (F.octet_length(text) <= MAX_PROPERTY_BYTES)
     )
-    x = x.withColumn("fine", fine).withColumn("timestamp_client", F.try_to_timestamp("timestamp_client"))
-    x = x.withColumn("timely", within_skew("timestamp_client"))
-    per = x.groupBy("batch").agg(F.bool_and("fine").alias("fine"), F.count_if(~F.col("timely")).alias("late"))
-    outcome = F.when(size == 0, "empty").when(size > MAX_EVENTS, "too_many").when(F.col("fine"), "ok").otherwise("invalid")
-    verdict = df.select("batch", size.alias("n_events"), "b").join(per, "batch", "left").select(
-        "batch", "n_events", outcome.alias("outcome"), F.when(outcome == "ok", F.coalesce("late", F.lit(0))).otherwise(0).alias("dropped_skew"))
-    rows = x.join(verdict.where("outcome = 'ok'").select("batch"), "batch", "left_semi").where("timely")
-    return rows.withColumn("event_id", canonical_uuid(F.col("event_id"))).select(*S.schema("events").names), verdict
+
+
+def _timely(e: Column) -> Column:
+    return F.coalesce(within_skew(F.try_to_timestamp(e["timestamp_client"])), F.lit(False))
+
+
+def rows_of(judged: DataFrame) -> DataFrame:
+    """Rows of the events table from checked batches that are ok; events outside the skew are left out."""
+    x = judged.where("outcome = 'ok'").select("received_at", F.explode(F.filter("b.events", _timely)).alias("e"))
+    x = x.select("received_at", "e.*", _properties(F.col("e")).alias("__properties"))
+    return x.withColumns({
+        "event_id": canonical_uuid(F.col("event_id")), "timestamp_client": F.try_to_timestamp("timestamp_client"), "properties": F.col("__properties")}).select(*S.schema("events").names)
+
+
+def read_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """batches (value, received_at) -> (rows of the events table, one row per batch: n_events, outcome, dropped_skew)."""
+    judged = checked(batches)
+    return rows_of(judged), judged.select("n_events", "outcome", "dropped_skew")

@@ -179,34 +179,41 @@ def accept(rows: DataFrame, table: str, max_bytes: int = MAX_RECORD_BYTES) -> tu
     return rows.where(timely & small), counts
 
 
-def _records(table: str) -> tuple[str, Column]:
-    """The request's type, and the times of its usable records (before the bound on their size)."""
+#: Each table's type of request, and the name of its list of resources.
+REQUESTS = {"logs": (S.OTLP_LOGS, "resourceLogs"), "spans": (S.OTLP_TRACES, "resourceSpans"), "metric_points": (S.OTLP_METRICS, "resourceMetrics")}
+
+
+def _times(table: str, resource: Column) -> Column:
+    """The times of a resource's usable records (before the bound on their size)."""
 
     def inner(c: Column, name: str) -> Column:
         return F.flatten(F.transform(c, lambda a: F.coalesce(a[name], F.array())))
 
     arrival = F.col("received_at")
     if table == "logs":
-        rows = inner(inner(F.col("__r.resourceLogs"), "scopeLogs"), "logRecords")
-        return S.OTLP_LOGS, F.transform(rows, lambda x: F.coalesce(nanos(x["timeUnixNano"]), nanos(x["observedTimeUnixNano"]), arrival))
+        rows = inner(F.coalesce(resource["scopeLogs"], F.array()), "logRecords")
+        return F.transform(rows, lambda x: F.coalesce(nanos(x["timeUnixNano"]), nanos(x["observedTimeUnixNano"]), arrival))
     if table == "spans":
-        rows = F.filter(inner(inner(F.col("__r.resourceSpans"), "scopeSpans"), "spans"), _usable_span)
-        return S.OTLP_TRACES, F.transform(rows, lambda x: F.coalesce(nanos(x["startTimeUnixNano"]), arrival))
-    metrics = F.filter(inner(inner(F.col("__r.resourceMetrics"), "scopeMetrics"), "metrics"), lambda m: F.coalesce(m["name"], F.lit("")) != "")
+        rows = F.filter(inner(F.coalesce(resource["scopeSpans"], F.array()), "spans"), _usable_span)
+        return F.transform(rows, lambda x: F.coalesce(nanos(x["startTimeUnixNano"]), arrival))
+    metrics = F.filter(inner(F.coalesce(resource["scopeMetrics"], F.array()), "metrics"), lambda m: F.coalesce(m["name"], F.lit("")) != "")
 
     def times(kind: str) -> Column:
         points = inner(F.transform(metrics, lambda m: m[kind]), "dataPoints")
         return F.transform(points, lambda p: F.coalesce(nanos(p["timeUnixNano"]), arrival))
 
-    return S.OTLP_METRICS, F.concat(*map(times, ("gauge", "sum", "histogram")))
+    return F.concat(*map(times, ("gauge", "sum", "histogram")))
 
 
 def over_limit(requests: DataFrame, table: str, most: int = MAX_RECORDS) -> DataFrame:
-    """requests with n_records (usable and within the skew) and too_many: those over the limit are to be refused whole."""
-    ddl, times = _records(table)
-    parsed = requests.withColumn("__r", F.from_json("value", StructType.fromDDL(ddl)))
-    n = F.size(F.filter(times, lambda t: within_skew(t)))
-    return parsed.withColumn("n_records", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).drop("__r").withColumn("too_many", F.col("n_records") > most)
+    """requests with n_records (usable and within the skew), too_many (those are to be refused whole) and first_resource: the raw
+    attributes of the first resource that has such a record."""
+    ddl, name = REQUESTS[table]
+    resources = F.coalesce(F.from_json("value", StructType.fromDDL(ddl))[name], F.array())
+    kept = F.transform(resources, lambda r: F.struct(F.size(F.filter(_times(table, r), lambda t: within_skew(t))).alias("n"), r["resource"]["attributes"].alias("attributes")))
+    parsed = requests.withColumn("__kept", F.filter(kept, lambda r: r["n"] > 0))
+    n = F.aggregate("__kept", F.lit(0), lambda total, r: total + r["n"])
+    return parsed.withColumns({"n_records": n, "first_resource": F.get("__kept", F.lit(0))["attributes"]}).drop("__kept").withColumn("too_many", F.col("n_records") > most)
 
 
 def invalid_spans(requests: DataFrame) -> DataFrame:
@@ -216,7 +223,7 @@ def invalid_spans(requests: DataFrame) -> DataFrame:
 
 
 def admit(requests: DataFrame, table: str, most: int = MAX_RECORDS) -> DataFrame:
-    """requests (value, received_at) with n_records and `outcome`: ok, or invalid or too_many, which are refused whole."""
+    """requests (value, received_at) with n_records, first_resource and `outcome`: ok, or invalid or too_many, which are refused whole."""
     ship(requests.sparkSession)
     sized = over_limit(requests.withColumn("__fine", well_formed("value", table)), table, most)
     outcome = F.when(~F.col("__fine"), "invalid").when(F.col("too_many"), "too_many").otherwise("ok")

@@ -1,33 +1,56 @@
-"""All limits of the ingest path in their order, one micro-batch after another: ban, session, address, everyone.
-
-The limits have different keys, so no single stateful operator holds them; `Admission.decide` runs them as jobs over the
-narrow rows of a batch (no payloads), with the state of each limit in a table of its own under `root`, one folder for
-each batch. A batch that is repeated after a failure reads the state before it and writes the same again, so
-`decide` fits foreachBatch. What a limit refuses costs nothing at the later ones and counts as a bad request of its address;
-bans from such refusals hold from the next batch on. State that equals a fresh one is dropped, which bounds the tables by
-the keys that were active lately. A key's rows within one batch are one group: the trigger bounds it.
+"""The limits of the ingest path as a chain of stateful stream operators: ban, then session, then address.
+
+Each limit is a processor with arbitrary state (`transformWithStateInPandas`). It is keyed by buckets of the limit's key (a hash modulo
+BUCKETS), holds the bucket's keys in map state and their number in value state, and sweeps keys that act like fresh ones by an
+event-time timer, so state is bounded by the keys that were active lately and by the cap on tracked keys. A cap counts
+within a bucket (its share of the whole). Beyond it a new session or address is refused, while a new offender takes the place of the one
+that was seen first. A bucket's rows within one micro-batch are one group, which the trigger bounds; they are taken in order of
+time, then of request.
+
+What a limit refuses costs nothing at the later ones, and nothing is given back at the earlier ones. Requests that are malformed or too
+large count as bad ones of their address at once; refusals of the session and address limits become notes (`refusals`),
+which the sink writes and the chain reads as a second source, so they count from a following batch on. Unknown addresses share
+no limit and no ban.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from signalfold.session import ship
-from signalfold.streaming.limits import (
-    GLOBAL_BURST, GLOBAL_RATE, SESSION_BURST, SESSION_RATE, UNKNOWN, AddressSessions, BadRequests, TokenBucket,
-)
+from signalfold.streaming.limits import SESSION_BURST, SESSION_RATE, AddressSessions, BadRequests, TokenBucket, known_address
 
-_RESULT = "key string, request string, refused string, state string"
+#: What the chain asks of a request, and what it remembers of one that a later limit refused.
 REQUEST = "request string, ip string, session string, cost double, bad boolean, at timestamp"
+NOTE = "request string, ip string, at timestamp"
+#: Keys that a limit tracks in all (fixed value), and the buckets that share them.
+TRACKED, BUCKETS = 100_000, 64
+SWEEP_SECS = 60.0
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _idle(limit: TokenBucket | AddressSessions | BadRequests, now: float) -> bool:
+@dataclass(frozen=True)
+class Limits:
+    """Settings of the chain, where they are not the usual ones."""
+
+    session: dict[str, float] = field(default_factory=dict)
+    address: dict[str, float] = field(default_factory=dict)
+    bans: dict[str, float] = field(default_factory=dict)
+    tracked: int = TRACKED
+    buckets: int = BUCKETS
+    sweep_secs: float = SWEEP_SECS
+    delay: str = "10 minutes"  # how far behind the latest time a request may be
+
+
+def idle(limit: TokenBucket | AddressSessions | BadRequests, now: float) -> bool:
     """Whether the limit acts like a fresh one from now on."""
     if isinstance(limit, TokenBucket):
         return limit.tokens is None or limit.tokens + max(0.0, now - limit.last) * limit.rate >= limit.burst
@@ -36,88 +59,144 @@ def _idle(limit: TokenBucket | AddressSessions | BadRequests, now: float) -> boo
     return now >= limit.until and (limit.start is None or now - limit.start > limit.window)
 
 
-class Admission:
-    def __init__(
-        self, spark: SparkSession, root: str, session: dict[str, float] | None = None, address: dict[str, float] | None = None, everyone: dict[str, float] | None = None, bans: dict[str, float] | None = None,
-    ):
-        """Settings of each limit, where they are not the usual ones."""
-        self.spark, self.root = spark, root.rstrip("/")
-        self.session = {"rate": SESSION_RATE, "burst": SESSION_BURST} | (session or {})
-        self.address, self.everyone, self.bans = address or {}, {"rate": GLOBAL_RATE, "burst": GLOBAL_BURST} | (everyone or {}), bans or {}
-        ship(spark)
-
-    def _before(self, batch: int) -> int | None:
-        """The latest batch before this one that has a state."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/bans")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-        return max((n for n in (int(x[6:]) for x in names if x.startswith("batch-")) if n < batch), default=None)
-
-    def _state(self, name: str, batch: int | None) -> DataFrame:
-        none = self.spark.createDataFrame([], "key string, state string")
-        if batch is None:
-            return none
-        return self.spark.read.schema(_RESULT).parquet(f"{self.root}/{name}/batch-{batch}").where("state is not null").select("key", "state")
-
-    def _run(self, rows: DataFrame, key: str, name: str, batch: int, before: DataFrame, make: Callable[..., Any], settings: dict, step: Callable[[Any, Any, float], str | None], now: float) -> DataFrame:
-        """(request, refused) of the rows; the state after them is kept under `name`."""
-
-        def run(k: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            limit = make(**(settings | (json.loads(right["state"].iloc[0]) if len(right) else {})))
-            found = [(k[0], r.request, step(limit, r, r.at.timestamp()), None) for r in left.sort_values(["at", "request"]).itertuples()]
-            if not _idle(limit, now):
-                found.append((k[0], None, None, json.dumps(vars(limit))))
-            return pd.DataFrame(found, columns=["key", "request", "refused", "state"], dtype=object)
-
-        keyed = rows.withColumn("key", F.col(key)).groupBy("key").cogroup(before.groupBy("key"))
-        path = f"{self.root}/{name}/batch-{batch}"
-        keyed.applyInPandas(run, _RESULT).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(_RESULT).parquet(path).where("request is not null").select("request", "refused")
-
-    def decide(self, requests: DataFrame, batch: int) -> DataFrame:
-        """requests (REQUEST, one row each, and other columns) with `refused`: null, ban, bad, session, address or global."""
-        before = self._before(batch)
-        rows = requests.select("request", "ip", "session", F.greatest("cost", F.lit(1.0)).alias("cost"), "bad", "at")
-        latest = rows.agg(F.max("at")).first()[0]
-        if latest is None:
-            for name in ("bans", "session", "address", "everyone"):
-                self._state(name, before).select("key", F.lit(None).cast("string").alias("request"), F.lit(None).cast("string").alias("refused"), "state").write.mode("overwrite").parquet(f"{self.root}/{name}/batch-{batch}")
-            return requests.withColumn("refused", F.lit(None).cast("string"))
-        now, known = latest.timestamp(), F.coalesce(~F.trim("ip").isin(*UNKNOWN), F.lit(False))
-        found: list[DataFrame] = []
-
-        def left() -> DataFrame:
-            out = rows
-            for f in found:
-                out = out.join(f.where("refused is not null").select("request"), "request", "left_anti")
-            return out
-
-        def banned(limit: BadRequests, r: Any, at: float) -> str | None:
-            if limit.banned(at):
-                return "ban"
-            if r.bad:
-                limit.record(at)
-                return "bad"
-            return None
-
-        def record(limit: BadRequests, r: Any, at: float) -> None:
-            limit.record(at)
-
-        found.append(self._run(rows.where(known), "ip", "bad", batch, self._state("bans", before), BadRequests, self.bans, banned, now))
-        found.append(rows.where(~known & F.col("bad")).select("request", F.lit("bad").alias("refused")))
-        limits: Iterable[tuple] = (
-            ("session", "session", TokenBucket, self.session, lambda b, r, at: None if b.take(float(r.cost), at) else "session"),
-            ("ip", "address", AddressSessions, self.address, lambda a, r, at: None if a.admit(r.session, at) else "address"),
-            ("everyone", "everyone", TokenBucket, self.everyone, lambda b, r, at: None if b.take(float(r.cost), at) else "global"),
-        )
-        for key, name, make, settings, step in limits:
-            mine = left().withColumn("everyone", F.lit("everyone"))
-            mine = mine.where(known) if key == "ip" else mine
-            found.append(self._run(mine, key, name, batch, self._state(name, before), make, settings, step, now))
-        refused = found[0]
-        for f in found[1:]:
-            refused = refused.unionByName(f)
-        refused = refused.where("refused is not null")
-        late = rows.where(known).join(refused.where("refused in ('session', 'address', 'global')").select("request"), "request", "left_semi")
-        self._run(late, "ip", "bans", batch, self._state("bad", batch), BadRequests, self.bans, record, now)
-        return requests.join(refused, "request", "left")
+class Keyed(StatefulProcessor):
+    """One limit over the keys of a bucket. `step` decides on a row: what refuses it, or None; `applies` says which rows it sees."""
+
+    def __init__(self, name: str, key: str, make: Callable[..., Any], applies: Callable[[Any], bool], step: Callable[[Any, Any, float], str | None], cap: int, sweep_secs: float, evicts: bool):
+        self.name, self.key, self.make, self.applies, self.step = name, key, make, applies, step
+        self.cap, self.sweep_ms, self.evicts = cap, int(sweep_secs * 1000), evicts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getMapState("kept", "key string", "state string")
+        self.number = handle.getValueState("number", "n int")
+
+    def _first_seen(self) -> str:
+        return min(self.kept.iterator(), key=lambda kv: (json.loads(kv[1][0]).get("start") or 0.0, kv[0][0]))[0][0]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["at", "request"], kind="stable")
+        held: dict[str, Any] = {}
+        n = before = (self.number.get() or (0,))[0]
+        verdicts = []
+        for r in frame.itertuples():
+            refused = r.refused if isinstance(r.refused, str) else None
+            if refused is None and self.applies(r):
+                k = getattr(r, self.key)
+                if k not in held:
+                    if self.kept.exists() and self.kept.containsKey((k,)):
+                        held[k] = self.make(**json.loads(self.kept.getValue((k,))[0]))
+                    elif n < self.cap:
+                        held[k], n = self.make(), n + 1
+                    elif self.evicts:
+                        for name, limit in held.items():
+                            self.kept.updateValue((name,), (json.dumps(vars(limit)),))
+                        gone = self._first_seen()
+                        self.kept.removeKey((gone,))
+                        held.pop(gone, None)
+                        held[k] = self.make()
+                refused = self.step(held[k], r, r.at.timestamp()) if k in held else self.name
+            verdicts.append(refused)
+        for k, limit in held.items():
+            self.kept.updateValue((k,), (json.dumps(vars(limit)),))
+        if n != before:
+            self.number.update((n,))
+        if held and not list(self.handle.listTimers()):
+            self.handle.registerTimer(int(frame["at"].iloc[-1].timestamp() * 1000) + self.sweep_ms)
+        frame["refused"] = pd.Series(verdicts, index=frame.index, dtype=object)
+        yield frame
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        entries = list(self.kept.iterator())
+        gone = [k for k, v in entries if idle(self.make(**json.loads(v[0])), now)]
+        for k in gone:
+            self.kept.removeKey(k)
+        left = len(entries) - len(gone)
+        if left:
+            self.number.update((left,))
+            self.handle.registerTimer(int(now * 1000) + self.sweep_ms)
+        else:
+            self.number.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _made(kind: type, settings: dict) -> Callable[..., Any]:
+    return lambda **state: kind(**(settings | state))
+
+
+def _banned(limit: BadRequests, r: Any, now: float) -> str | None:
+    if r.note:
+        limit.record(now)
+        return None
+    if limit.banned(now):
+        return "ban"
+    if r.bad:
+        limit.record(now)
+        return "bad"
+    return None
+
+
+def processors(limits: Limits) -> list[tuple[str, Keyed]]:
+    """(column that is dealt into buckets, processor), in their order."""
+    cap = max(1, -(-limits.tracked // limits.buckets))
+    session = {"rate": SESSION_RATE, "burst": SESSION_BURST} | limits.session
+    return [
+        ("ip", Keyed("ban", "ip", _made(BadRequests, limits.bans), lambda r: known_address(r.ip), _banned, cap, limits.sweep_secs, True)),
+        ("session", Keyed("session", "session", _made(TokenBucket, session), lambda r: not (r.note or r.bad), lambda b, r, now: None if b.take(max(1.0, float(r.cost)), now) else "session", cap, limits.sweep_secs, False)),
+        ("ip", Keyed("address", "ip", _made(AddressSessions, limits.address), lambda r: not (r.note or r.bad) and known_address(r.ip), lambda a, r, now: None if a.admit(r.session, now) else "address", cap, limits.sweep_secs, False)),
+    ]
+
+
+def refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes that sinks left in a folder, as a stream."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return spark.readStream.schema(NOTE).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def write_refusals(decided: DataFrame, folder: str, batch: int) -> None:
+    """Leave notes of a batch's refused requests of known addresses; a batch that is repeated replaces its own."""
+    late = decided.where("refused in ('session', 'address')").select(*(x.split()[0] for x in NOTE.split(", ")))
+    late.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch-{batch}")
+
+
+def decided(requests: DataFrame, limits: Limits, notes: DataFrame | None = None) -> DataFrame:
+    """A stream of requests (REQUEST and other columns) with `refused`: null, ban, bad, session or address."""
+    spark = requests.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the store that arbitrary state needs
+    rows = requests.withColumn("note", F.lit(False))
+    if notes is not None:
+        rows = rows.unionByName(notes.withColumn("note", F.lit(True)), allowMissingColumns=True)
+    rows = rows.withColumn("refused", F.when(F.col("bad") & ~F.coalesce(F.col("ip").isNotNull() & ~F.trim("ip").isin("", "0.0.0.0", "::"), F.lit(False)), "bad")).withWatermark("at", limits.delay)
+    for column, processor in processors(limits):
+        # Rows that the limit doesn't see are spread by their request.
+        spread = F.when(F.col("note") & F.lit(column != "ip"), F.col("request")).otherwise(F.coalesce(F.nullif(column, F.lit("")), "request"))
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(spread), F.lit(limits.buckets)).cast("int"))
+        names = [f.name for f in dealt.schema if f.name != "bucket"]
+        rows = dealt.groupBy("bucket").transformWithStateInPandas(_Named(processor, names), dealt.select(*names).schema, "Append", "EventTime", eventTimeColumnName="at")
+    return rows.where(~F.col("note")).drop("note")
+
+
+class _Named(StatefulProcessor):
+    """A processor whose rows have the columns of its output, in their order."""
+
+    def __init__(self, inner: Keyed, names: list[str]):
+        self.inner, self.names = inner, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in self.inner.handleInputRows(key, rows, timerValues):
+            yield frame[self.names]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        return self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def close(self) -> None:
+        pass

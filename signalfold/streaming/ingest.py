@@ -17,11 +17,10 @@ from signalfold.functions import otlp_values as V
 from signalfold.operators.merge import merge
 from signalfold.operators.reads import ingest_stats
 from signalfold.sources import events, otlp
-from signalfold.streaming.admission import Admission
+from signalfold.streaming.admission import Limits, decided, refusals, write_refusals
 
 #: Rows a batch may wait for at most, in seconds, when it runs on a timer (fixed value).
 TRIGGER = "200 milliseconds"
-RESOURCES = {"logs": "resourceLogs", "spans": "resourceSpans", "metric_points": "resourceMetrics"}
 
 
 class Stats(Counter):
@@ -39,18 +38,28 @@ def requests(spark: SparkSession, folder: str, files_per_batch: int | None = Non
     return reader.load(folder).withColumn("received_at", F.current_timestamp())
 
 
-def admitted(checked: DataFrame, table: str, admission: Admission, batch: int) -> DataFrame:
-    """checked requests (with ip, n_records and outcome) with `refused`: their service counts as the session, their address where there
-    is none, and a request costs its records, before single ones are left out for their size."""
-    service = V.attributes(F.get_json_object("value", f"$.{RESOURCES[table]}[0].resource.attributes"))["service_name"]
-    asked = checked.withColumns({
-        "request": F.col("no").cast("string"), "session": F.coalesce(service, "ip", F.lit("")), "cost": F.col("n_records").cast("double"), "bad": F.col("outcome") != "ok", "at": F.col("received_at")})
-    return admission.decide(asked, batch)
+def judged(batch: DataFrame, table: str) -> DataFrame:
+    """Requests (value, received_at) with `outcome` (ok, or why the request is refused whole) and the counts of their table, row by row."""
+    return events.checked(batch) if table == "events" else otlp.admit(batch, table)
 
 
-def store(root: str, table: str, stats: Stats, admission: Admission | None = None) -> Callable[[DataFrame, int], None]:
-    """The sink of a batch of requests for `table`: requests that are malformed or too large are refused and counted, and
-    the others go on. With `admission`, OTLP requests (which then have an `ip`) also pass its limits."""
+def asking(source: DataFrame, table: str) -> DataFrame:
+    """Requests as the limits see them: their session is the token's or else the first event's, or the service of the first record that is
+    kept, or else their address; they cost their records, before single ones are left out for their size."""
+    df = judged(source, table)
+    if table == "events":
+        first, cost = F.coalesce(F.nullif("b.token", F.lit("")), F.get("b.events", F.lit(0))["session_id"]), F.col("n_events")
+    else:
+        first, cost = V.attributes(F.col("first_resource"))["service_name"], F.col("n_records")
+    text = F.concat_ws("|", "value", "ip", F.col("received_at").cast("string"))
+    return df.select("value", "received_at", "ip", F.sha2(text, 256).alias("request"), F.coalesce(F.nullif(first, F.lit("")), "ip", F.lit("")).alias("session"), cost.cast("double").alias("cost"),
+                     (F.col("outcome") != "ok").alias("bad"), F.col("received_at").alias("at"))
+
+
+def store(root: str, table: str, stats: Stats, notes: str | None = None, stream: str | None = None) -> Callable[[DataFrame, int], None]:
+    """The sink of a batch of requests for `table`: requests that are malformed, too large or `refused` by a limit (if they have that column)
+    are counted, and the others go on. notes: the folder for refusals that count as bad requests. stream: a name under which
+    the table remembers which batches it holds."""
 
     def sink(batch: DataFrame, number: int) -> None:
         held: list[DataFrame] = []
@@ -61,23 +70,29 @@ def store(root: str, table: str, stats: Stats, admission: Admission | None = Non
 
         batch = hold(batch)
         try:
+            if notes:
+                write_refusals(batch, notes, number)
+            if "refused" in batch.columns:
+                stats.update({f"refused_{r.refused}": r.n for r in batch.where("refused <> 'bad'").groupBy("refused").agg(F.count(F.lit(1)).alias("n")).collect()})
+                stats.update({"refused": batch.where("refused <> 'bad'").count()})
+                batch = batch.where("refused is null or refused = 'bad'")
+            found = hold(judged(batch.select("value", "received_at"), table))
             if table == "events":
-                rows, verdicts = events.read_batches(batch)
-                seen = verdicts.agg(F.sum(F.when(F.col("outcome") == "ok", F.col("n_events") - F.col("dropped_skew")).otherwise(0)).alias("received"), F.sum("dropped_skew").alias("dropped_skew"), F.count_if(F.col("outcome") != "ok").alias("refused")).first()
+                rows = events.rows_of(found)
+                seen = found.agg(F.sum(F.when(F.col("outcome") == "ok", F.col("n_events") - F.col("dropped_skew")).otherwise(0)).alias("received"), F.sum("dropped_skew").alias("dropped_skew"), F.count_if(F.col("outcome") != "ok").alias("refused")).first()
                 stats.update({k: v or 0 for k, v in seen.asDict().items()})
             else:
-                checked = hold(otlp.admit(batch, table).withColumn("no", F.monotonically_increasing_id()))
-                if admission:
-                    checked = hold(admitted(checked, table, admission, number).withColumn("outcome", F.coalesce("refused", "outcome")))
-                stats.update(checked.agg(F.count_if(F.col("outcome") != "ok").alias("refused")).first().asDict())
-                taken = checked.where("outcome = 'ok'").select("value", "received_at")
+                stats.update(found.agg(F.count_if(F.col("outcome") != "ok").alias("refused")).first().asDict())
+                taken = found.where("outcome = 'ok'").select("value", "received_at")
                 if table == "spans":
                     stats.update(otlp.invalid_spans(taken).first().asDict())
                 rows, counts = otlp.accept(hold(otlp.FLATTEN[table](taken)), table)
-                found = counts.first().asDict()
-                found["received"] -= found["dropped_oversized"]
-                stats.update(found)
-            stats.update({"inserted": merge(rows, root, table), "flushes": 1})
+                counted = counts.first().asDict()
+                counted["received"] -= counted["dropped_oversized"]
+                stats.update(counted)
+            if not rows.isEmpty():
+                stats.update({"inserted": merge(rows, root, table, (stream, number) if stream else None)})
+            stats.update({"flushes": 1})
         finally:
             for df in held:
                 df.unpersist()
@@ -85,6 +100,20 @@ def store(root: str, table: str, stats: Stats, admission: Admission | None = Non
     return sink
 
 
-def start(source: DataFrame, root: str, table: str, checkpoint: str, stats: Stats, available_now: bool = True) -> StreamingQuery:
-    writer = source.writeStream.foreachBatch(store(root, table, stats)).option("checkpointLocation", checkpoint)
+def start(
+    source: DataFrame, root: str, table: str, checkpoint: str, stats: Stats, available_now: bool = True, limits: Limits | None = None, resent_within: str | None = None,
+) -> StreamingQuery:
+    """Run the ingest of one table. limits: requests (which then have an `ip`) pass the chain of limits first. resent_within: a request
+    whose text came before within that time is left out, so that nothing stored is opened for it; what comes later is found by the merge."""
+    notes = f"{root.rstrip('/')}/_refusals/{table}" if limits else None
+    if limits:
+        source = decided(asking(source, table), limits, refusals(source.sparkSession, notes))
+    if resent_within:
+        text = F.sha2("value", 256)
+        if limits:
+            text = F.when(F.col("refused").isNull(), text).otherwise(F.col("request"))
+        else:
+            source = source.withWatermark("received_at", resent_within)
+        source = source.withColumn("__text", F.coalesce(text, F.lit(""))).dropDuplicatesWithinWatermark(["__text"]).drop("__text")
+    writer = source.writeStream.foreachBatch(store(root, table, stats, notes, checkpoint)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)).start()

@@ -168,24 +168,3 @@ def test_bans_of_unknown_addresses_as_a_stream(spark, tmp_path):
     rows = [[{"ip": "0.0.0.0", "bad": True, "at": f"2024-06-01T00:00:0{i}Z"}] for i in range(3)]
     got = _stream(spark, tmp_path, rows, "ip string, bad boolean, at timestamp", lambda s: limits.ban_limit(s, 2, 60, 60), "unknown_bans")
     assert [r.allowed for r in got.orderBy("at").collect()] == [True] * 3
-
-
-def test_limits_in_their_order_over_batches(spark, tmp_path):
-    from signalfold.streaming.admission import REQUEST, Admission
-
-    def rows(*found):
-        return spark.createDataFrame([(n, ip, s, float(c), bad, datetime(2024, 6, 1, 0, 0, at)) for n, ip, s, c, bad, at in found], REQUEST)
-
-    gate = Admission(spark, f"file://{tmp_path}/state", session={"rate": 0.0, "burst": 3.0}, address={"cap": 1}, everyone={"rate": 0.0, "burst": 7.0}, bans={"threshold": 2, "window": 60.0, "ban": 5.0})
-    first = rows(
-        ("a1", "1", "a", 2, False, 0), ("a2", "1", "a", 2, False, 1), ("a3", "1", "a", 1, False, 2), ("b1", "1", "b", 1, False, 3), ("c1", None, "c", 1, False, 3), ("c2", "0.0.0.0", "d", 0, False, 3),
-        ("x1", "2", "x", 1, True, 3), ("x2", "2", "x", 1, True, 4), ("x3", "2", "x", 1, False, 5), ("u", "", "u", 1, True, 5))
-    want = {"a2": "session", "b1": "address", "x1": "bad", "x2": "bad", "x3": "ban", "u": "bad"}
-    for _ in range(2):  # a repeated batch decides alike
-        got = {r.request: r.refused for r in gate.decide(first, 0).collect()}
-        assert got == {k: want.get(k) for k in got} and len(got) == 10
-    assert gate.decide(first.limit(0), 1).count() == 0
-    # The address of a2 and b1 is banned by now; x's ban is over; two of seven tokens are left for everyone.
-    second = rows(("a4", "1", "a", 1, False, 4), ("x4", "2", "x", 1, False, 10), ("y1", "3", "y", 2, False, 11), ("z1", "4", "z", 1, False, 12), ("y2", "3", "y", 2, False, 13))
-    got = {r.request: r.refused for r in gate.decide(second, 2).collect()}
-    assert got == {"a4": "ban", "x4": None, "y1": "global", "z1": None, "y2": "session"}

@@ -271,18 +271,3 @@ def test_heartbeats(spark):
     rows = spark.createDataFrame([(v,) for v in ['{"id": " a "}', '{"id": "  "}', '{"id": 5}', "{}", "x", None]], "value string").withColumn("received_at", F.current_timestamp())
     beats, refused = read_heartbeats(rows)
     assert [r.id for r in beats.collect()] == ["a"] and refused.first().refused == 5
-
-
-def test_limits_of_the_ingest(spark, tmp_path):
-    from signalfold.streaming.admission import Admission
-
-    def request(service, n, fine=True):
-        records = [{"timeUnixNano": str(NANOS + i), "body": {"stringValue": f"{service}{i}"}} for i in range(n)]
-        return json.dumps({"resourceLogs": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": service}}]}, "scopeLogs": [{"logRecords": records if fine else 5}]}]})
-
-    rows = [(request("a", 2), "1"), (request("a", 2), "1"), (request("b", 3), "2"), (request("c", 1, False), "3"), (request("c", 1), "3"), (request("d", 1), None)]
-    batch = spark.createDataFrame(rows, "value string, ip string").withColumn("received_at", F.timestamp_seconds(F.lit(NANOS // 10**9))).coalesce(1)
-    stats, gate = ingest.Stats(), Admission(spark, f"file://{tmp_path}/limits", session={"rate": 0.0, "burst": 3.0}, bans={"threshold": 1})
-    ingest.store(str(tmp_path / "out"), "logs", stats, gate)(batch, 0)
-    # The second request of a is over its burst, c's first is malformed and bans its address.
-    assert (stats["refused"], stats["received"], stats["inserted"]) == (3, 6, 6)
