@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,13 +30,13 @@ def dedup_batch(batch: DataFrame, table: str) -> DataFrame:
     return first_received(batch, key, ["received_at", *rest])
 
 
-def merge(batch: DataFrame, root: str, table: str, source: tuple[str, int] | None = None) -> int:
+def merge(batch: DataFrame, root: str, table: str, source: tuple[str, int] | None = None, rollups: Iterable[str] = ()) -> int:
     """Insert a batch into the day table in one step that readers see; returns the rows inserted. Repeating a batch inserts nothing,
     and one that its `source` (a stream and the batch's number) has published already is not even looked at.
 
-    Only keys of the days that the batch touches are read.
+    Only keys of the days that the batch touches are read. rollups: those that the table keeps.
     """
-    store = DayTable(batch.sparkSession, root, table)
+    store = DayTable(batch.sparkSession, root, table, rollups=rollups)
     base = store.version()
     if source and store.seen(source, base):
         return 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalfold.functions import predicates as P
-from signalfold.operators import correlate, evaluate, liveness, merge, reads
+from signalfold.operators import baselines, correlate, evaluate, liveness, merge, reads
 from signalfold.operators.rules import Rule
 from signalfold.plans import gate
 from signalfold.plans.fixtures import raw, raw_stream, view, views, with_views
@@ -203,6 +203,25 @@ def anomaly_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["bucket_counts"] = with_views("", "logs").rstrip() + ", " + _BUCKETS + " select bucket, n from b"
 ORACLES["anomaly_zscore"] = with_views("", "logs").rstrip() + ", " + _BUCKETS + f""" select 'odd' as rule, round(((select count(*) from logs_v where log_time between {_W} and severity_number >= 17) - avg(n)) / stddev_pop(n), 6) as value from b"""
 
+
+def _kept_logs(spark: SparkSession, sf_dir: str, tag: str) -> DayTable:
+    """All logs merged in three batches, the oldest rows last, into a table that keeps counts and signatures."""
+    root, v = scratch_path(spark, tag), view(spark, sf_dir, "logs")
+    rows = v.withColumn("log_time", F.col("log_time").cast("timestamp")).withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema("logs") if f.name not in v.columns}).select(*schema("logs").names)
+    for day in (datetime(2024, 1, 29), datetime(2024, 1, 15), datetime(1970, 1, 1)):
+        end = {29: datetime(2200, 1, 1), 15: datetime(2024, 1, 29)}.get(day.day, datetime(2024, 1, 15))
+        merge.merge(rows.where((F.col("log_time") >= F.lit(day)) & (F.col("log_time") < F.lit(end))), root, "logs", rollups=("counts", "signatures"))
+    return DayTable(spark, root, "logs", rollups=("counts", "signatures"))
+
+
+@_query("select 1", "logs")
+def kept_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anomaly and the new signatures of a day against four weeks, from counts that merges kept up."""
+    store = _kept_logs(spark, sf_dir, "baselines")
+    odd = baselines.anomaly(store, _ANOMALY, NOW).select(F.lit("anomaly").alias("group_key"), F.round("value", 6).alias("value"))
+    return odd.unionByName(baselines.new_groups(store, _NEW, NOW).select("group_key", F.col("n").cast("double").alias("value")))
+
+
 _CONDITIONS = (Rule("error_ratio", window_secs=DAY, threshold=0.1), Rule("span_duration", window_secs=DAY, threshold=10_000.0, agg="max"), Rule("telemetry_count", source="events", window_secs=DAY, threshold=5.0))
 
 
@@ -249,6 +268,10 @@ def log_new_signature_sql_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.new_groups(view(spark, sf_dir, "logs"), _NEW, NOW, sql_null_semantics=True)
 
 
+ORACLES["kept_baselines"] = with_views("", "logs").rstrip() + ", " + _BUCKETS + f""" select 'anomaly' as group_key, round(((select count(*) from logs_v where log_time between {_W} and severity_number >= 17) - avg(n)) / stddev_pop(n), 6) as value from b
+    union all select body, cast(count(*) as double) from logs_v where log_time between {_W} and body is not null and body not in ({_KNOWN.format(what='body', more='and body is not null')}) group by body"""
+
+
 # -- joins ---------------------------------------------------------------------------------------------
 @_query("""select e.session_id, e.event_id, e.event_name, e.timestamp_client, l.log_id, l.log_time, cast(l.severity_number as varchar) as severity_number, l.body
     from events_v as e join logs_v as l on e.session_id = l.session_id""", "events", "logs")

@@ -12,6 +12,9 @@ Segments of a day are merged by size tiers: FAN of one tier become one segment,
 times and a day holds at most (FAN - 1) segments a tier beside full ones; `settle` merges what is left of a quiet day. The
 pointer lists (days kept) x (segments of a day), a bound that does not grow with rows.
 
+A table may keep rollups: counts of its rows for each minute and some columns, staged with a batch's rows and published by the same
+rename, so they are as exact as the rows. A late row adds to the minute it belongs to; tiers of counts merge by adding up.
+
 Files are clustered by the columns that reads narrow down (a service and a time, or a metric and a time) and carry Parquet
 Bloom filters on the ids that reads look up, so a read of one trace or session opens only row groups that may hold it.
 """
@@ -29,7 +32,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from signalfold.sources.cold import table_path
 from signalfold.sources.schemas import KEYS, schema
@@ -40,7 +43,14 @@ LEAST_BYTES = 64 << 10
 ROW_GROUP_ROWS = 50_000
 #: Columns that each table is clustered by within a day, and ids with a Bloom filter.
 CLUSTERS = {"events": ["event_name", "timestamp_client"], "logs": ["service_name", "log_time"], "spans": ["service_name", "start_time"], "metric_points": ["metric_name", "time"]}
-LOOKUPS = {"events": ["session_id"], "logs": ["trace_id", "session_id"], "spans": ["trace_id"], "metric_points": []}
+LOOKUPS = {"events": ["session_id"], "logs": ["trace_id", "session_id"], "spans": ["trace_id"], "metric_points": []}#: Rollups a table can keep: columns that its counts are told apart by.
+ROLLUPS = {
+    "events": {"counts": ["event_name", "tenant_id"]},
+    "logs": {"counts": ["service_name", "tenant_id", "severity_number"], "signatures": ["service_name", "tenant_id", "severity_number", "body"]},
+    "spans": {"counts": ["service_name", "name", "tenant_id", "status_code"]},
+    "metric_points": {},
+}
+CELL = "minute"
 
 _TIMES = "spark.sql.parquet.outputTimestampType"
 
@@ -54,6 +64,7 @@ class Segment:
     day: str
     name: str
     bytes: int
+    rollup: str = ""  # of rows, unless it is named
 
 
 @dataclass(frozen=True)
@@ -69,15 +80,16 @@ def tier(size: int, fan: int) -> int:
 
 def due(segments: Iterable[Segment], target: int, fan: int) -> list[list[Segment]]:
     """Segments to merge: those of each day's tiers that are full, of segments under half the target."""
-    tiers: dict[tuple[str, int], list[Segment]] = {}
+    tiers: dict[tuple[str, str, int], list[Segment]] = {}
     for s in segments:
         if s.bytes < target / 2:
-            tiers.setdefault((s.day, tier(s.bytes, fan)), []).append(s)
+            tiers.setdefault((s.rollup, s.day, tier(s.bytes, fan)), []).append(s)
     return [found for _, found in sorted(tiers.items()) if len(found) >= fan]
 
 
 class DayTable:
-    def __init__(self, spark: SparkSession, root: str, table: str, target_bytes: int = TARGET_BYTES, fan: int = FAN, row_group_rows: int = ROW_GROUP_ROWS):
+    def __init__(self, spark: SparkSession, root: str, table: str, target_bytes: int = TARGET_BYTES, fan: int = FAN, row_group_rows: int = ROW_GROUP_ROWS, rollups: Iterable[str] = ()):
+        self.rollups = {name: ROLLUPS[table][name] for name in rollups}
         self.spark, self.table, self.path = spark, table, table_path(root, table)
         self.target, self.fan, self.row_group_rows = target_bytes, fan, row_group_rows
         self.schema, (self.time, self.key) = schema(table), KEYS[table]
@@ -106,8 +118,8 @@ class DayTable:
         return Version(n, tuple(Segment(*s) for s in held["segments"]), held["sources"])
 
     def _publish(self, base: Version, segments: Iterable[Segment], sources: Mapping[str, int]) -> Version:
-        new = Version(base.number + 1, tuple(sorted(segments, key=lambda s: (s.day, s.name))), dict(sources))
-        text = json.dumps({"segments": [[s.day, s.name, s.bytes] for s in new.segments], "sources": new.sources})
+        new = Version(base.number + 1, tuple(sorted(segments, key=lambda s: (s.rollup, s.day, s.name))), dict(sources))
+        text = json.dumps({"segments": [[s.day, s.name, s.bytes, s.rollup] for s in new.segments], "sources": new.sources})
         self._fs.mkdirs(self._at("_versions"))
         aside, place = self._at(f"_versions/.{uuid.uuid4().hex}.tmp"), self._at(f"_versions/v{new.number:012d}.json")
         out = self._fs.create(aside, False)
@@ -124,40 +136,64 @@ class DayTable:
         return new
 
     # -- rows --------------------------------------------------------------------------------------
-    def read(self, days: Iterable[date] | None = None, version: Version | None = None) -> DataFrame:
-        """The rows of a version (the newest now), with their `date`; `days`: only these, others are not opened."""
-        held = self.version() if version is None else version
-        wanted = None if days is None else {d.isoformat() for d in days}
-        folders = [f"{self.path}/date={s.day}/seg={s.name}" for s in held.segments if wanted is None or s.day in wanted]
-        fields = StructType([*self.schema.fields, StructField("date", DateType())])
+    def _folder(self, rollup: str) -> str:
+        return f"{self.path}.{rollup}" if rollup else self.path
+
+    def _fields(self, rollup: str) -> StructType:
+        if not rollup:
+            return StructType([*self.schema.fields, StructField("date", DateType())])
+        return StructType([self.schema[self.time], *(self.schema[c] for c in ROLLUPS[self.table][rollup]), StructField("n", LongType()), StructField("date", DateType())])
+
+    def _open(self, segments: Iterable[Segment], rollup: str) -> DataFrame:
+        fields, path = self._fields(rollup), self._folder(rollup)
+        folders = [f"{path}/date={s.day}/seg={s.name}" for s in segments if s.rollup == rollup]
         if not folders:
             return self.spark.createDataFrame([], fields)
-        return self.spark.read.schema(fields).option("basePath", self.path).parquet(*folders).select(*fields.names)
+        return self.spark.read.schema(fields).option("basePath", path).parquet(*folders).select(*fields.names)
 
-    def _stage(self, rows: DataFrame) -> list[Segment]:
-        """Write rows into files that no version names yet."""
-        name = f"s{uuid.uuid4().hex}"
-        out = rows.select(*self.schema.names, F.to_date(self.time).alias("date"), F.lit(name).alias("seg"))
+    def read(self, days: Iterable[date] | None = None, version: Version | None = None, rollup: str = "") -> DataFrame:
+        """The rows of a version (the newest now), with their `date`, or the counts of one of its rollups, which hold `n` rows of the minute
+        that begins at their time (a minute may come in several parts); `days`: only these, others are not opened."""
+        held = self.version() if version is None else version
+        wanted = None if days is None else {d.isoformat() for d in days}
+        return self._open((s for s in held.segments if wanted is None or s.day in wanted), rollup)
+
+    def _counted(self, rows: DataFrame, rollup: str) -> DataFrame:
+        """Rows (with n, or each for itself) as counts of minutes."""
+        n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+        return rows.groupBy(F.date_trunc(CELL, self.time).alias(self.time), *ROLLUPS[self.table][rollup]).agg(n.alias("n"))
+
+    def _stage(self, rows: DataFrame, rollup: str = "") -> list[Segment]:
+        """Write rows, or their counts, into files that no version names yet."""
+        name, path = f"s{uuid.uuid4().hex}", self._folder(rollup)
+        if rollup:
+            rows = self._counted(rows, rollup)
+            order = [self.time, *ROLLUPS[self.table][rollup]]
+        else:
+            order = [*CLUSTERS[self.table], *self.key]
+        out = rows.select(*(n for n in self._fields(rollup).names if n != "date"), F.to_date(self.time).alias("date"), F.lit(name).alias("seg"))
         # Few files for each day, however many partitions the rows come in; large days keep several.
-        out = out.where(F.col("date").isNotNull()).hint("rebalance", "date").sortWithinPartitions("date", "seg", *CLUSTERS[self.table], *self.key)
+        out = out.where(F.col("date").isNotNull()).hint("rebalance", "date").sortWithinPartitions("date", "seg", *order)
         writer = out.write.mode("append").option("compression", "zstd").option("parquet.block.row.count.limit", self.row_group_rows)
-        for c in LOOKUPS[self.table]:
+        for c in LOOKUPS[self.table] if not rollup else []:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", self.row_group_rows)
         # Times as whole microseconds: the older form has no statistics to skip row groups by.
         kept = self.spark.conf.get(_TIMES, None)
         self.spark.conf.set(_TIMES, "TIMESTAMP_MICROS")
         try:
-            writer.partitionBy("date", "seg").parquet(self.path)
+            writer.partitionBy("date", "seg").parquet(path)
         finally:
             self.spark.conf.unset(_TIMES) if kept is None else self.spark.conf.set(_TIMES, kept)
-        found = self._fs.globStatus(self._at(f"date=*/seg={name}")) or []
-        return [Segment(f.getPath().getParent().getName()[5:], name, int(self._fs.getContentSummary(f.getPath()).getLength())) for f in found]
+        found = self._fs.globStatus(self._jvm.org.apache.hadoop.fs.Path(f"{path}/date=*/seg={name}")) or []
+        return [Segment(f.getPath().getParent().getName()[5:], name, int(self._fs.getContentSummary(f.getPath()).getLength()), rollup) for f in found]
 
     def append(self, rows: DataFrame, source: tuple[str, int] | None = None, base: Version | None = None) -> Version:
         """Publish rows (of a stream's batch, if given) on top of `base`, the newest version unless given; full tiers are then merged."""
         base = self.version() if base is None else base
         sources = dict(base.sources) | ({source[0]: source[1]} if source else {})
         staged = self._stage(rows)
+        for rollup in self.rollups if staged else ():
+            staged += self._stage(rows, rollup)
         if not staged and sources == dict(base.sources):
             return base
         self._publish(base, [*base.segments, *staged], sources)
@@ -170,7 +206,7 @@ class DayTable:
     # -- upkeep ------------------------------------------------------------------------------------
     def _merged(self, base: Version, groups: list[list[Segment]]) -> Version:
         gone = {s for g in groups for s in g}
-        staged = self._stage(self.read(version=Version(base.number, tuple(gone), {})))
+        staged = [made for rollup in sorted({s.rollup for s in gone}) for made in self._stage(self._open(gone, rollup), rollup)]
         return self._publish(base, [*(s for s in base.segments if s not in gone), *staged], base.sources)
 
     def compact(self, days: Iterable[str] | None = None) -> Version:
@@ -188,7 +224,7 @@ class DayTable:
         base, small = self.version(), {}
         for s in base.segments:
             if s.day < before.isoformat() and s.bytes < self.target / 2:
-                small.setdefault(s.day, []).append(s)
+                small.setdefault((s.rollup, s.day), []).append(s)
         groups = [g for g in small.values() if len(g) > 1]
         return self._merged(base, groups) if groups else base
 
@@ -201,19 +237,20 @@ class DayTable:
             self._publish(base, kept, base.sources)
         return len(gone)
 
-    def _folders(self) -> Iterator[tuple[str, str, object]]:
-        for f in self._fs.globStatus(self._at("date=*/seg=*")) or []:
-            yield f.getPath().getParent().getName()[5:], f.getPath().getName()[4:], f
+    def _folders(self) -> Iterator[tuple[str, str, str, object]]:
+        for rollup in ("", *ROLLUPS[self.table]):
+            for f in self._fs.globStatus(self._jvm.org.apache.hadoop.fs.Path(f"{self._folder(rollup)}/date=*/seg=*")) or []:
+                yield rollup, f.getPath().getParent().getName()[5:], f.getPath().getName()[4:], f
 
     def vacuum(self, keep: int = 2, older_secs: float = 3600.0) -> int:
         """Delete pointers but the newest `keep`, and segments that none of these names and that are older than `older_secs`
         (younger ones may belong to a writer that has not published yet); returns how many segments went."""
         numbers = self._numbers()
-        named = {(s.day, s.name) for n in numbers[-keep:] for s in self.version(n).segments}
+        named = {(s.rollup, s.day, s.name) for n in numbers[-keep:] for s in self.version(n).segments}
         for n in numbers[:-keep]:
             self._fs.delete(self._at(f"_versions/v{n:012d}.json"), False)
         gone = 0
-        for day, name, f in self._folders():
-            if (day, name) not in named and time.time() - f.getModificationTime() / 1000 >= older_secs:
+        for rollup, day, name, f in self._folders():
+            if (rollup, day, name) not in named and time.time() - f.getModificationTime() / 1000 >= older_secs:
                 gone += bool(self._fs.delete(f.getPath(), True))
         return gone

@@ -7,7 +7,7 @@ however often its file or batch is delivered.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ def asking(source: DataFrame, table: str) -> DataFrame:
                      (F.col("outcome") != "ok").alias("bad"), F.col("received_at").alias("at"))
 
 
-def store(root: str, table: str, stats: Stats, notes: str | None = None, stream: str | None = None) -> Callable[[DataFrame, int], None]:
+def store(root: str, table: str, stats: Stats, notes: str | None = None, stream: str | None = None, rollups: Iterable[str] = ()) -> Callable[[DataFrame, int], None]:
     """The sink of a batch of requests for `table`: requests that are malformed, too large or `refused` by a limit (if they have that column)
     are counted, and the others go on. notes: the folder for refusals that count as bad requests. stream: a name under which
     the table remembers which batches it holds."""
@@ -91,7 +91,7 @@ def store(root: str, table: str, stats: Stats, notes: str | None = None, stream:
                 counted["received"] -= counted["dropped_oversized"]
                 stats.update(counted)
             if not rows.isEmpty():
-                stats.update({"inserted": merge(rows, root, table, (stream, number) if stream else None)})
+                stats.update({"inserted": merge(rows, root, table, (stream, number) if stream else None, rollups)})
             stats.update({"flushes": 1})
         finally:
             for df in held:
@@ -101,10 +101,10 @@ def store(root: str, table: str, stats: Stats, notes: str | None = None, stream:
 
 
 def start(
-    source: DataFrame, root: str, table: str, checkpoint: str, stats: Stats, available_now: bool = True, limits: Limits | None = None, resent_within: str | None = None,
+    source: DataFrame, root: str, table: str, checkpoint: str, stats: Stats, available_now: bool = True, limits: Limits | None = None, resent_within: str | None = None, rollups: Iterable[str] = (),
 ) -> StreamingQuery:
     """Run the ingest of one table. limits: requests (which then have an `ip`) pass the chain of limits first. resent_within: a request
-    whose text came before within that time is left out, so that nothing stored is opened for it; what comes later is found by the merge."""
+    whose text came before within that time is left out, so that nothing stored is opened for it; what comes later is found by the merge. rollups: counts that the table keeps, for rules to read (operators/baselines.py)."""
     notes = f"{root.rstrip('/')}/_refusals/{table}" if limits else None
     if limits:
         source = decided(asking(source, table), limits, refusals(source.sparkSession, notes))
@@ -115,5 +115,5 @@ def start(
         else:
             source = source.withWatermark("received_at", resent_within)
         source = source.withColumn("__text", F.coalesce(text, F.lit(""))).dropDuplicatesWithinWatermark(["__text"]).drop("__text")
-    writer = source.writeStream.foreachBatch(store(root, table, stats, notes, checkpoint)).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(store(root, table, stats, notes, checkpoint, rollups)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)).start()

@@ -1,8 +1,11 @@
 """Rules: values on seeded rows with known results, validation, texts, and the state machine."""
 
+import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from signalfold.operators import evaluate
 from signalfold.operators.alert_state import Sink, evaluate_once
@@ -168,9 +171,6 @@ def test_parse_defaults_and_texts():
 def test_quantiles_are_exact_at_any_size(spark):
     import random
 
-    import numpy as np
-    from pyspark.sql import functions as F
-
     from signalfold.operators.quantiles import exact_quantiles
 
     rng = random.Random(8)
@@ -178,11 +178,12 @@ def test_quantiles_are_exact_at_any_size(spark):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)] + [(None, -1)], "v double, i int")
     asked = {f"q{q}": (F.col("v"), q) for q in (0.0, 0.1, 0.5, 0.9, 0.95, 0.99, 1.0)} | {"half": (F.when(F.col("i") < 2001, F.col("v")), 0.5), "none": (F.when(F.col("i") > 9000, F.col("v")), 0.5)}
     for few in (10, 10_000):
-        got = exact_quantiles(df, asked, buckets=16, few=few)
+        got = exact_quantiles(df, asked, few=few, passes=(passes := []))
         assert all(np.isclose(got[f"q{q}"], np.quantile(values, q), rtol=1e-12, atol=1e-300) for q in (0.0, 0.1, 0.5, 0.9, 0.95, 0.99, 1.0))
         assert np.isclose(got["half"], np.quantile(values[:2001], 0.5)) and got["none"] is None
+        assert len(passes) <= 5
     odd = spark.createDataFrame([(float(x),) for x in ["inf", "-inf", "nan", "nan", 1, 2, 3]], "v double")
-    got = exact_quantiles(odd, {str(q): (F.col("v"), q) for q in (0.0, 0.5, 1.0)}, buckets=4, few=2)
+    got = exact_quantiles(odd, {str(q): (F.col("v"), q) for q in (0.0, 0.5, 1.0)}, few=2)
     assert got["0.0"] == float("-inf") and got["0.5"] == 3.0 and np.isnan(got["1.0"])
 
 
@@ -206,3 +207,34 @@ def test_channels():
     assert sent[0][2] == channels.payload(alert) and sent[0][1]["A"] == "b" and sent[1][2] == {"channel": "#ops", "text": channels.summary(alert)}
     mails = []
     assert channels.mail({"type": "email", "to": ["a@b.c"]}, "x@y.z", ["d@e.f"], mails.append)(alert) and mails[0]["To"] == "a@b.c" and "FIRING" in mails[0]["Subject"]
+
+
+def test_images_sort_as_their_doubles(spark):
+    import struct
+
+    from signalfold.operators.quantiles import image, value
+
+    rng = np.random.default_rng(4)
+    bits = [struct.unpack("<d", struct.pack("<Q", int(x)))[0] for x in rng.integers(0, 1 << 64, 4000, dtype=np.uint64)]
+    edges = [y for k in range(-1074, 1024) for x in [math.ldexp(1.0, k)] for y in (x, -x, math.nextafter(x, 0), math.nextafter(x, math.inf))]
+    values = [x for x in [*bits, *edges, 0.0, -0.0, math.inf, -math.inf, 1.7976931348623157e308, 5e-324, -5e-324] if not math.isnan(x)]
+    got = [r.x for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(image(F.col("v")).alias("x")).collect()]
+    assert [value(x) for x in got] == values
+    assert spark.sql("select double('nan') as v").select(image(F.col("v")).alias("x")).first().x > max(got) and math.isnan(value(0x7FF8 << 48))
+
+
+def test_quantiles_take_five_passes_at_most(spark):
+    """Values spread over all magnitudes, and a tail of infinities and NaN."""
+    from signalfold.operators.quantiles import exact_quantiles
+
+    df = spark.range(20_000).select(F.pow(F.lit(10.0), (F.col("id") * 599 / 19_999) - 300).alias("v"), (F.col("id") % 2 == 0).alias("even"))
+    asked = {str(q): (F.col("v"), q) for q in (0.0, 0.25, 0.5, 0.99, 1.0)} | {"even": (F.when(F.col("even"), F.col("v")), 0.5), "none": (F.lit(None).cast("double"), 0.5)}
+    passes = []
+    got = exact_quantiles(df, asked, few=0, passes=passes)
+    values = np.sort([r.v for r in df.collect()])
+    assert passes == ["count"] * 5 and got["none"] is None
+    assert all(got[str(q)] == pytest.approx(float(np.quantile(values, q)), rel=1e-12) for q in (0.0, 0.25, 0.5, 0.99, 1.0))
+    tail = spark.createDataFrame([(x,) for x in [-math.inf, -0.0, 0.0, 1.0, math.inf, math.nan, math.nan]], "v double")
+    for few in (0, 2, 50):
+        odd = exact_quantiles(tail, {str(k): (F.col("v"), k / 6) for k in range(7)}, few=few, passes=(passes := []))
+        assert [odd[str(k)] for k in range(5)] == [-math.inf, 0.0, 0.0, 1.0, math.inf] and all(math.isnan(odd[str(k)]) for k in (5, 6)) and len(passes) <= 5
