@@ -7,7 +7,8 @@ shuffle, as digests. They are grouped by the full digest, so a false positive co
 
 Texts never shuffle, at any size: a row is known by its place (file and row number), and `deduplicate` reads the rows
 again without those at the places to drop, which are broadcast; where there are more places than a broadcast
-may hold, for one group of files after another. A table that is not read straight from files is written once for that.
+may hold, for one group of files after another, and within a group that still has too many for one set of row ranges after
+another: each part's places are counted before they are broadcast. A table that is not read straight from files is written once for that.
 
 Defined cases: a null text equals the empty one; a null doc_id ranks after every other; doc_id may be of any type
 with an order; rows that repeat a doc_id with equal texts count in group_size and are all marked kept in `classify` (the
@@ -103,21 +104,48 @@ class BloomDedup:
         """Places (file, row) of the rows that go."""
         return self._resolve(self.probed.where("__maybe")).where("file <> keep_file or row <> keep_row").select("file", "row")
 
-    def without(self, gone: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
-        """The rows of one of `parts` groups of files, but for those at the places `gone`, which are broadcast."""
+    def without(self, gone: DataFrame, files: tuple[int, int] = (0, 1), ranges: tuple[int, int] = (0, 1)) -> DataFrame:
+        """The rows of a part (one of so many groups of files, and of sets of row ranges in these), but for those at the places `gone`,
+        of which the part's own are broadcast."""
         file, row = place(self.docs)
         rows = self.docs.select(F.struct("*").alias("__row"), file.alias("file"), row.alias("row"))
-        if parts > 1:
-            rows, gone = (x.where(F.pmod("file", F.lit(parts)) == part) for x in (rows, gone))
-        return rows.join(F.broadcast(gone), ["file", "row"], "left_anti").select("__row.*")
+        mine = self._part(files, ranges)
+        return rows.where(mine).join(F.broadcast(gone.where(mine)), ["file", "row"], "left_anti").select("__row.*")
+
+    def _part(self, files: tuple[int, int], ranges: tuple[int, int]) -> Column:
+        part = F.lit(True)
+        if files[1] > 1:
+            part = part & (F.pmod("file", F.lit(files[1])) == files[0])
+        return part if ranges[1] == 1 else part & (self._range(ranges[1]) == ranges[0])
+
+    def _range(self, n: int) -> Column:
+        """The set, of n, of a row's range; a range has a sixteenth of the bound, so that enough sets always keep within it."""
+        return F.pmod(F.xxhash64("file", F.floor(F.col("row") / max(1, self.bound // 16))), F.lit(n))
+
+    def _parts(self, gone: DataFrame) -> list[tuple[tuple[int, int], tuple[int, int], int]]:
+        """Parts of the table and how many places each drops, none over the bound."""
+        n = max(1, -(-gone.count() // max(1, self.bound)))
+        out = []
+        for group in range(n):
+            mine = gone.where(self._part((group, n), (0, 1)))
+            total = mine.count()
+            sets = max(1, -(-total // max(1, self.bound)))
+            while True:
+                # As many rows as there are sets.
+                counts = {0: total} if sets == 1 else {r.k: r.n for r in mine.groupBy(self._range(sets).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+                if max(counts.values(), default=0) <= self.bound:
+                    break
+                sets *= 2
+            out += [((group, n), (k, sets), counts.get(k, 0)) for k in range(sets)]
+        return out
 
     def deduplicate(self) -> DataFrame:
         """The input rows that stay, with all their columns."""
         gone = materialize(self.dropped(), "dropped")
-        parts = -(-gone.count() // max(1, self.bound))
-        if parts <= 1:
+        parts = self._parts(gone)
+        if len(parts) == 1:
             return self.without(gone)
         out = scratch_path(self.docs.sparkSession, "kept")
-        for part in range(parts):
-            self.without(gone, part, parts).write.mode("append").parquet(out)
+        for files, ranges, _ in parts:
+            self.without(gone, files, ranges).write.mode("append").parquet(out)
         return self.docs.sparkSession.read.schema(self.docs.schema).parquet(out)

@@ -12,8 +12,9 @@ Layout, little-endian: b"RANS", u32 version, u32 bytes of the packed table, u32
 u32, then frequencies as u32, which sum to 2^SCALE); for each block u32 ids, u32 CRC-32, u32 checkpoints,
 u32 words, u32 lanes, then the checkpoints (u32 step, u32 word, a u64 state for each lane), then the words.
 
-Defined cases: a null text is empty and holds the end id alone; null doc_ids come first, equal doc_ids in order
-of their text; an empty table makes no shard and an empty result; a document longer than a shard has one of its own.
+Defined cases: a null text is empty and holds the end id alone; doc_id may be of any type with an order, and integers of any
+width count as long; null doc_ids come first, equal doc_ids in order of their text; an empty table makes no shard and an empty
+result; a document longer than a shard has one of its own; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalfold.llm.bpe import RunTable, byte_alphabet, encoded
 from signalfold.llm.store import ship, slices
@@ -38,7 +40,11 @@ from signalfold.llm.store import ship, slices
 MAGIC, VERSION = b"RANS", 2
 SCALE, LANES, STEPS, BLOCK_IDS, SHARD_IDS, CHECKPOINT = 20, 4096, 32, 1 << 20, 1 << 22, 128
 LOW = np.uint64(1 << 31)
-SHARD = "part int, seq int, n_ids long, doc_ids array<long>, counts array<int>, payload binary"
+
+
+def _shard(kind: str) -> str:
+    """Columns of a shard of documents whose doc_id has this type."""
+    return f"part int, seq int, n_ids long, doc_ids array<{kind}>, counts array<int>, payload binary"
 
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +200,11 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> No
     """Encode docs (doc_id, text), add end_id to each and write shards in order of doc_id under `out`."""
     ship(docs.sparkSession)
     parts = max(1, docs.rdd.getNumPartitions())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.schema["doc_id"].dataType
+    kind = "bigint" if isinstance(own, T.IntegralType) else own.simpleString()
+    rows = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
     ordered = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    types = {"part": pa.int32(), "seq": pa.int32(), "n_ids": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "payload": pa.binary()}
+    types = {"part": pa.int32(), "seq": pa.int32(), "n_ids": pa.int64(), "doc_ids": None, "counts": pa.list_(pa.int32()), "payload": pa.binary()}
 
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _library(vocabulary), TaskContext.get().partitionId(), 0
@@ -204,7 +212,8 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> No
 
         def flush() -> pa.RecordBatch:
             row = {"part": part, "seq": seq, "n_ids": held, "doc_ids": pa.concat_arrays(doc_ids), "counts": np.concatenate(counts), "payload": encode_shard(np.concatenate(ids))}
-            return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in types.items()], names=list(types))
+            kinds = types | {"doc_ids": pa.list_(doc_ids[0].type)}
+            return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
 
         for whole in it:
             for b in slices(whole, 1):
@@ -228,13 +237,14 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str, end_id: int = 1) -> No
         if held:
             yield flush()
 
-    ordered.mapInArrow(shards, SHARD).write.parquet(out)
+    ordered.mapInArrow(shards, _shard(kind)).write.parquet(out)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document from the shards at `path`: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids."""
     ship(spark)
-    shards = spark.read.schema(SHARD).parquet(path)
+    shards = spark.read.parquet(path)
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     # Offsets: one row for each task that wrote, summed in order of the tasks.
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     firsts, at = [], 0
@@ -245,17 +255,17 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     inside = shards.select("part", "seq", "n_ids").alias("a").join(shards.select("part", "seq", "n_ids").alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.seq") < F.col("a.seq")), "left")
     offset = inside.groupBy("a.part", "a.seq").agg(F.coalesce(F.sum("b.n_ids"), F.lit(0)).alias("before"))
     offset = offset.join(F.broadcast(first), "part").select("part", "seq", (F.col("before") + F.col("first")).alias("start"))
-    made = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    made = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def documents(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in range(b.num_rows):
-                start, doc_ids, counts, payload = (b.column(c)[r].as_py() for c in range(4))
+                start, counts, payload = (b.column(c)[r].as_py() for c in (0, 2, 3))
                 ids, n = ShardReader(payload).ids(), np.array(counts, np.int64)
                 ends = np.cumsum(n)
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - c):4 * e]) for e, c in zip(ends.tolist(), counts, strict=True)]
-                cols = [pa.array(doc_ids, pa.int64()), pa.array(start + ends - n, pa.int64()), pa.array(n), pa.array(crc, pa.int64())]
+                cols = [b.column(1)[r].values, pa.array(start + ends - n, pa.int64()), pa.array(n), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])

@@ -10,7 +10,7 @@ words that toxic rows hold far more often than clean rows: mild below the first
 and extreme. The model is fitted on a hash sample of at most SAMPLE_ROWS labelled documents.
 
 The labels know no grades, so the ordinal target is the model's own reading of them: only the first threshold, toxic or
-not, can be held against labels that were kept back; the README has both errors.
+not, can be held against labels that were kept back; the higher grades can only be held against that reading, as a test does.
 
 Defined cases: null and empty texts, and any text where no label was learnt, have severity 0 and are not toxic;
 repeated rows get equal results, ties cannot arise; an empty table gives an empty result; long texts are read whole;

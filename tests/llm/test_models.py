@@ -143,3 +143,91 @@ def test_rare_languages_are_learnt(spark):
     model = langid.train(docs, bound=200)
     assert model.languages == ["en", "fr"] and model.predict("le chat")[0] == "fr" and langid.has_letter("日") and not langid.has_letter("😀 1")
     assert langid.counts("日 a 😀")[0].tolist() == langid.counts("日 a ☃")[0].tolist()
+
+
+def test_language_model_by_its_definition(spark):
+    """Document frequencies, TF-IDF rows and the softmax, by dictionaries of n-grams."""
+    rows = [r for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang").collect() if r.lang and r.doc_id % 5 == 0]
+    docs = spark.createDataFrame(rows)
+    model = langid.train(docs, bound=100)
+
+    def grams(text):
+        chars = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        found = {}
+        for n in (1, 2, 3):
+            for i in range(len(chars) - n + 1):
+                h = 0
+                for c, prime in zip(chars[i:i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                    h ^= ord(c) * prime & 0xFFFFFFFF
+                k = ((h + n - 1) * 0xC2B2AE3D & 0xFFFFFFFF) >> (32 - langid.BITS)
+                found[k] = found.get(k, 0) + 1
+        return found
+
+    lettered = [r.text for r in rows if r.text and any(c.isalpha() for c in r.text)]
+    df = {}
+    for t in lettered:
+        for k in grams(t):
+            df[k] = df.get(k, 0) + 1
+    assert all(np.isclose(model.idf[k], np.log((1 + len(lettered)) / (1 + df.get(k, 0))) + 1) for k in range(1 << langid.BITS))
+    got = {(r.text): (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for t in [*lettered[:40], max(lettered, key=len)]:
+        x = {k: np.log1p(n) * model.idf[k] for k, n in grams(t).items()}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        logits = sum(v / size * model.weights[k] for k, v in x.items()) / model.temperature
+        p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert got[t][0] == model.languages[int(p.argmax())] and np.isclose(got[t][1], p.max())
+
+
+def test_quality_model_by_its_definition(spark):
+    """Ridge on dense features of all learning rows, and isotonic means by the max-min formula."""
+    docs, labels = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    joined = docs.join(labels, "doc_id").select("doc_id", "text", "quality", (F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(4)) == 0).alias("back")).orderBy("doc_id").collect()
+    x = np.array([quality.statistics(r.text) for r in joined])
+    y, back = np.array([r.quality for r in joined], float), np.array([r.back for r in joined])
+    mean, deviation = x[~back].mean(axis=0), np.maximum(x[~back].std(axis=0), 1e-6)
+    rng, d = np.random.default_rng(quality.SEED), x.shape[1]
+    projection, phase = rng.normal(size=(d, quality.FEATURES)) / np.sqrt(2 * d), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((x - mean) / deviation, -6, 6) @ projection + phase)
+    z = np.c_[z, np.ones(len(z))]
+    penalty = np.sqrt(quality.RIDGE * (~back).sum() / quality.FEATURES) * np.eye(z.shape[1])
+    weights = np.linalg.lstsq(np.r_[z[~back], penalty], np.r_[y[~back], np.zeros(z.shape[1])], rcond=None)[0]
+    raw = z @ weights
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    order = np.argsort(raw[back], kind="stable")
+    at, target = raw[back][order], y[back][order]
+    sums = np.r_[0, np.cumsum(target)]
+    n = len(at)
+    fitted = [max(min((sums[k] - sums[j]) / (k - j) for k in range(i + 1, n + 1)) for j in range(i + 1)) for i in range(n)]
+    cuts = [0, *(i for i in range(1, n) if not np.isclose(fitted[i], fitted[i - 1])), n]
+    centres, means = np.array([at[a:b].mean() for a, b in zip(cuts, cuts[1:])]), np.array([fitted[a] for a in cuts[:-1]])
+    want = np.clip(0.999 * np.interp(raw, centres, means) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+    got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    assert np.allclose([got[r.doc_id] for r in joined], want, atol=1e-5)
+
+
+def test_repeated_rows_and_long_texts_score_alike(spark):
+    """Equal texts of any length, one beyond a slice, in any partition."""
+    base = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    long = "the quick brown fox. " * 120_000
+    rows = [(i, t) for t in (long, "", None, "two words") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for scored in (quality.score(docs, quality.train(base, labels)), langid.predict(docs, langid.train(base, bound=200)), toxicity.score(docs, toxicity.train(base, labels))):
+        results = {}
+        for r in scored.collect():
+            results.setdefault(r.text, set()).add(tuple(v for k, v in r.asDict().items() if k not in ("doc_id", "text")))
+        assert len(results) == 4 and all(len(v) == 1 for v in results.values())
+
+
+def test_grades_of_held_out_toxic_rows_follow_the_models_own_reading(spark):
+    """How far the grade is from the count of marker words that grades training rows, on toxic rows that were kept back."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{base}/{n}.parquet") for n in ("documents", "labels"))
+    back = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.train(docs.select("doc_id", "text"), labels.where(~back))
+    rows = toxicity.score(docs.join(labels, "doc_id").select("doc_id", "text", "toxic", back.alias("back")).withColumnRenamed("toxic", "is_toxic"), model).collect()
+    target = toxicity._grades([toxicity.features(r.text) for r in rows], np.array([bool(r.is_toxic) for r in rows]))
+    error = [abs(r.severity - g) for r, g in zip(rows, target, strict=True) if r.back and r.is_toxic]
+    print("mean error of the severity, held-out toxic rows:", np.mean(error), "rows", len(error), "constant guess", np.mean(np.abs(target[target > 0] - np.median(target[target > 0]))))
+    assert len(error) > 100 and np.mean(error) < 0.5

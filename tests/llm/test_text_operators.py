@@ -60,12 +60,19 @@ def test_exact_dedup_never_shuffles_texts(spark, texts, tmp_path):
     found = BloomDedup(docs, bound=20)  # rows of a broadcast: the bit table no longer fits, nor do the places
     few = found.deduplicate()
     assert few.exceptAll(whole).isEmpty() and few.count() == whole.count() and few.columns == docs.columns
-    plan = found.without(materialize(found.dropped(), "gone"), 1, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = found.without(materialize(found.dropped(), "gone"), (1, 3), (1, 2))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 1 and plan.count("Exchange") == plan.count("BroadcastExchange") and "SortMergeJoin" not in plan
     best = {}
     for i, t in enumerate(texts):
         best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append(i)
     assert sorted(r.doc_id for r in whole.collect()) == sorted(min(g, key=lambda i: (-len(texts[i] or ""), i)) for g in best.values())
+    one = materialize(docs.coalesce(1), "one-file")
+    short = BloomDedup(one, bound=7)  # all places to drop are in one file, over ten times the bound
+    gone = materialize(short.dropped(), "gone")
+    parts = short._parts(gone)
+    assert gone.count() > 70 and max(n for _, _, n in parts) <= 7 and sum(n for _, _, n in parts) == gone.count()
+    assert all(gone.where(short._part(files, ranges)).count() == n for files, ranges, n in parts)
+    assert short.deduplicate().exceptAll(whole).isEmpty() and short.deduplicate().count() == whole.count()
     named = BloomDedup(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).deduplicate()
     assert named.count() == whole.count() and "text" in named.columns
 
@@ -419,6 +426,11 @@ def test_token_files_round_trip(spark, texts, library, tmp_path, monkeypatch):
         assert (got[i].start, got[i].n_tokens, got[i].ids, got[i].ids_crc32) == (at, len(want), want, zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     assert spark.read.parquet(f"{tmp_path}/ids").select("seq").distinct().count() > 1
+    odd = spark.createDataFrame([("b", "two words"), ("a", None), (None, "null id"), ("b", "a first"), ("b", "two words")], "doc_id string, text string").withColumns({"part": F.lit("x"), "payload": F.lit(1)})
+    rans.write_ids(odd.repartition(3), vocabulary(), f"{tmp_path}/odd")
+    rows = sorted(rans.read_ids(spark, f"{tmp_path}/odd", with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, "a", "b", "b", "b"] and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(5)]
+    assert [r.ids[:-1] for r in rows] == [library.encode(t, add_special_tokens=False).ids for t in ("null id", "", "a first", "two words", "two words")]
     rans.write_ids(table(spark, []), vocabulary(), f"{tmp_path}/none")
     assert rans.read_ids(spark, f"{tmp_path}/none").count() == 0
 
