@@ -14,8 +14,8 @@
    rarest common number is the list's agrees T - 1 times more among what follows it, so its texts post under the
    rarest of those numbers (as counted in the list), and texts with too few that anyone shares go (skipping). Numbers that
    more than half of the list holds do not split it: who holds enough of them stays in a list of its own.
-   Chunks of bounded size then count collisions on signatures alone and keep the pairs that reach T; these are
-   compared. Where that keeps more than DENSE pairs a text, the chunk's texts are compared as one matrix product of
+   Chunks of bounded size then count collisions on signatures alone and keep the pairs that reach T, each in the first
+   of the lists that both texts are in; these are compared. Where that keeps more than DENSE pairs a text, the chunk's texts are compared as one matrix product of
    common shingles instead, which returns a spanning forest of the links, at most one row for each text.
 4. Comparisons are exact on the full shingle sets; components come from contraction (see components.py).
 
@@ -46,8 +46,8 @@ COORDINATES, MISS, SHORT, PIVOTS = 24, 2e-7, 32, 2
 PIVOT_BYTES = 32 << 20
 #: Texts and shingles of a chunk of a long list, and columns of a block of the matrix product.
 CHUNK_TEXTS, CHUNK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
-#: Pairs a text that a chunk gives one by one.
-DENSE = 8
+#: Pairs for each text in them up to which a chunk gives them one by one (each takes two texts along), and texts apart from which a list is split: more chunks than its signatures have numbers.
+DENSE, WIDE = 0.5, COORDINATES * CHUNK_TEXTS
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
 
 
@@ -238,15 +238,17 @@ class Linker:
         if few.isEmpty():
             return links
         held = heavy_light_join(rows.select("tok", "node", "apart"), few, ["tok"], "size")
-        own = held.select("tok", "node", "apart", "few")
-        groups = own.where(F.col("few") <= CHUNK_TEXTS).select(F.col("tok").alias("g"), "node", "apart")
-        wide = own.where(F.col("few") > CHUNK_TEXTS).join(self.posted.select("node", "toks"), "node")
-        after = F.expr("slice(toks, cast(array_position(toks, tok) as int) + 1, size(toks))")
-        wide, need = materialize(wide.select(F.col("tok").alias("g"), "node", "apart", after.alias("rest")), "wide"), self.t - 1
+        own = held.select(F.col("tok").alias("g"), "node", "apart", F.shiftright("tok", 32).cast("int").alias("c"), "few")
+        groups, wide = own.where(F.col("few") <= WIDE).drop("few"), own.where(F.col("few") > WIDE)
+        if few.where(F.col("few") > WIDE).isEmpty():
+            return links.unionByName(self._meet(groups))
+        after = F.expr("slice(toks, cast(array_position(toks, g) as int) + 1, size(toks))")
+        wide = wide.join(self.posted.select("node", "toks"), "node").select("g", "node", "apart", after.alias("rest"))
+        wide, need = materialize(wide, "wide"), self.t - 1
         while need > 0 and not wide.isEmpty():
             ready, wide = self._split(wide, need)
-            groups, need = groups.unionByName(ready), need - 1
-        return links.unionByName(self._meet(groups.unionByName(wide.select("g", "node", "apart"))))
+            groups, need = groups.unionByName(ready.withColumn("c", F.lit(None).cast("int"))), need - 1
+        return links.unionByName(self._meet(groups.unionByName(wide.select("g", "node", "apart", F.lit(None).cast("int").alias("c")))))
 
     @staticmethod
     def _split(groups: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
@@ -275,13 +277,15 @@ class Linker:
         whole = heavy_light_join(groups.select("g", "node", "apart"), judged.where("not better"), ["g"], "size")
         kept = materialize(left.join(broadcast_if_small(judged.where("better").select("g")), "g", "left_semi"), "split-kept")
         sized = materialize(heavy_light_join(parts, kept, ["g", "part"], "size").select(F.col("part").alias("g"), "node", "apart", "rest", "few"), "split-parts")
-        done = (F.col("few") <= CHUNK_TEXTS) | (F.size("rest") == 0)
+        done = (F.col("few") <= WIDE) | (F.size("rest") == 0)
         ready = whole.select("g", "node", "apart").unionByName(sized.where(done).select("g", "node", "apart"))
         return materialize(ready, "split-ready"), materialize(sized.where(~done).select("g", "node", "apart", "rest"), "wide")
 
     def _meet(self, groups: DataFrame) -> DataFrame:
-        """The links (a, b) of the texts apart in each group (g, node, apart) with the group's others, up to connectedness."""
-        rows = materialize(groups.distinct().join(self.signed, "node"), "meeting")
+        """The links (a, b) of the texts apart in each group (g, node, apart) with the group's others, up to connectedness.
+        c: the place in the signature that all of the group agree on, if the group is a whole list."""
+        lists = groups.groupBy("node").agg(F.coalesce(F.bit_or(F.expr("shiftleft(1, c)")), F.lit(0)).alias("lists"))
+        rows = materialize(groups.distinct().join(lists.join(self.signed, "node"), "node"), "meeting")
         apart = F.col("apart")
         sums = rows.groupBy("g").agg(F.count_if(apart).alias("few"), F.sum(F.when(apart, F.col("n")).otherwise(0)).alias("few_shingles"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
 
@@ -295,18 +299,22 @@ class Linker:
         def each(n: str) -> Column:
             return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-        lefts = dealt.where("apart").select("g", "node", "apart", "n", "sig", F.pmod(place, F.col("left")).alias("i"), each("right").alias("j"), F.lit(False).alias("right"))
-        rights = dealt.select("g", "node", "apart", "n", "sig", each("left").alias("i"), F.pmod(place, F.col("right")).alias("j"), F.lit(True).alias("right"))
+        lefts = dealt.where("apart").select("g", "c", "node", "apart", "n", "sig", "lists", F.pmod(place, F.col("left")).alias("i"), each("right").alias("j"), F.lit(False).alias("right"))
+        rights = dealt.select("g", "c", "node", "apart", "n", "sig", "lists", each("left").alias("i"), F.pmod(place, F.col("right")).alias("j"), F.lit(True).alias("right"))
         k, percent, t = self.k, self.percent, self.t
 
         def close(rows: pd.DataFrame) -> pd.DataFrame:
             nodes, right, apart = (rows[c].to_numpy() for c in ("node", "right", "apart"))
-            a, b = agreeing_pairs(np.stack(rows["sig"].to_list()), rows["n"].to_numpy(), right, t, percent)
+            sig, lists, c = np.stack(rows["sig"].to_list()), rows["lists"].to_numpy(), rows["c"].iloc[0]
+            a, b = agreeing_pairs(sig, rows["n"].to_numpy(), right, t, percent)
             once = (nodes[a] != nodes[b]) & ~(apart[b] & (nodes[a] > nodes[b]))
+            if not pd.isna(c):  # earlier lists that both are in have the pair
+                for k in range(int(c)):
+                    once &= (lists[a] & lists[b] & (1 << k) == 0) | (sig[a, k] != sig[b, k])
             a, b = a[once], b[once]
-            if len(a) <= DENSE * len(nodes):
-                return pd.DataFrame({"a": nodes[a], "b": nodes[b], "g": None, "i": None, "j": None, "right": None})
             own = np.concatenate([np.unique(a), np.unique(b)])
+            if len(a) <= DENSE * len(own):
+                return pd.DataFrame({"a": nodes[a], "b": nodes[b], "g": None, "i": None, "j": None, "right": None})
             return pd.DataFrame({"a": nodes[own], "b": None, "right": right[own]}).assign(**{c: rows[c].iloc[0] for c in "gij"})[["a", "b", "g", "i", "j", "right"]]
 
         cells = lefts.unionByName(rights).groupBy("g", "i", "j")

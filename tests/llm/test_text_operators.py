@@ -147,6 +147,7 @@ def test_a_group_of_copies_is_work_in_proportion(spark, monkeypatch):
 def test_texts_that_share_a_passage_are_work_in_proportion(spark, monkeypatch):
     """Texts with one passage in common and a few linked ones among them: lists of all of them, in which nobody has a pivot's text."""
     monkeypatch.setattr(minhash, "CHUNK_TEXTS", 24)
+    monkeypatch.setattr(minhash, "WIDE", 24)
     made = {}
     for n in (150, 300):
         rng, rows = random.Random(8), []
@@ -172,8 +173,9 @@ def test_dense_chunks_and_split_lists_lose_no_link(spark, monkeypatch):
             w[j] = f"n{rng.randint(0, 40)}"
         many.append(" ".join(w))
     monkeypatch.setattr(minhash, "CHUNK_TEXTS", 20)
-    for dense in (0, 3, 1000):
+    for dense, wide in ((0, 20), (0, 1000), (3, 1000), (1000, 20), (1000, 1000)):
         monkeypatch.setattr(minhash, "DENSE", dense)
+        monkeypatch.setattr(minhash, "WIDE", wide)
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, many), 3, 85).collect()}
         assert got == brute_components(many, 3, 85)
 
