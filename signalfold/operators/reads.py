@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalfold.functions import predicates as P
 from signalfold.functions.params import JOURNEY_LIMIT, JOURNEY_LIMIT_MAX, clamp_limit, parse_instant
+from signalfold.operators import journeys
 
 LOG_COLUMNS = ("log_time", "severity_number", "severity_text", "body", "service_name", "trace_id", "tenant_id", "actor_id", "session_id", "log_attributes")
 EVENT_COLUMNS = ("event_id", "event_name", "tenant_id", "actor_id", "session_id", "timestamp_client", "properties")
@@ -56,17 +57,10 @@ def trace_document(spans: DataFrame, trace_id: str) -> dict:
     return {"trace_id": trace_id, "span_count": len(rows), "spans": rows}
 
 
-def session_paths(events: DataFrame) -> DataFrame:
-    """Each session's event names in order. Sessions are pre-aggregated per task; a session's rows meet in one group."""
-    steps = F.array_sort(F.collect_list(F.struct("timestamp_client", "event_id", "event_name")))
-    return events.groupBy("session_id").agg(F.transform(steps, lambda s: s["event_name"]).alias("path"))
-
-
 def frequent_journeys(events: DataFrame, actor: str | None = None, tenant: str | None = None, limit: int | None = None) -> DataFrame:
     """Sequences of event names and how many sessions have them; filters act before sequencing."""
     mine = events.where(P.all_of(P.equals(actor_id=actor, tenant_id=tenant)))
-    n = clamp_limit(limit, JOURNEY_LIMIT, JOURNEY_LIMIT_MAX)
-    return session_paths(mine).groupBy("path").agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "path").limit(n)
+    return journeys.frequent(mine, clamp_limit(limit, JOURNEY_LIMIT, JOURNEY_LIMIT_MAX))
 
 
 def ingest_stats(received: int, inserted: int, **others: int) -> dict[str, int]:

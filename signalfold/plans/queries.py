@@ -446,10 +446,26 @@ def companion_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return liveness.liveness(beats, expected, NOW).select("id", "timeout_secs", "last_seen", "silent_secs", "down")
 
 
+@_query(""", t as (select k, timestamp '2024-01-02 00:00:00' + k * interval 6 hour as due from (select unnest(range(0, 113)) as k) as x),
+    i as (select distinct concat('user-', cast(user_id as varchar)) as id from events union all select 'user-none'),
+    heard as (select i.id, t.k, t.due, max(e.timestamp_client) as seen from i cross join t left join events_v as e on e.actor_id = i.id and e.timestamp_client <= t.due group by i.id, t.k, t.due),
+    d as (select *, epoch_us(due) - epoch_us(seen) as silent from heard),
+    c as (select *, coalesce(silent > 43200000000, true) as down, lag(coalesce(silent > 43200000000, true), 1, false) over (partition by id order by k) as was from d)
+    select id, epoch_us(due) as "at", case when down then 'firing' else 'resolved' end as state, cast(coalesce(silent // 1000000, 0) as double) as value, cast(43200 as double) as threshold,
+           concat('companion ', chr(39), id, chr(39), case when seen is null then ' never seen' else concat(' silent for ', cast(silent // 1000000 as varchar), 's (timeout 43200s)') end) as description
+    from c where was <> down""", "events")
+def liveness_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user is expected to be heard of twice a day; what evaluations every six hours report in four weeks."""
+    beats = view(spark, sf_dir, "events").select(F.col("actor_id").alias("id"), F.col("timestamp_client").alias("ts"))
+    expected = raw(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("id")).distinct()
+    expected = expected.unionByName(spark.range(1).select(F.lit("user-none").alias("id"))).withColumn("timeout_secs", F.lit(43_200).cast("bigint"))
+    return liveness.transitions(beats, expected, datetime(2024, 1, 2), 113, 21_600).withColumn("at", F.unix_micros("at"))
+
+
 @_query("""select id, ts, ok, failures, change from (select *, case when failures = 3 then 'firing'
-        when ok and lag(failures, 1, 0) over (partition by id order by ts) >= 3 then 'resolved' end as change
-    from (select *, cast(sum(case when ok then 0 else 1 end) over (partition by id, run order by ts) as bigint) as failures
-    from (select *, sum(case when ok then 1 else 0 end) over (partition by id order by ts) as run
+        when ok and lag(failures, 1, 0) over (partition by id order by ts, ok) >= 3 then 'resolved' end as change
+    from (select *, cast(sum(case when ok then 0 else 1 end) over (partition by id, run order by ts, ok rows unbounded preceding) as bigint) as failures
+    from (select *, sum(case when ok then 1 else 0 end) over (partition by id order by ts, ok rows unbounded preceding) as run
     from (select cast(user_id as varchar) as id, ts, event_type <> 'error' as ok from events) as a) as b) as c) as d""")
 def consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = raw(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), "ts", (F.col("event_type") != "error").alias("ok"))

@@ -7,6 +7,8 @@ error: what can't be read is null or gives no row. `accept` and `invalid_spans`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -134,19 +136,25 @@ def flatten_metrics(requests: DataFrame) -> DataFrame:
     df = df.select("received_at", F.col("rm.resource.attributes").alias("outer"), F.explode("rm.scopeMetrics").alias("sm"))
     df = df.select("received_at", "outer", F.col("sm.scope.name").alias("scope_name"), F.explode("sm.metrics").alias("m")).where(F.coalesce("m.name", F.lit("")) != "")
     df = df.withColumns({"metric_name": F.col("m.name"), "unit": blank(F.col("m.unit"))})
-    common = ["received_at", "outer", "scope_name", "metric_name", "unit"]
-
-    def numbers(kind: str) -> DataFrame:
-        return df.select(*common, F.explode(f"m.{kind}.dataPoints").alias("x")).select(
-            *common, F.lit(kind).alias("metric_type"), "x.timeUnixNano", "x.attributes", F.col("x.asDouble").alias("value_double"), integer(F.col("x.asInt")).alias("value_int"),
-            F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("double").alias("sum"), F.lit(None).cast("string").alias("buckets"))
-
-    counts = F.filter(F.transform("x.bucketCounts", integer), lambda c: c.isNotNull())
-    buckets = F.to_json(F.struct(F.coalesce("x.explicitBounds", F.array().cast("array<double>")).alias("bounds"), F.coalesce(counts, F.array().cast("array<bigint>")).alias("counts")))
-    histograms = df.select(*common, F.explode("m.histogram.dataPoints").alias("x")).select(
-        *common, F.lit("histogram").alias("metric_type"), "x.timeUnixNano", "x.attributes", F.lit(None).cast("double").alias("value_double"), F.lit(None).cast("bigint").alias("value_int"),
-        integer(F.col("x.count")).alias("count"), F.col("x.sum").alias("sum"), buckets.alias("buckets"))
-    points = numbers("gauge").unionByName(numbers("sum")).unionByName(histograms)
+    # One array of points of all kinds, so that a request is scanned and parsed once.
+    none = {"value_double": F.lit(None).cast("double"), "value_int": F.lit(None).cast("bigint"), "count": F.lit(None).cast("bigint"), "sum": F.lit(None).cast("double"), "buckets": F.lit(None).cast("string")}
+
+    def points_of(kind: str, own: Callable[[Column], dict[str, Column]]) -> Column:
+        def point(x: Column) -> Column:
+            return F.struct(F.lit(kind).alias("metric_type"), x["timeUnixNano"].alias("timeUnixNano"), x["attributes"].alias("attributes"), *(c.alias(n) for n, c in (none | own(x)).items()))
+
+        return F.transform(F.coalesce(F.col(f"m.{kind}.dataPoints"), F.array()), point)
+
+    def number(x: Column) -> dict[str, Column]:
+        return {"value_double": x["asDouble"], "value_int": integer(x["asInt"])}
+
+    def histogram(x: Column) -> dict[str, Column]:
+        counts = F.filter(F.transform(x["bucketCounts"], integer), lambda c: c.isNotNull())
+        buckets = F.struct(F.coalesce(x["explicitBounds"], F.array().cast("array<double>")).alias("bounds"), F.coalesce(counts, F.array().cast("array<bigint>")).alias("counts"))
+        return {"count": integer(x["count"]), "sum": x["sum"], "buckets": F.to_json(buckets)}
+
+    points = df.select("received_at", "outer", "scope_name", "metric_name", "unit", F.explode(F.concat(points_of("gauge", number), points_of("sum", number), points_of("histogram", histogram))).alias("p"))
+    points = points.select("received_at", "outer", "scope_name", "metric_name", "unit", "p.*")
     points = points.withColumn("time", F.coalesce(nanos(F.col("timeUnixNano")), F.col("received_at"))).withColumn("own", F.col("attributes"))
     points = _correlated(points)
     own = integer(F.col("timeUnixNano"))

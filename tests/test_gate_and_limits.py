@@ -168,3 +168,26 @@ def test_bans_of_unknown_addresses_as_a_stream(spark, tmp_path):
     rows = [[{"ip": "0.0.0.0", "bad": True, "at": f"2024-06-01T00:00:0{i}Z"}] for i in range(3)]
     got = _stream(spark, tmp_path, rows, "ip string, bad boolean, at timestamp", lambda s: limits.ban_limit(s, 2, 60, 60), "unknown_bans")
     assert [r.allowed for r in got.orderBy("at").collect()] == [True] * 3
+
+
+def test_liveness_changes_match_an_evaluation_at_every_tick(spark):
+    import random
+
+    rng, start = random.Random(7), datetime(2024, 6, 1)
+    for period, timeout in ((60, 90), (60, 30), (60, 600), (7, 7)):
+        ticks = 40
+        beats = [(i, start + timedelta(seconds=rng.choice([rng.uniform(-300, ticks * period + 100), period * rng.randrange(ticks)]))) for i in "abcd" for _ in range(rng.randint(0, 12))] + [("other", start), ("a", None)]
+        expected = [(i, timeout) for i in "abcde"]
+        want = []
+        for i, _ in expected:
+            was = False
+            for k in range(ticks):
+                now = start + timedelta(seconds=k * period)
+                last = max((t for j, t in beats if j == i and t and t <= now), default=None)
+                silent = None if last is None else (now - last).total_seconds()
+                down = last is None or silent > timeout
+                if down != was:
+                    want.append((i, now, "firing" if down else "resolved", float(int(silent or 0)), float(timeout), liveness.describe(i, silent, timeout)))
+                was = down
+        got = liveness.transitions(spark.createDataFrame(beats, "id string, ts timestamp"), spark.createDataFrame(expected, "id string, timeout_secs long"), start, ticks, period)
+        assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -271,3 +271,18 @@ def test_heartbeats(spark):
     rows = spark.createDataFrame([(v,) for v in ['{"id": " a "}', '{"id": "  "}', '{"id": 5}', "{}", "x", None]], "value string").withColumn("received_at", F.current_timestamp())
     beats, refused = read_heartbeats(rows)
     assert [r.id for r in beats.collect()] == ["a"] and refused.first().refused == 5
+
+
+def test_metric_requests_are_scanned_once(spark, tmp_path):
+    number = {"dataPoints": [{"timeUnixNano": str(NANOS), "asDouble": 1.5, "attributes": attrs(k={"stringValue": "v"})}, {"asInt": "7"}]}
+    bins = {"dataPoints": [{"timeUnixNano": str(NANOS), "count": "3", "sum": 6.0, "bucketCounts": ["1", 2, None], "explicitBounds": [1.0]}, {"count": 1}]}
+    metrics = [{"name": "a", "gauge": number}, {"name": "b", "sum": number, "histogram": bins}, {"name": "", "gauge": number}, {"name": "c", "summary": number}, {"name": "d", "gauge": {}}]
+    doc = json.dumps({"resourceMetrics": [{"scopeMetrics": [{"metrics": metrics}, {}]}, {}]})
+    path = str(tmp_path / "r")
+    requests(spark, doc, "{}", "x").write.parquet(path)
+    points = otlp.flatten_metrics(spark.read.parquet(path))
+    got = [(r.metric_name, r.metric_type, r.value_double, r.value_int, r["count"], r["sum"], r.buckets, r.attributes) for r in points.collect()]
+    two = [(1.5, None, None, None, None, '{"k":"v"}'), (None, 7, None, None, None, "{}")]
+    want = [(n, k, *x) for n, k in (("a", "gauge"), ("b", "sum")) for x in two] + [("b", "histogram", None, None, 3, 6.0, '{"bounds":[1.0],"counts":[1,2]}', "{}"), ("b", "histogram", None, None, 1, None, '{"bounds":[],"counts":[]}', "{}")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert points._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
