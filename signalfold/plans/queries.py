@@ -280,6 +280,16 @@ def events_logs_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.events_with_logs(v["events"], v["logs"]).withColumn("severity_number", F.col("severity_number").cast("string"))
 
 
+@_query("""select e.session_id, e.event_id, e.event_name, l.log_id, cast(l.severity_number as varchar) as severity_number from events_v as e join logs_v as l on e.session_id = l.session_id""", "events", "logs")
+def events_logs_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join over tables bucketed by session, which do not move; sessions with 20 events or more are split."""
+    out, v = scratch_path(spark, "bucketed"), views(spark, sf_dir, "events", "logs")
+    tag = out.rpartition("-")[2]
+    left = correlate.write_bucketed(v["events"].select("session_id", "event_id", "event_name"), f"events_{tag}", "session_id", f"{out}/events", 8)
+    right = correlate.write_bucketed(v["logs"].select("session_id", "log_id", "severity_number"), f"logs_{tag}", "session_id", f"{out}/logs", 8)
+    return correlate.join_bucketed(left, right, "session_id", least=20).withColumn("severity_number", F.col("severity_number").cast("string"))
+
+
 @_query("select s.trace_id, s.span_id, s.name, s.duration_ms, l.log_id, cast(l.severity_number as varchar) as severity_number, l.body from spans_v as s join logs_v as l on s.trace_id = l.trace_id", "spans", "logs")
 def spans_logs_by_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir, "spans", "logs")
