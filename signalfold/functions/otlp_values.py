@@ -120,7 +120,10 @@ def attributes(column):
     """struct(json, tenant_id, actor_id, session_id, service_name) of a KeyValue list's JSON text."""
 
     def batch(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([attributes_row(r) for r in raw], columns=_ATTRIBUTES.names, dtype=object)
+        # Lists of a resource come with each of its records: each distinct text is read once.
+        place, texts = pd.factorize(raw)
+        rows = [*(attributes_row(r) for r in texts), attributes_row(None)]
+        return pd.DataFrame([rows[i] for i in place], columns=_ATTRIBUTES.names, dtype=object)
 
     return F.pandas_udf(batch, _ATTRIBUTES)(column)
 
