@@ -16,8 +16,20 @@ from signalfold.llm.queries import vocabulary
 from signalfold.llm.store import materialize, table
 
 
+#: Rows that the JVM hands to a Python worker at once: texts are long, and the usual 10,000 of them are held several times over.
+BATCH_ROWS = 1024
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the Python stages in this session, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, learnt from `labels`, calls toxic go; equal texts are judged alike. Without labels all stay."""
+    _small_batches(spark)
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -30,6 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle sets with a similarity of 0.8 or more stays: the one of the least
     doc_id, with all rows that repeat it. Rows without words or without a doc_id stay."""
+    _small_batches(spark)
     return minhash.deduplicate(docs, k=5, percent=80)
 
 
@@ -41,6 +54,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text that is left, with digests of the ids and of the decoded text, beside all columns but the text; a
     column named like a result is replaced."""
+    _small_batches(spark)
     return bpe.tokenize(docs, vocabulary(), keep=[c for c in docs.columns if c != "text"])
 
 
