@@ -238,3 +238,23 @@ def test_quantiles_take_five_passes_at_most(spark):
     for few in (0, 2, 50):
         odd = exact_quantiles(tail, {str(k): (F.col("v"), k / 6) for k in range(7)}, few=few, passes=(passes := []))
         assert [odd[str(k)] for k in range(5)] == [-math.inf, 0.0, 0.0, 1.0, math.inf] and all(math.isnan(odd[str(k)]) for k in (5, 6)) and len(passes) <= 5
+
+
+def test_ticker_evaluates_on_a_timer(spark, tmp_path):
+    import time
+
+    from signalfold.streaming.alerts import ticker
+
+    def tables():
+        row = spark.range(3).selectExpr("cast(id as string) as log_id", "cast(current_timestamp() as timestamp) - interval 5 seconds as log_time", "cast(17 as short) as severity_number", "cast(null as string) as severity_text",
+                                        "'b' as body", "'svc' as service_name", "cast(null as string) as trace_id", "cast(null as string) as tenant_id", "'{}' as log_attributes")
+        return {"logs": row}
+
+    sent, out = [], []
+    rule = Rule("log_count", "errors", severity_min=17, window_secs=600, threshold=2.0, severity="critical")
+    q = ticker(spark, tables, [rule], {}, Sink([lambda a: sent.append(a) or True]), out, str(tmp_path / "c"), period=1)
+    until = time.time() + 90
+    while not out and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
+    assert [(a.rule_name, a.state, a.value) for a in out[:1]] == [("errors", "firing", 3.0)] and sent[:1] == out[:1]
