@@ -16,16 +16,19 @@ no limit and no ban.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from signalfold.session import ship
+from signalfold.streaming import limits as limit_classes
 from signalfold.streaming.limits import SESSION_BURST, SESSION_RATE, AddressSessions, BadRequests, TokenBucket, known_address
 
 #: What the chain asks of a request, and what it remembers of one that a later limit refused.
@@ -168,6 +171,8 @@ def decided(requests: DataFrame, limits: Limits, notes: DataFrame | None = None)
     """A stream of requests (REQUEST and other columns) with `refused`: null, ban, bad, session or address."""
     spark = requests.sparkSession
     ship(spark)
+    for module in (sys.modules[__name__], limit_classes):  # the driver's own worker sees no shipped files
+        cloudpickle.register_pickle_by_value(module)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the store that arbitrary state needs
     rows = requests.withColumn("note", F.lit(False))
     if notes is not None:
